@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import ExactDedup
+from .simhash import SimHashDedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +22,9 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
 from documents window w as (partition by coalesce(text, ''))
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SimHashDedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3).members()
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
