@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import ExactDedup
+from .packing import pack
 from .simhash import SimHashDedup
 
 
@@ -26,5 +27,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SimHashDedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3).members()
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
