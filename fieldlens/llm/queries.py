@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import ExactDedup
+from .language_model import LanguageModel
 from .packing import pack
 from .simhash import SimHashDedup
 
@@ -37,5 +38,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LanguageModel(_table(spark, sf_dir, "documents")).score()
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_lm_scoring": op10_lm_scoring}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
