@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from .exact_dedup import ExactDedup
 from .language_model import LanguageModel
+from .mixing import Mix
 from .packing import pack
 from .simhash import SimHashDedup
 
@@ -42,5 +44,67 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LanguageModel(_table(spark, sf_dir, "documents")).score()
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_lm_scoring": op10_lm_scoring}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(
+        "select cast(-1 as bigint) as conv_id, cast(turn as bigint) as turn, role, '</s>[INST] ok [/INST]' as text "
+        "from values (0, 'user'), (1, 'assistant') as t(turn, role)"
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.examples(rows.union(own)))
+
+
+def _escaped(column: str) -> str:
+    for i, x in enumerate(chat.CONTROL):
+        column = f"replace({column}, '{x}', '{chat.MARK}{i}')"
+    return column
+
+
+_MARKS = len(chat.OPEN + chat.ROLE + chat.TEXT + chat.CLOSE)
+OP2_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o as (
+  select *, row_number() over w as i, count(*) over (partition by conv_id) as n,
+    sum(length({_escaped("role")}) + length({_escaped("text")}) + {_MARKS}) over w as upto
+  from t window w as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(case when role = 'assistant' or i = n then upto else 0 end) as bigint) as formatted_chars
+from o group by conv_id
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(_table(spark, sf_dir, "documents")).taken()
+
+
+#: A source's stream is its documents by md5 of the id; the mix takes it from the start, up to the target.
+OP5_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '')) as digest
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
+w as (select *, case k % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 2 * source_size as cap from s),
+r as (
+  select *, cap / weight as ratio, cast((select sum(source_size) from s) as double) * 1.5 as goal,
+    coalesce(sum(cap) over (order by cap / weight, k rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(weight) over (order by cap / weight, k rows between current row and unbounded following) as others
+  from w),
+l as (select *, (goal - cast(before as double)) / cast(others as double) as level from r),
+g as (select source, source_size, least(cast(cap as double),
+    coalesce((select arg_min(level, (ratio, k)) from l where ratio > level) * weight, cast(cap as double))) as target from l),
+p as (
+  select d.*, g.source_size, g.target, cast(floor(g.target + 0.5) as bigint) as quota,
+    cast(sum(size) over (partition by d.source order by digest, size rows unbounded preceding) as bigint) - size as start
+  from d join g on d.source is not distinct from g.source)
+select doc_id, size, source_size, target,
+  greatest(least(start + size, quota) - start, 0) + greatest(least(start + size, quota - source_size) - start, 0) as taken
+from p
+"""
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_lm_scoring": op10_lm_scoring,
+    "op2_chat": op2_chat, "op5_mixing": op5_mixing,
+}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": OP5_SQL}
