@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat
 from .exact_dedup import ExactDedup
 from .language_model import LanguageModel
 from .mixing import Mix
 from .packing import pack
+from .quality import QualityModel, remainder
 from .simhash import SimHashDedup
+from .topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +107,40 @@ select doc_id, size, source_size, target,
 from p
 """
 
+#: A document passes at this score.
+PASSES = 0.7
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> QualityModel:
+    """The model of the labels, without those that are held out."""
+    labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    return QualityModel(docs, labels)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model(spark, sf_dir, docs).score(docs)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= PASSES).cast("int").alias("predicted"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5
+"""
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_lm_scoring": op10_lm_scoring,
     "op2_chat": op2_chat, "op5_mixing": op5_mixing,
+    "op3_quality": op3_quality, "op7_topk": op7_topk,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": OP5_SQL, "op7_topk": OP7_SQL}
