@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, stored, text_or_empty
+from ._common import WORD, free_name, stored, text_or_empty
 
 #: Bits of a van der Corput point, and cells by which points look up their source.
 POINT_BITS, CELL_BITS = 40, 10
@@ -45,7 +45,7 @@ class Mix:
         self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
         weights: tuple[int, ...] = (5, 2, 1), epochs: float = 1.5, repeats: int = 2, block: int = 4096,
     ):
-        self.spark, self.block = df.sparkSession, block
+        self.spark, self.block, self.text_col = df.sparkSession, block, text_col
         source = F.col(f"`{source_col}`").cast("string")
         size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
         sized = df.select(F.col(f"`{id_col}`").alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), size.alias("size"))
@@ -142,3 +142,15 @@ class Mix:
         hit = docs.join(used, [*SOURCE, "block"], "left").withColumn("taken", F.when(F.col("size") > 0, overlap).otherwise(F.lit(0)))
         whole = hit.groupBy(*SOURCE, "bucket", "own").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("taken").alias("taken"))
         return whole.select("doc_id", "size", "source_size", "target", "taken")
+
+    def repeated(self, df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """Rows of ``df``, each as often as the mix takes most of it: taken words over size, to the nearest whole number.
+
+        Rows that share an id are taken together.  Rows without words, of which a
+        mix of words takes nothing, are left out.
+        """
+        key, times = free_name(df, "_mix_id"), free_name(df, "_mix_times")
+        whole = self.taken().where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(times))
+        joined = df.join(whole.where(F.col(times) > 0), F.col(f"`{id_col}`").eqNullSafe(F.col(key)))
+        words = F.regexp_count(text_or_empty(self.text_col), F.lit(WORD)) > 0
+        return joined.where(words).withColumn(key, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*(f"`{c}`" for c in df.columns))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, secrets
 from .exact_dedup import ExactDedup
 from .language_model import LanguageModel
 from .mixing import Mix
 from .packing import pack
 from .quality import QualityModel, remainder
+from .secrets import SecretScan
 from .simhash import SimHashDedup
 from .topk import top_k
 
@@ -139,8 +140,48 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5
 """
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SecretScan(_table(spark, sf_dir, "documents")).documents()
+
+
+def _op9_sql() -> str:
+    """The scan in SQL: pieces up to each match, in order, give the positions."""
+    hits = []
+    for i, (kind, pattern, group, least) in enumerate(secrets.BASE + secrets.FURTHER):
+        quoted = f"(?s)(.*?)({pattern})".replace("'", "''")
+        one = [f"unnest(regexp_extract_all(text, '{quoted}', {g}))" for g in (1, 2, 2 + group)]
+        hits.append(
+            f"select row, owner, {i} as number, '{kind}' as kind, {least} as least, {one[0]} as gap, {one[1]} as whole, {one[2]} as value, "
+            f"generate_subscripts(regexp_extract_all(text, '{quoted}', 1), 1) as place from d"
+        )
+    live = "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= "
+    n = len(secrets.BASE)
+    counts = ", ".join(f"count(*) filter (number = {i}) as n_{k}" for i, (k, *_) in enumerate(secrets.BASE))
+    told = ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k, *_ in secrets.BASE)
+    return f"""
+with d as (select doc_id, source as owner, coalesce(text, '') as text, row_number() over () as row from documents),
+h as ({" union all ".join(hits)}),
+p as (
+  select *, cast(sum(length(gap) + length(whole)) over (partition by row, number order by place rows unbounded preceding) as bigint) as stop
+  from h),
+s as (
+  select row, owner, number, kind, stop - length(whole) as start, stop, value, {live}{secrets.LIVE_CHARACTERS} as random from p where length(value) >= least),
+o as (select value, count(distinct owner) + max(case when owner is null then 1 else 0 end) as owners from s group by value),
+r as (
+  select row, number, start, stop, kind || ':' || start || ':' || stop as told, random and owners < {secrets.EXAMPLE_OWNERS} as live
+  from s join o using (value)),
+a as (
+  select row, {counts}, count(*) filter (live) as n_live,
+    coalesce(string_agg(told, ',' order by start, number) filter (number < {n}), '') as base,
+    string_agg(told, ',' order by start, number, stop) as spans
+  from r where number < {n} or live group by row)
+select doc_id, {told}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+from d left join a using (row)
+"""
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_lm_scoring": op10_lm_scoring,
     "op2_chat": op2_chat, "op5_mixing": op5_mixing,
-    "op3_quality": op3_quality, "op7_topk": op7_topk,
+    "op3_quality": op3_quality, "op7_topk": op7_topk, "op9_secrets": op9_secrets,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": OP5_SQL, "op7_topk": OP7_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": OP5_SQL, "op7_topk": OP7_SQL, "op9_secrets": _op9_sql()}
