@@ -13,7 +13,6 @@ stretch is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,51 +24,71 @@ from ._common import binary_list
 WASTE = 1 / 256
 #: Rests of up to this part of the capacity aren't cut further.
 REST = 1 / 64
-#: Token ids of so many different words are kept by a worker.
-CACHE_WORDS = 500_000
-CACHE_LENGTH = 64
+#: Words, and pieces of words, of which a worker keeps the ids.
+KEPT_WORDS, KEPT_PIECES = 200_000, 600_000
+
+#: What the vocabulary's pre-tokeniser takes for a piece (fixed value).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters are the same in all Unicode versions and normal forms; others go to the tokenizer whole.
+PLAIN = r"[!-~¡-ɏ]+"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself if it is printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Kept(dict):
+    """Values of ``make`` by key, those asked for of late: at ``limit`` the older half goes."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordTokenizer:
-    """Token ids of a text, by way of its white-space separated words.
+    """Token ids of a text, by way of its white-space separated words and their pieces.
 
-    For vocabularies that drop white space and never merge across it; then the
-    ids of a text are those of its words, one after another, and each word needs
-    the tokenizer once.
+    For byte-level vocabularies that lower-case, drop white space and never merge
+    across pieces: the ids of a text are those of its words, one after another,
+    and those of a word are its pieces'.  Ids come as little-endian unsigned
+    32-bit values.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        todo = list(words)
-        for k in range(0, len(todo), 10_000):
-            part = todo[k : k + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (c.ids for c in coded), strict=True))
-
-    def ids(self, text: bytes) -> list[int]:
-        words = text.split()
-        new = {w for w in set(words) if w not in self.known}
-        if new:
-            self.learn({w for w in new if len(w) <= CACHE_LENGTH})
-            long = {w for w in new if len(w) > CACHE_LENGTH}
-            if long:
-                own = {w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in long}
-                return list(chain.from_iterable(own[w] if w in own else self._of(w) for w in words))
-            if any(w not in self.known for w in words):  # the store was emptied for the new words
-                return list(chain.from_iterable(map(self._of, words)))
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
-
-    def _of(self, word: bytes) -> list[int]:
-        if word not in self.known:
-            self.learn({word})
-        return self.known[word]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.split, self.plain = regex.compile(PIECE).findall, regex.compile(PLAIN).fullmatch
+        self.pieces = Kept(self._piece, KEPT_PIECES)
+        self.words = Kept(self._word, KEPT_WORDS)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.plain(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -154,7 +173,7 @@ def pack(
         import numpy as np
         import pyarrow as pa
 
-        tokenizer, rows = _tokenizer(tokenizer_path), []
+        tokenizer, end, rows = _tokenizer(tokenizer_path), end_id.to_bytes(4, "little"), []
         task = TaskContext.get()
 
         def emit(doc, start, ids, sequence, offset):
@@ -174,7 +193,7 @@ def pack(
 
         for b in batches:
             for text, doc_id in zip(binary_list(b.column(0)), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*tokenizer.ids(text), end_id], "<u4")
+                ids = np.frombuffer(tokenizer.ids(text) + end, "<u4")
                 start = 0
                 for n in cut(len(ids), capacity):
                     packer.add((doc_id, len(ids)), start, ids[start : start + n])
