@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat, secrets
 from .exact_dedup import ExactDedup
 from .language_model import LanguageModel
+from .licenses import LicenceModel
 from .mixing import Mix
 from .packing import pack
 from .quality import QualityModel, remainder
@@ -180,8 +181,14 @@ from d left join a using (row)
 """
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return LicenceModel(docs).scan(docs)
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op10_lm_scoring": op10_lm_scoring,
     "op2_chat": op2_chat, "op5_mixing": op5_mixing,
     "op3_quality": op3_quality, "op7_topk": op7_topk, "op9_secrets": op9_secrets,
+    "op8_licenses": op8_licenses,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": OP5_SQL, "op7_topk": OP7_SQL, "op9_secrets": _op9_sql()}
