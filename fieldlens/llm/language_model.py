@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from itertools import repeat
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,13 +31,11 @@ HOT_WORDS = 8192
 #: A longer word is joined even if it is hot.
 HOT_LENGTH = 64
 #: Tokens of a text block that is counted at once.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 #: n-grams for each segment of the filter, about.
 SEGMENT_TOKENS = 4_000_000
 #: Base of the levels, bits set for each (n-gram, level), and weight of the words' probabilities.
-BASE, PROBES, WEIGHT = 1.5, 5, 4.0
-
-M64 = (1 << 64) - 1
+BASE, PROBES, WEIGHT = 2.0, 4, 4.0
 
 
 class Vocabulary(dict):
@@ -153,33 +152,20 @@ class BloomFilter:
         self.offsets, self.sizes = np.asarray(offsets, np.uint64), np.asarray(sizes, np.uint64)
         self.buffer = np.frombuffer(buffer, np.uint8)
 
-    @staticmethod
-    def positions(key40, level: int, probe: int, size):
-        import numpy as np
-
-        salt = (level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F) & M64
-        return _mix(key40 + np.uint64(salt)) % size
-
-    def _has(self, offset, size, key40, level: int):
-        import numpy as np
-
-        alive = np.flatnonzero(size)
-        for probe in range(PROBES):
-            p = self.positions(key40[alive], level, probe, size[alive])
-            bits = self.buffer[offset[alive] + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8)
-            alive = alive[(bits & 1).astype(bool)]
-        return alive
-
     def levels(self, keys):
         """The level of each key, 0 if it is absent."""
         import numpy as np
 
         seg, key40 = split_key(keys, self.segment_bits)
-        offset, size = self.offsets[seg], self.sizes[seg]
         found = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        alive = np.flatnonzero(self.sizes[seg])
+        seg, (h1, h2) = seg[alive], probe_hashes(key40[alive])
         for level in range(1, self.top + 1):
-            alive = alive[self._has(offset[alive], size[alive], key40[alive], level)]
+            for probe in range(PROBES):
+                p = bit_position(h1, h2, level, probe, self.sizes[seg])
+                bits = self.buffer[self.offsets[seg] + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8)
+                set_ = (bits & 1).view(bool)
+                alive, seg, h1, h2 = alive[set_], seg[set_], h1[set_], h2[set_]
             if not len(alive):
                 break
             found[alive] = level
@@ -193,6 +179,22 @@ class BloomFilter:
         return means[self.levels(keys)]
 
 
+def probe_hashes(key40):
+    """Two hashes of each key, from which all its probes follow."""
+    import numpy as np
+
+    h1 = _mix(key40 + np.uint64(0x9E3779B97F4A7C15))
+    return h1, (h1 * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+
+
+def bit_position(h1, h2, level: int, probe: int, size):
+    """The bit of a probe in a segment of ``size`` bits, below 2 ** 32."""
+    import numpy as np
+
+    h = h1 + np.uint64(level * PROBES + probe) * h2
+    return (h >> np.uint64(32)) * size >> np.uint64(32)
+
+
 def split_key(keys, segment_bits: int):
     """A key's segment and the forty bits after it."""
     import numpy as np
@@ -289,12 +291,12 @@ def _segment(max_bytes: int):
         def finish(seg, keys, counts):
             keys, counts = _unique_sums(np.concatenate(keys), np.concatenate(counts))
             levels = level_of(counts)
-            size = min(math.ceil(int(levels.sum()) * PROBES / math.log(2)), 8 * max_bytes)
-            bits = np.zeros(size, np.uint8)
+            size = min(math.ceil(int(levels.sum()) * PROBES / math.log(2)), 8 * max_bytes, (1 << 32) - 1)
+            bits, (h1, h2) = np.zeros(size, np.uint8), probe_hashes(keys)
             for level in range(1, int(levels.max()) + 1):
-                some = keys[levels >= level]
+                some = levels >= level
                 for probe in range(PROBES):
-                    bits[BloomFilter.positions(some, level, probe, np.uint64(size))] = 1
+                    bits[bit_position(h1[some], h2[some], level, probe, np.uint64(size))] = 1
             row = [seg], [len(keys)], [int(levels.max())], [size], [np.packbits(bits, bitorder="little").tobytes()]
             kinds = pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["seg", "ngrams", "top", "size", "bits"])
@@ -327,7 +329,7 @@ def _rare_words(hot, block: int):
 
         known = hot.value
         for vocabulary, ids, ends, _, _, row in _blocks(batches, 1, 1, block):
-            rare = np.fromiter((w not in known for w in vocabulary), bool, len(vocabulary))
+            rare = ~np.fromiter(map(known.__contains__, vocabulary), bool, len(vocabulary))
             docs = _doc_of(ends, len(ids))
             some = rare[ids] if len(ids) else np.zeros(0, bool)
             n = max(1, len(ends))
@@ -355,7 +357,7 @@ def _score(mod: int, rest: int, hot, bloom, total: int, distinct: int, block: in
         known, model = hot.value, BloomFilter(*bloom.value)
         scale = total + 0.5 * (distinct + 1)
         for vocabulary, ids, ends, held, doc_ids, row in _blocks(batches, mod, rest, block):
-            counts = np.fromiter((known.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
+            counts = np.fromiter(map(known.get, vocabulary, repeat(0)), np.int64, len(vocabulary))
             gains = np.where(counts > 0, np.log10(counts + 0.5), 0.0)
             docs, size = _doc_of(ends, len(ids)), len(ends)
             base = np.bincount(docs, gains[ids], size) if len(ids) else np.zeros(size)

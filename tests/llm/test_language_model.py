@@ -56,7 +56,7 @@ def test_levels():
     counts = np.arange(1, 5000)
     levels = level_of(counts)
     assert levels[0] == 1 and (np.diff(levels) >= 0).all()
-    assert all(1.5 ** (q - 1) <= c + 1e-6 and c < 1.5**q + 1e-6 for c, q in zip(counts.tolist(), levels.tolist()))
+    assert all(lm.BASE ** (q - 1) <= c < lm.BASE**q for c, q in zip(counts.tolist(), levels.tolist()))
     assert level_mean(1) == 1
 
 
@@ -81,6 +81,6 @@ def test_filter_never_reads_too_low(spark):
         top = max(top, r["top"])
     bloom = BloomFilter(4, offsets, sizes, buffer, top)
     found, true = bloom.levels(keys), level_of(counts)
-    assert (found >= true).all() and (found > true).mean() < 0.06
+    assert (found >= true).all() and (found > true).mean() < 0.09
     other = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
-    assert (bloom.levels(other) > 0).mean() < 0.06
+    assert (bloom.levels(other) > 0).mean() < 0.09
