@@ -146,6 +146,8 @@ def train(bags: list, labels, epochs: int = EPOCHS, seed: int = SEED) -> dict:
         "attend": n(ATTENTION), "decide": n(HIDDEN), "decide0": np.array(np.log(share / (1 - share))),
     }
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
+    if not bags:
+        w["decide"] *= 0
     clip = lambda x: np.clip((x - mean) / scale, -6, 6)
     bags = [clip(b) for b in bags]
     for epoch in range(epochs if bags else 0):
