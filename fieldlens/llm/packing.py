@@ -24,13 +24,26 @@ from ._common import binary_list
 WASTE = 1 / 256
 #: Rests of up to this part of the capacity aren't cut further.
 REST = 1 / 64
-#: Words, and pieces of words, of which a worker keeps the ids.
-KEPT_WORDS, KEPT_PIECES = 200_000, 600_000
+#: Pieces of words, of which a worker keeps the ids.
+KEPT_PIECES = 800_000
 
-#: What the vocabulary's pre-tokeniser takes for a piece (fixed value).
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters are the same in all Unicode versions and normal forms; others go to the tokenizer whole.
-PLAIN = r"[!-~¡-ɏ]+"
+#: What the vocabulary's pre-tokeniser takes for a piece (fixed value); {L} letters, {N} numbers.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
+#: Characters below this are the same in all Unicode versions and normal forms; texts with others go word by word.
+PLAIN_BELOW = 0x250
+SPACE = "\t\n\x0b\x0c\r "
+
+
+def plain_patterns():
+    """(matches a text of plain characters only, pieces of such a text in lower case)."""
+    import re
+    import unicodedata
+
+    kind = lambda c: unicodedata.category(c)[0]
+    some = [c for c in map(chr, range(33, PLAIN_BELOW)) if kind(c) not in "CZ" and all(ord(x) < PLAIN_BELOW for x in c.lower())]
+    of = lambda k: "".join(re.escape(c) for c in some if kind(c) == k)
+    plain = "".join(map(re.escape, some)) + SPACE
+    return re.compile(f"[{plain}]*").fullmatch, re.compile(PIECE.replace("{L}", of("L")).replace("{N}", of("N"))).findall
 
 
 def byte_letters() -> dict[int, int]:
@@ -58,38 +71,38 @@ class Kept(dict):
 
 
 class WordTokenizer:
-    """Token ids of a text, by way of its white-space separated words and their pieces.
+    """Token ids of a text, by way of the pieces of its words.
 
     For byte-level vocabularies that lower-case, drop white space and never merge
-    across pieces: the ids of a text are those of its words, one after another,
-    and those of a word are its pieces'.  Ids come as little-endian unsigned
-    32-bit values.
+    across pieces: the ids of a text are those of its pieces, one after another,
+    so each piece is merged once.  Ids come as little-endian unsigned 32-bit
+    values.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.split, self.plain = regex.compile(PIECE).findall, regex.compile(PLAIN).fullmatch
+        self.plain, self.split = plain_patterns()
         self.pieces = Kept(self._piece, KEPT_PIECES)
-        self.words = Kept(self._word, KEPT_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.plain(text) and "<|" not in text:
+    def ids(self, text: bytes) -> bytes:
+        return self._ids(text.decode("utf-8", "replace"))
+
+    def _ids(self, text: str) -> bytes:
+        if "<|" not in text and self.plain(text):
             return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
+        words = text.encode("utf-8", "replace").split()  # at ASCII white space only
+        if len(words) > 1:
+            return b"".join(map(self._ids, (w.decode() for w in words)))
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
-
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
