@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 #: Pitch in metres, origin bottom left.
 LENGTH, WIDTH = 105.0, 68.0
@@ -17,13 +16,13 @@ HOME, AWAY = "home", "away"
 SEGMENT = ["match_id", "segment_id"]
 FRAME = [*SEGMENT, "frame_idx"]
 
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "match_id string, segment_id int, frame_idx int, t double, t_ms long, period int, ball_x double, ball_y double, att_home int, att_away int"
 )
-POSITIONS = T.StructType.fromDDL(
+POSITIONS = (
     "match_id string, segment_id int, frame_idx int, t double, t_ms long, ord int, track_id string, team string, x double, y double"
 )
-DETECTIONS = T.StructType.fromDDL(
+DETECTIONS = (
     "match_id string, segment_id int, type string, players array<string>, geometry string, confidence double, t_start double, t_end double"
 )
 
