@@ -38,9 +38,10 @@ def _found(text: Column, number: int, pattern: str, group: int) -> Column:
     """The matches of a pattern: kind's number, place in order, characters before since the last match, own length, value.
 
     The text up to a match is taken along with it, lazily, so that the lengths
-    add up to the positions.
+    add up to the positions.  It begins where the match before ended; without
+    that anchor, each place behind the last match would be tried as a beginning.
     """
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     one = lambda g: F.regexp_extract_all(text, whole, F.lit(g))
     rows = F.transform(
         F.arrays_zip(one(1).alias("gap"), one(2).alias("all"), one(2 + group).alias("value")),
