@@ -53,3 +53,52 @@ def binary_list(column) -> list:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session.
+
+    Texts have no bounded length, and ten thousand of them at once, the default,
+    make buffers that neither Python nor the JVM's allocators give back.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def lean(run):
+    """A mapInArrow function that gives memory back to the system at its end.
+
+    Python workers are used again by later tasks, and what the allocators keep
+    of one task's peak would add up over the stages of a job.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not in this C library
+        pass
+
+
+def slices(batch, rows: int = 500):
+    """A batch in parts of at most ``rows`` rows, without copies."""
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))

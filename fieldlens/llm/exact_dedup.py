@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_list, free_name, stored
+from ._common import binary_list, free_name, lean, small_batches, stored
 
 #: Bytes of distinct text that one table holds.
 TABLE_BYTES = 48 << 20
@@ -225,20 +225,21 @@ class ExactDedup:
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", table_bytes: int = TABLE_BYTES):
         if df.schema[id_col].dataType != T.LongType():
             df = df.withColumn(id_col, F.col(id_col).cast("long"))
+        small_batches(df.sparkSession)
         self.columns = df.columns
         self.meta = meta = free_name(df, "_dedup")
         kind = T.StructType.fromDDL("rep long, digest string, max_id long, best int, ids array<long>")
         schema = T.StructType([*df.schema.fields, T.StructField(meta, kind)])
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
         run = _local_groups(df.columns.index(text_col), df.columns.index(id_col), schema.names, table_bytes // 2)
-        self.local = stored(df.mapInArrow(run, schema), "dedup-local")
+        self.local = stored(df.mapInArrow(lean(run), schema), "dedup-local")
         m = lambda f: F.col(f"`{meta}`.{f}")
         reps = self.local.select(
             m("digest").alias("digest"), F.col(f"`{text_col}`").cast("binary").alias("text"),
             m("rep").alias("rep"), m("max_id").alias("max_id"), F.size(m("ids")).cast("long").alias("n"),
         )
         buckets = reps.repartition(_partitions(df), "digest")
-        self.decided = stored(buckets.mapInArrow(_decide(table_bytes), "rep long, winner long, keep_id long, group_size long"), "dedup-decided")
+        self.decided = stored(buckets.mapInArrow(lean(_decide(table_bytes)), "rep long, winner long, keep_id long, group_size long"), "dedup-decided")
 
     def members(self) -> DataFrame:
         """A row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""

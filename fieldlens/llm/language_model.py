@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, stored
+from ._common import binary_list, lean, slices, small_batches, stored
 
 #: A word with at least 1 / HOT_WORDS of all tokens is hot; there are no more such words than that.
 HOT_WORDS = 8192
@@ -68,7 +68,7 @@ def _blocks(batches, held_out_mod: int, held_out_rest: int, block_tokens: int):
         ends = np.cumsum([len(x) for x in ids]) if ids else np.zeros(0, np.int64)
         return vocabulary, np.concatenate(ids) if ids else np.zeros(0, np.int64), ends, np.array(held, bool), doc_ids, row
 
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch)):
         for text, doc_id in zip(binary_list(b.column(0)), b.column(1).to_pylist(), strict=True):
             words = text.lower().split()
             ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
@@ -398,18 +398,19 @@ class LanguageModel:
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mod: int = 5, rest: int = 1, filter_bytes: int = 128 << 20, block_tokens: int = BLOCK_TOKENS):
         spark = df.sparkSession
+        small_batches(spark)
         self.mod, self.rest, self.block = mod, rest, block_tokens
         self.docs = df.selectExpr(f"`{text_col}` as text", f"cast(`{id_col}` as long) as doc_id")
-        words = self.docs.mapInArrow(_word_counts(mod, rest, block_tokens), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        words = self.docs.mapInArrow(lean(_word_counts(mod, rest, block_tokens)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         self.words = stored(words.where("n > 0"), "lm-words")
         self.tokens, self.distinct = (x or 0 for x in self.words.agg(F.sum("n"), F.count("*")).first())
         hot = self.words.where((F.col("n") * HOT_WORDS >= self.tokens) & (F.octet_length("word") <= HOT_LENGTH) & (F.col("n") > 0))
         self.hot = spark.sparkContext.broadcast({bytes(r.word): r.n for r in hot.collect()})
         self.segment_bits = min(20, max(4, math.ceil(math.log2(max(1, self.tokens) / SEGMENT_TOKENS))))
-        keyed = self.docs.mapInArrow(_ngram_counts(mod, rest, self.segment_bits, block_tokens), "seg int, keys binary, counts binary")
+        keyed = self.docs.mapInArrow(lean(_ngram_counts(mod, rest, self.segment_bits, block_tokens)), "seg int, keys binary, counts binary")
         parts = min(1 << self.segment_bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
         dealt = keyed.repartition(parts, "seg").sortWithinPartitions("seg")
-        built = dealt.mapInArrow(_segment(max(64, filter_bytes >> self.segment_bits)), "seg int, ngrams long, top int, size long, bits binary")
+        built = dealt.mapInArrow(lean(_segment(max(64, filter_bytes >> self.segment_bits))), "seg int, ngrams long, top int, size long, bits binary")
         self.segments = stored(built, "lm-filter")
         self.bloom = spark.sparkContext.broadcast(self._gather())
 
@@ -426,11 +427,11 @@ class LanguageModel:
     def score(self) -> DataFrame:
         """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
         scored = self.docs.mapInArrow(
-            _score(self.mod, self.rest, self.hot, self.bloom, self.tokens, self.distinct, self.block),
+            lean(_score(self.mod, self.rest, self.hot, self.bloom, self.tokens, self.distinct, self.block)),
             "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double",
         )
         ends = self.words.where("word = cast('' as binary)").agg(F.sum("n")).first()[0] or 0
-        rare = self.docs.mapInArrow(_rare_words(self.hot, self.block), "word binary, rows array<long>, tfs array<int>")
+        rare = self.docs.mapInArrow(lean(_rare_words(self.hot, self.block)), "word binary, rows array<long>, tfs array<int>")
         n = F.coalesce(F.col("n"), F.lit(0))
         joined = rare.join(self.words, "word", "left").select(
             F.log10(n + 0.5).alias("gain"), (n > 0).cast("int").alias("known"), F.explode(F.arrays_zip("rows", "tfs")).alias("x")

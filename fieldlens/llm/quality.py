@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list
+from ._common import binary_list, lean, slices, small_batches
 
 #: Words of a passage.
 PASSAGE = 48
@@ -194,12 +194,13 @@ class QualityModel:
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = 8000, bag: int = 256):
+        small_batches(docs.sparkSession)
         label = F.col(f"`{label_col}`").cast("int")
         marked = labels.select(F.col(f"`{id_col}`").alias("id"), label.alias("label")).where("label in (0, 1) and id is not null")
         marked = marked.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
         text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
         rows = docs.select(F.col(f"`{id_col}`").alias("id"), text).join(F.broadcast(marked), "id").select("text", "label", "id")
-        encoded = rows.mapInArrow(_encode(bag), "label int, n int, features binary, id long")
+        encoded = rows.mapInArrow(lean(_encode(bag)), "label int, n int, features binary, id long")
         encoded = encoded.groupBy("id").agg(F.min(F.struct("label", "n", "features")).alias("x")).select("x.*").collect()
         self.weights = self._fit(encoded)
         self.shared = docs.sparkSession.sparkContext.broadcast(self.weights)
@@ -220,7 +221,7 @@ class QualityModel:
         def run(batches):
             import pyarrow as pa
 
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch)):
                 texts, scores = binary_list(b.column(at)), []
                 for k in range(0, len(texts), 64):
                     scores += predict(weights.value, [passages(t) for t in texts[k : k + 64]]).tolist()
@@ -229,7 +230,7 @@ class QualityModel:
         schema = df.withColumn(score_col, F.lit(0.0)).schema
         for field in schema:
             field.nullable = True
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(lean(run), schema)
 
 
 def _encode(bag: int):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_list, free_name, stored
+from ._common import binary_list, free_name, lean, slices, small_batches, stored
 from .components import connected_components
 
 SEGMENTS = 32
@@ -58,7 +58,7 @@ def _fingerprints(text_at: int, keep: list[int], words: int, names: list[str]):
 
         task = TaskContext.get()
         serial = (task.partitionId() if task else 0) << 40
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             found = [fingerprint(t, words) for t in binary_list(b.column(text_at))]
             rows = range(serial, serial + len(found))
             serial += len(found)
@@ -123,6 +123,7 @@ class SimHashDedup:
     """
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, carry: bool = False):
+        small_batches(df.sparkSession)
         self.id_col = id_col
         self.columns = df.columns if carry else [id_col]
         self.meta = free_name(df, "_simhash")
@@ -130,7 +131,7 @@ class SimHashDedup:
         fields = [T.StructField(c, df.schema[c].dataType) for c in self.columns]
         schema = T.StructType([*fields, T.StructField(self.meta, T.StructType.fromDDL("row long, fp long"))])
         run = _fingerprints(df.columns.index(text_col), keep, words, schema.names)
-        self.docs = stored(df.mapInArrow(run, schema), "simhash-docs")
+        self.docs = stored(df.mapInArrow(lean(run), schema), "simhash-docs")
         fp = F.col(f"`{self.meta}`.fp").alias("fp")
         points = stored(self.docs.select(fp, F.col(f"`{id_col}`").alias("id")).groupBy("fp").agg(F.min("id").alias("id")), "simhash-points")
         roots = connected_components(stored(links(points.select("fp")), "simhash-links"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import lean, stored
 
 #: Queries of a block, candidates of a tile, and groups of tasks in the first merge.
 BLOCK_ROWS, TILE_ROWS, MERGE_GROUPS = 4096, 2048, 64
@@ -137,7 +137,7 @@ def top_k(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vecto
     found = spark.createDataFrame([], "query_id long, part long, vec_id long, score long")
     for block in _blocks(queries.toLocalIterator(), block_rows, scale):
         run = _search(spark.sparkContext.broadcast(block), k, scale)
-        found = found.union(candidates.mapInArrow(run, found.schema))
+        found = found.union(candidates.mapInArrow(lean(run), found.schema))
     merged = _best(found.withColumn("part", F.col("part") % MERGE_GROUPS), ["query_id", "part"], k).drop("rank")
     return _best(merged, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
