@@ -129,8 +129,8 @@ def circle(x: Column, y: Column, radius, n: int = 29) -> Column:
 def interpolate(track: Column, t: Column, fields: tuple[str, ...]) -> Column:
     """A track's point at time t: held at the ends, linear between the neighbours; null for an empty track."""
     ordered = F.array_sort(track)
-    before = F.element_at(F.filter(ordered, lambda p: p.t <= t), -1)
-    after = F.element_at(F.filter(ordered, lambda p: p.t >= t), 1)
+    before = F.try_element_at(F.filter(ordered, lambda p: p.t <= t), F.lit(-1))
+    after = F.try_element_at(F.filter(ordered, lambda p: p.t >= t), F.lit(1))
     share = F.coalesce(F.try_divide(t - before.t, after.t - before.t), F.lit(0.0))
     pick = lambda f: F.when(before.isNull(), after[f]).when(after.isNull(), before[f]).otherwise(before[f] + share * (after[f] - before[f]))
     return F.when(F.size(track) > 0, F.struct(*(pick(f).alias(f) for f in fields)))
@@ -140,7 +140,7 @@ def path_prefix(path: Column, t: Column) -> Column:
     """The points (t, x, y) of a path up to t, with the interpolated tip unless it is the last of them."""
     done = F.filter(F.array_sort(path), lambda p: p.t <= t)
     tip = interpolate(path, t, ("x", "y"))
-    last = F.element_at(done, -1)
+    last = F.try_element_at(done, F.lit(-1))
     same = last.isNotNull() & (last.x == tip.x) & (last.y == tip.y)
     return F.when(same | tip.isNull(), done).otherwise(F.concat(done, F.array(F.struct(t.alias("t"), tip.x.alias("x"), tip.y.alias("y")))))
 

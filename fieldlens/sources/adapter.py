@@ -3,8 +3,8 @@
 23 consecutive events make a frame at 10 Hz: slots 0-10 home, 11-21 away, slot 22
 drives the ball.  A position is a base place plus a triangle wave plus jitter
 from the event.  Carriers take turns in blocks of 32 frames, 24 of them with the
-ball.  Slot 4 runs past the carrier.  With ``converge``, two further defenders
-close in on the carrier in every other block, so that presses occur.
+ball.  Slot 4 runs past the carrier.  With ``converge``, three opponents close in
+on the carrier in every other block, so that presses occur.
 
 Rows are numbered by time; the numbering is the only global order, and it is for
 test data of one match.  Recorded data come with frame numbers of their own.
@@ -37,13 +37,14 @@ def prelude(dialect: str = "duckdb", converge: bool = False) -> str:
     carriers = ", ".join(str(x) for x in enumerate(CARRIERS))
     moved = "select * from pl0"
     if converge:
-        # in odd blocks, the two slots after the carrier's opposite number come to 1.5 m and 2.5 m of the carrier over 24 frames
+        # in odd blocks, three opponents close in on the carrier from 6 m to 1.5 m, from ahead, behind and the side
+        near = f"(600 - (450 * (p.f % 32)) {div} 24)"
         moved = f"""
   select p.f, p.t_ms, p.slot, p.team,
-    case when k.n is null then p.x_cm else c.x_cm + ((p.x_cm - c.x_cm) * (24 - p.f % 32)) {div} 24 + (150 + 100 * k.n) * (p.f % 32) {div} 24 end as x_cm,
-    case when k.n is null then p.y_cm else c.y_cm + ((p.y_cm - c.y_cm) * (24 - p.f % 32)) {div} 24 end as y_cm
+    case when k.n is null then p.x_cm when k.n = 2 then c.x_cm else c.x_cm + (1 - 2 * k.n) * {near} end as x_cm,
+    case when k.n is null then p.y_cm when k.n = 2 then c.y_cm + {near} else c.y_cm + 20 * k.n end as y_cm
   from pl0 p join carr r on r.i = (p.f {div} 32) % {len(CARRIERS)} join pl0 c on c.f = p.f and c.slot = r.slot
-  left join (select 0 as n union all select 1 as n) k
+  left join (select 0 as n union all select 1 as n union all select 2 as n) k
     on (p.f {div} 32) % 2 = 1 and p.f % 32 < 24 and p.slot = (case when r.slot < 11 then 12 + (r.slot + k.n * 3) % 10 else 1 + (r.slot + k.n * 3) % 10 end)"""
     return f"""
 e as (select row_number() over (order by ts, event_id) - 1 as seq, cast(round(value * 100) as bigint) as v, cast({key}(props, '$.k') as bigint) as k from events),
