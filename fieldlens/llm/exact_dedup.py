@@ -251,7 +251,8 @@ class ExactDedup:
 
     def kept(self) -> DataFrame:
         """The rows that stay, with the columns of the input."""
-        winners = self.decided.where("rep = winner").select(F.col("rep").alias(f"{self.meta}_rep"))
+        # a row for each text that stays: a merge join at every size, never a broadcast
+        winners = self.decided.where("rep = winner").select(F.col("rep").alias(f"{self.meta}_rep")).hint("merge")
         out = self.local.join(winners, F.col(f"`{self.meta}`.rep") == F.col(f"`{self.meta}_rep`"), "left_semi")
         return out.select(*(f"`{c}`" for c in self.columns))
 

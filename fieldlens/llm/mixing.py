@@ -151,6 +151,7 @@ class Mix:
         """
         key, times = free_name(df, "_mix_id"), free_name(df, "_mix_times")
         whole = self.taken().where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(times))
-        joined = df.join(whole.where(F.col(times) > 0), F.col(f"`{id_col}`").eqNullSafe(F.col(key)))
+        # a row for each document that is taken: a merge join at every size, never a broadcast
+        joined = df.join(whole.where(F.col(times) > 0).hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(key)))
         words = F.regexp_count(text_or_empty(self.text_col), F.lit(WORD)) > 0
         return joined.where(words).withColumn(key, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*(f"`{c}`" for c in df.columns))

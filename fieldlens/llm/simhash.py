@@ -153,6 +153,7 @@ class SimHashDedup:
         id_ = F.col(f"`{self.id_col}`")
         rows = self.docs.select(m("fp"), m("row"), id_.isNull().alias("no_id"), id_.alias("id"))
         first = rows.join(self.groups, "fp").groupBy("root").agg(F.min(F.struct("no_id", "id", "row")).alias("first"))
-        first = first.select(F.col("first.row").alias(f"{self.meta}_row"))
+        # a row for each document that stays: a merge join at every size, never a broadcast
+        first = first.select(F.col("first.row").alias(f"{self.meta}_row")).hint("merge")
         out = self.docs.join(first, F.col(f"`{self.meta}`.row") == F.col(f"`{self.meta}_row`"), "left_semi")
         return out.select(*(f"`{c}`" for c in self.columns))
