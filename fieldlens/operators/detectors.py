@@ -262,7 +262,7 @@ def path_windows(paths: DataFrame, find) -> DataFrame:
                 for i, j, kind, speed in find(path, r.sign, r.dt_ms / 1000, int(r.i_start)):
                     a, z = at[i], at[j]
                     rows.append((r.match_id, r.segment_id, r.spell, r.carrier, r.track_id, i, j, path["t"][a], path["t"][z], kind, speed, path["cx"][z], path["cy"][z]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOWS.split(", ")], dtype=object)
 
     return paths.mapInPandas(run, WINDOWS)
 

@@ -218,8 +218,8 @@ def _segment(key, positions, pairs):
             spell = None if pd.isna(first["spell"]) else (int(first["spell"]), first["holder"], int(first["until"]))
             yield int(frame), t, players, marking, [(a, row) for a, _, row in press], spell
 
-    out = pd.DataFrame(life_of_edges(frames()), columns=names)
-    out["samples"] = [[dict(zip(("t", "xa", "ya", "xb", "yb"), s)) for s in x] for x in out["samples"]]
+    out = pd.DataFrame(life_of_edges(frames()), columns=names, dtype=object)
+    out["samples"] = pd.Series([[dict(zip(("t", "xa", "ya", "xb", "yb"), s)) for s in x] for x in out["samples"]], dtype=object)
     out.insert(0, "segment_id", key[1])
     out.insert(0, "match_id", key[0])
     return out

@@ -76,7 +76,8 @@ def ball_gate(df: DataFrame, keys: list[str], max_speed: float = 40.0, reacquire
         kept = F.struct(p.t.alias("t"), p.x.alias("x"), p.y.alias("y"))
         return F.struct(F.when(ok, kept).otherwise(acc.last).alias("last"), F.when(ok, acc.out).otherwise(F.concat(acc.out, F.array(p.frame_idx))).alias("out"))
 
-    start = F.struct(F.lit(None).cast("struct<t:double,x:double,y:double>").alias("last"), F.array().cast("array<int>").alias("out"))
+    number = df.schema["frame_idx"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("struct<t:double,x:double,y:double>").alias("last"), F.array().cast(f"array<{number}>").alias("out"))
     jumps = rows.select(*keys, F.explode(F.aggregate("_rows", start, step, lambda a: a.out)).alias("frame_idx"))
     return seen.select(*keys, "frame_idx", "t", "x", "y").join(jumps, [*keys, "frame_idx"], "left_anti")
 

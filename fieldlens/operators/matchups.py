@@ -129,7 +129,7 @@ def _segment(key, pdf):
     for players in list(runs):
         close(players)
     names = ["match_id", "segment_id", "type", "players", "pairs", "region", "track", "confidence", "t_start", "t_end"]
-    return pd.DataFrame(out, columns=names)
+    return pd.DataFrame(out, columns=names, dtype=object)
 
 
 def matchups(t: Tables, edges: DataFrame, spells: DataFrame) -> DataFrame:
