@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import attack_depth, block_level, clip, dist, hull, point_segment, press_level
 from ..schema import FRAME, SEGMENT, Tables
+from .edges import tracks_of
 from .folds import cooldown, reanchored
 from .possession import alive
 from .windows import by_segment, frame_step, islands, latest_label_shift, line_split, merge_intervals, offside_smooth
@@ -343,7 +344,7 @@ def presses(
     """Pressing of the carrier by two or more defenders at once."""
     press = edges.where("kind = 'press'")
     rank = F.row_number().over(by_segment().orderBy("t_start", "kind", "a"))
-    own = alive(press.withColumn("place", rank), "a", "b", "strength", "samples", "place")
+    own = alive(press.withColumn("place", rank), "a", "b", "strength", "edge", "place")
     carrier = F.first("b").over(Window.partitionBy(*FRAME).orderBy("place"))
     own = own.withColumn("carrier", carrier).where("b = carrier")
     place = t.positions.select(*FRAME, "track_id", "x", "y")
@@ -360,7 +361,7 @@ def presses(
     closing = F.when(F.col("t") > F.col("t0"), (dist(F.col("p0x"), F.col("p0y"), F.col("c0x"), F.col("c0y")) - F.col("d")) / (F.col("t") - F.col("t0")))
     per = rows.withColumn("closing", closing).groupBy(*FRAME, "t", "carrier", "cx", "cy").agg(
         F.count("*").alias("n"), F.min("d").alias("near"), F.coalesce(F.avg("closing"), F.lit(0.0)).alias("closing"), F.avg("strength").alias("strength"),
-        F.array_sort(F.collect_list(F.struct("place", "a", "px", "py"))).alias("who"), F.flatten(F.collect_list("samples")).alias("samples"),
+        F.array_sort(F.collect_list(F.struct("place", "a", "px", "py"))).alias("who"), F.collect_list("edge").alias("edge_ids"),
     )
     per = per.where((F.col("n") >= 2) & (F.col("near") <= engage) & (F.col("closing") >= min_closing))
     per = per.withColumn("intensity", F.col("n") + clip(F.col("closing"), 0.0, 8.0) + F.col("strength"))
@@ -369,10 +370,11 @@ def presses(
     per = per.withColumn("new", new.cast("int")).withColumn("episode", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = per.groupBy(*SEGMENT, "episode", "carrier").agg(
         F.max("intensity").alias("intensity"), F.min("near").alias("near"), F.max_by("who", "t").alias("who"), F.max_by(POINT("cx", "cy"), "t").alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("samples")))).alias("track"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
+        F.array_distinct(F.flatten(F.collect_list("edge_ids"))).alias("edge_ids"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
     )
     conf = clip(F.col("intensity") / 7.0, 0.0, 1.0) * clip(1.0 - (F.col("near") - 1.0) / radius, 0.25, 1.0)
-    return out.where(F.col("t_end") - F.col("t_start") >= least_s).select(
+    out = tracks_of(out.where(F.col("t_end") - F.col("t_start") >= least_s), edges, [*SEGMENT, "episode"])
+    return out.select(
         *SEGMENT, F.lit("press").alias("type"), F.concat(F.array("carrier"), F.transform("who", lambda p: p.a)).alias("players"), F.col("at").alias("carrier"),
         F.transform("who", lambda p: F.struct(p.px.alias("x"), p.py.alias("y"))).alias("pressers"), "intensity", press_level(F.col("intensity"), F.col("near")).alias("level"), "track",
         conf.alias("confidence"), "t_start", "t_end",

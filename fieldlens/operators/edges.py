@@ -24,7 +24,7 @@ MARK_TIME, PRESS_TIME, PAUSE, EXCURSION, MISSING = 1.2, 0.6, 0.3, 1.5, 2.0
 ADOPT_RADIUS, ADOPT_TIME, CARRIER_BALL, SAMPLE, STATIC_SPEED, STATIC_SPREAD = 2.0, 0.5, 3.0, 0.18, 2.0, 1.0
 
 EDGES = (
-    "match_id string, segment_id int, kind string, team string, a string, b string, i_start int, i_end int, t_start double, t_end double, "
+    "match_id string, segment_id int, edge int, kind string, team string, a string, b string, i_start int, i_end int, t_start double, t_end double, "
     "samples array<struct<t:double,xa:double,ya:double,xb:double,yb:double>>, strength double"
 )
 
@@ -220,6 +220,7 @@ def _segment(key, positions, pairs):
 
     out = pd.DataFrame(life_of_edges(frames()), columns=names, dtype=object)
     out["samples"] = pd.Series([[dict(zip(("t", "xa", "ya", "xb", "yb"), s)) for s in x] for x in out["samples"]], dtype=object)
+    out.insert(0, "edge", range(len(out)))
     out.insert(0, "segment_id", key[1])
     out.insert(0, "match_id", key[0])
     return out
@@ -238,6 +239,17 @@ def edges(t: Tables, spells: DataFrame, carriers: DataFrame) -> DataFrame:
     return rows.groupBy(*SEGMENT).cogroup(pairs.groupBy(*SEGMENT)).applyInPandas(_segment, EDGES)
 
 
+def tracks_of(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` (edge_ids: array of edge) with ``track``, the samples of those edges, each once, by time.
+
+    Frames carry an edge's number and not its samples, which would be copied
+    once for each frame of its life.
+    """
+    own = df.select(*keys, F.explode("edge_ids").alias("edge")).join(found.select(*SEGMENT, "edge", "samples"), [*SEGMENT, "edge"])
+    track = own.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("samples")))).alias("track"))
+    return df.join(track, keys, "left").drop("edge_ids")
+
+
 def edge_detections(found: DataFrame) -> DataFrame:
     """Edges as detections."""
     geometry = F.to_json(F.struct(F.transform("samples", lambda s: F.array(s.t, s.xa, s.ya, s.xb, s.yb)).alias("track"), "kind"))

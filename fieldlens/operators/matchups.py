@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FRAME, SEGMENT, Tables
+from .edges import tracks_of
 from .possession import alive
 
 RADIUS, LARGEST, LEAST_S, BALL_SOFT, BALL_HARD, LEAST_CONF, LONGEST_S, COOL_S = 8.0, 3, 1.0, 20.0, 25.0, 0.1, 3.0, 4.0
 
 MATCHUPS = (
-    "match_id string, segment_id int, type string, players array<string>, pairs array<array<double>>, region array<double>, track array<array<double>>, "
+    "match_id string, segment_id int, type string, players array<string>, pairs array<array<double>>, region array<double>, edge_ids array<int>, "
     "confidence double, t_start double, t_end double"
 )
 
 
 def alive_links(t: Tables, edges: DataFrame) -> DataFrame:
     """A row a frame and edge alive on it with both its first ids in sight."""
-    own = alive(edges, "a", "b", "team", "samples")
+    own = alive(edges, "a", "b", "team", "edge")
     place = t.positions.select(*FRAME, "track_id", "x", "y", "ord")
     for k in "ab":
         own = own.join(place.select(*FRAME, F.col("track_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("x", "y", "ord"))), [*FRAME, k])
@@ -61,20 +62,18 @@ def _closest(first: dict, second: dict) -> list[list[float]]:
 
 class _Run:
     def __init__(self, kind: str, t: float):
-        self.kind, self.begin, self.end, self.conf, self.ball, self.tracks = kind, t, t, [], None, {}
+        self.kind, self.begin, self.end, self.conf, self.ball, self.edges = kind, t, t, [], None, set()
 
     def add(self, t, confidence, ball, pairs, region, links) -> None:
         self.end, self.pairs, self.region = t, pairs, region
         self.conf.append(confidence)
         self.ball = ball if self.ball is None else self.ball if ball is None else min(self.ball, ball)
-        for r in links:
-            self.tracks[r.a, r.b, len(r.samples), r.samples[0]["t"]] = r.samples
+        self.edges |= {int(r.edge) for r in links}
 
     def row(self, players):
         if self.end - self.begin < LEAST_S or max(self.conf) < LEAST_CONF or (self.ball is not None and self.ball > BALL_HARD):
             return None
-        points = sorted({(s["t"], s["xa"], s["ya"], s["xb"], s["yb"]) for x in self.tracks.values() for s in x})
-        return self.kind, sorted(players), self.pairs, self.region, [list(p) for p in points], sum(self.conf) / len(self.conf), self.begin, self.end
+        return self.kind, sorted(players), self.pairs, self.region, sorted(self.edges), sum(self.conf) / len(self.conf), self.begin, self.end
 
 
 def _segment(key, pdf):
@@ -128,7 +127,7 @@ def _segment(key, pdf):
             close(players)
     for players in list(runs):
         close(players)
-    names = ["match_id", "segment_id", "type", "players", "pairs", "region", "track", "confidence", "t_start", "t_end"]
+    names = ["match_id", "segment_id", "type", "players", "pairs", "region", "edge_ids", "confidence", "t_start", "t_end"]
     return pd.DataFrame(out, columns=names, dtype=object)
 
 
@@ -136,4 +135,5 @@ def matchups(t: Tables, edges: DataFrame, spells: DataFrame) -> DataFrame:
     """Matchups of up to three a side, at most one apart in number, that last, are tight and are near the ball."""
     frames = t.frames.select(*FRAME, "t", "ball_x", "ball_y").join(alive(spells, F.col("team").alias("attacker")), FRAME, "left")
     rows = frames.join(alive_links(t, edges), FRAME, "left")
-    return rows.groupBy(*SEGMENT).applyInPandas(_segment, MATCHUPS)
+    found = rows.groupBy(*SEGMENT).applyInPandas(_segment, MATCHUPS)
+    return tracks_of(found, edges, [*SEGMENT, "players", "t_start", "t_end"])
