@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import repeat
+from collections import defaultdict
+from itertools import count, repeat
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, lean, slices, small_batches, stored
+from ._common import binary_list, lean, small_batches, stored
 
 #: A word with at least 1 / HOT_WORDS of all tokens is hot; there are no more such words than that.
 HOT_WORDS = 8192
@@ -38,12 +39,9 @@ SEGMENT_TOKENS = 4_000_000
 BASE, PROBES, WEIGHT = 2.0, 4, 4.0
 
 
-class Vocabulary(dict):
+def vocabulary_() -> defaultdict:
     """Numbers words as they come."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+    return defaultdict(count().__next__)
 
 
 def crc(doc_id) -> int:
@@ -59,7 +57,7 @@ def _blocks(batches, held_out_mod: int, held_out_rest: int, block_tokens: int):
     row = (task.partitionId() if task else 0) << 40
 
     def fresh():
-        return Vocabulary(), [], [], []
+        return vocabulary_(), [], [], []
 
     vocabulary, ids, held, doc_ids = fresh()
     n = 0
@@ -68,7 +66,7 @@ def _blocks(batches, held_out_mod: int, held_out_rest: int, block_tokens: int):
         ends = np.cumsum([len(x) for x in ids]) if ids else np.zeros(0, np.int64)
         return vocabulary, np.concatenate(ids) if ids else np.zeros(0, np.int64), ends, np.array(held, bool), doc_ids, row
 
-    for b in (part for batch in batches for part in slices(batch)):
+    for b in batches:
         for text, doc_id in zip(binary_list(b.column(0)), b.column(1).to_pylist(), strict=True):
             words = text.lower().split()
             ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
@@ -401,7 +399,7 @@ class LanguageModel:
         small_batches(spark)
         self.mod, self.rest, self.block = mod, rest, block_tokens
         self.docs = df.selectExpr(f"`{text_col}` as text", f"cast(`{id_col}` as long) as doc_id")
-        words = self.docs.mapInArrow(lean(_word_counts(mod, rest, block_tokens)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        words = self.docs.mapInArrow(lean(_word_counts(mod, rest, 2 * block_tokens)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         self.words = stored(words.where("n > 0"), "lm-words")
         self.tokens, self.distinct = (x or 0 for x in self.words.agg(F.sum("n"), F.count("*")).first())
         hot = self.words.where((F.col("n") * HOT_WORDS >= self.tokens) & (F.octet_length("word") <= HOT_LENGTH) & (F.col("n") > 0))
