@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import binary_list, lean, small_batches, stored
 
 #: A word with at least 1 / HOT_WORDS of all tokens is hot; there are no more such words than that.
-HOT_WORDS = 8192
+HOT_WORDS = 65_536
 #: A longer word is joined even if it is hot.
 HOT_LENGTH = 64
 #: Tokens of a text block that is counted at once.
