@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..operators import aggregates as agg
-from ..operators import detectors, edges, folds, joins, matchups, plays, possession, roles
+from ..operators import detectors, edges, folds, joins, matchups, plays, possession, present, roles
 from ..operators import windows as win
 from ..schema import FRAME, SEGMENT
 from ..sources.adapter import tables
@@ -640,3 +640,37 @@ def u_all_detections(spark, sf):
 where exists (select 1 from generate_series(0, 9) g(j) where i = cast(floor(j * case when n > 10 then (n - 1) / 9.0 else 1.0 end) as int))""")
 def s_linspace_sample(spark, sf):
     return agg.linspace_rows(_read(spark, sf, "events"), ["user_id"], "ts", 10).select("event_id")
+
+
+# --------------------------------------------------------------- presentation
+@query()
+def schedule_events(spark, sf):
+    """Events to show, from all detectors that need no edges."""
+    found = pipeline.run_all(tables(spark, sf), ["triangle", "back_pass", "isolation", "run"])
+    return present.schedule_events(found).select("type", F.array_join("players", ",").alias("players"), _r(C("show_start"), "show_start"), _r(C("show_end"), "show_end"))
+
+
+@query()
+def s_topk_edges(spark, sf):
+    """The likeliest edges at every tenth frame."""
+    s = Scene(tables(spark, sf))
+    times = s.tables.frames.where("frame_idx % 10 = 0").select(*SEGMENT, "t")
+    top = present.top_edges(present.active_at(edges.edge_detections(s.edges), times), SEGMENT)
+    return top.select(_r(C("t"), "t"), "rank", "type", F.array_join("players", ",").alias("players"), _r(C("confidence"), "confidence"))
+
+
+@query()
+def newest_generation(spark, sf):
+    """Formations and offside lines to show at every tenth frame."""
+    t = tables(spark, sf)
+    found = pipeline.run_all(t, ["formation", "offside_line"])
+    active = present.active_at(found, t.frames.where("frame_idx % 10 = 0").select(*SEGMENT, "t"))
+    return present.newest_generation(active, SEGMENT).select(_r(C("t"), "t"), "type", _r(C("t_end"), "t_end"), _r(C("confidence"), "confidence"))
+
+
+@query()
+def offside_shown(spark, sf):
+    """The offside line nearest the ball at every fifth frame, its team held for 2 s."""
+    t = tables(spark, sf)
+    times = t.frames.where("frame_idx % 5 = 0").select(*SEGMENT, "t", "ball_x")
+    return present.offside_at(detectors.offside_lines(t), times).select(_r(C("t"), "t"), "team", _r(C("x"), "x"))
