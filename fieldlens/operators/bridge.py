@@ -186,3 +186,43 @@ def shifted_ids(df: DataFrame, keys: list[str], session: str, tid: str) -> DataF
     top = df.groupBy(*keys, session).agg(F.max(tid).alias("_top"))
     before = F.coalesce(F.sum("_top").over(Window.partitionBy(*keys).orderBy(session).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.join(top.withColumn("_before", before).drop("_top"), [*keys, session]).withColumn(tid, F.col(tid) + F.col("_before")).drop("_before")
+
+
+#: Pixels: variances of the process in place and speed, of a detection, of a new track's place and speed, and of the gate.
+KALMAN_PLACE, KALMAN_SPEED, KALMAN_SEEN, KALMAN_NEW_SPEED, KALMAN_GATE, COAST_FRAMES = 1.0, 25.0, 25.0, 400.0, 150.0, 12
+BALL = "match_id string, frame_idx long, t double, ball array<double>, src string"
+
+
+def _coasted(pdf):
+    """Both axes share one covariance (place a, mixed b, speed d), as they have the same noise and start."""
+    pdf = pdf.sort_values("frame_idx")
+    state, a, b, d, missed, out, src = None, 0.0, 0.0, 0.0, 0, [], []
+    for x, y in zip(pdf["x"], pdf["y"], strict=True):
+        seen = x == x and y == y and x is not None
+        if state is not None:
+            state = [(p + v, v) for p, v in state]
+            a, b, d = a + 2 * b + d + KALMAN_PLACE, b + d, d + KALMAN_SPEED
+            gate = KALMAN_GATE + 3 * (2 * max(a, 0.0)) ** 0.5
+            seen = seen and hypot(x - state[0][0], y - state[1][0]) <= gate
+        if seen and state is None:
+            state, a, b, d = [(x, 0.0), (y, 0.0)], KALMAN_SEEN, 0.0, KALMAN_NEW_SPEED
+        elif seen:
+            place, speed = a / (a + KALMAN_SEEN), b / (a + KALMAN_SEEN)
+            state = [(p + place * (z - p), v + speed * (z - p)) for (p, v), z in zip(state, (x, y), strict=True)]
+            a, b, d = (1 - place) * a, (1 - place) * b, d - speed * b
+        missed = 0 if seen else missed + 1
+        coasts = state is not None and missed <= COAST_FRAMES
+        out.append([float(x), float(y)] if seen else [state[0][0], state[1][0]] if coasts else None)
+        src.append("det" if seen else "kf")
+    pdf["ball"], pdf["src"] = out, src
+    return pdf[["match_id", "frame_idx", "t", "ball", "src"]]
+
+
+def track_ball(candidates: DataFrame) -> DataFrame:
+    """Ball records from the best detection of each frame (x, y, null where there is none), in pixels.
+
+    A constant-velocity Kalman filter gates detections and carries the ball on
+    over up to 12 frames without one.
+    """
+    rows = candidates.select("match_id", F.col("frame_idx").cast("long").alias("frame_idx"), "t", "x", "y")
+    return rows.groupBy("match_id").applyInPandas(_coasted, BALL)

@@ -222,3 +222,28 @@ def test_common_form(spark):
     t = tables(spark, "/root/testdata/sf0.001")
     row = as_detections(detectors.blocks(t)).first()
     assert set(json.loads(row.geometry)) == {"width", "depth", "line_height", "line_x", "block"}
+
+
+def test_tracked_ball(spark):
+    """Against the filter in matrices: coasting, gating, and giving up."""
+    import numpy as np
+
+    rows = [("m", i, i / 25, *((None, None) if 20 <= i < 26 or i >= 40 else (100.0 + 8 * i + (2000 if i == 10 else 0), 300.0 - 3 * i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "match_id string, frame_idx long, t double, x double, y double")
+    got = {r.frame_idx: r for r in bridge.track_ball(df).collect()}
+    step = np.array([[1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]], float)
+    look, x, p = np.eye(2, 4), None, None
+    for _, i, _, zx, zy in rows:
+        ok = zx is not None and i != 10
+        if x is None:
+            x, p = np.array([zx, zy, 0, 0]), np.diag([25.0, 25.0, 400.0, 400.0])
+        else:
+            x, p = step @ x, step @ p @ step.T + np.diag([1.0, 1.0, 25.0, 25.0])
+            if not ok and i < 52:
+                assert got[i].src == "kf" and np.allclose(got[i].ball, x[:2])
+            if ok:
+                gain = p @ look.T @ np.linalg.inv(look @ p @ look.T + 25 * np.eye(2))
+                x, p = x + gain @ (np.array([zx, zy]) - look @ x), (np.eye(4) - gain @ look) @ p
+        if ok:
+            assert got[i].src == "det" and got[i].ball == [zx, zy]
+    assert got[51].ball is not None and got[52].ball is None
