@@ -4,8 +4,10 @@ Training counts the words and word pairs of the training rows.  A count is
 quantised on a logarithmic scale to a level, and an n-gram of level q is put into
 a Bloom filter q times, as (n-gram, 1) ... (n-gram, q).  A probe asks for level 1,
 2, ... until one is missing, so a count is never read too low and seldom too high.
-The filter, of a size bounded by ``filter_bytes``, is broadcast; workers score
-whole texts by repeated probes and interpolate the word pairs' relative
+The filter has room for all levels at a fixed error rate, so it grows with the
+corpus.  Up to ``filter_bytes`` it is broadcast; a larger one stays in segments,
+and each block of texts sends the segments its n-grams and gets their levels
+back.  Workers score whole texts and interpolate the word pairs' relative
 frequencies with the words' add-half probabilities.
 
 Exact counts of words are kept beside it for the base score: the words that make
@@ -279,8 +281,11 @@ def _unpack(keys: bytes):
     return wide.view("<u8").ravel()
 
 
-def _segment(max_bytes: int):
-    """mapInArrow function over rows sorted by segment: each segment's part of the filter."""
+def _segment(max_bytes: int = 1 << 29):
+    """mapInArrow function over rows sorted by segment: each segment's part of the filter, half of its bits set.
+
+    More than ``max_bytes`` are an error, never a fuller filter; positions reach as far as the default.
+    """
 
     def run(batches):
         import numpy as np
@@ -289,7 +294,9 @@ def _segment(max_bytes: int):
         def finish(seg, keys, counts):
             keys, counts = _unique_sums(np.concatenate(keys), np.concatenate(counts))
             levels = level_of(counts)
-            size = min(math.ceil(int(levels.sum()) * PROBES / math.log(2)), 8 * max_bytes, (1 << 32) - 1)
+            size = max(64, math.ceil(int(levels.sum()) * PROBES / math.log(2)))
+            if size >= 8 * max_bytes:
+                raise ValueError(f"segment {seg} of the filter needs {size} bits, more than {max_bytes} bytes hold")
             bits, (h1, h2) = np.zeros(size, np.uint8), probe_hashes(keys)
             for level in range(1, int(levels.max()) + 1):
                 some = levels >= level
@@ -345,15 +352,118 @@ def _rare_words(hot, block: int):
     return run
 
 
+def _asked(segment_bits: int, block: int):
+    """mapInArrow function: the n-grams of each block of texts, packed by segment, and as segment -1 where they stand in the texts."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["block", "seg", "keys", "stops"]
+        for vocabulary, ids, ends, _, _, row in _blocks(batches, 1, 1, block):
+            before, word, stops = _with_ends(_word_hashes(vocabulary)[ids], ends)
+            keys, places = np.unique(np.concatenate([_unigram_keys(word), _bigram_keys(before, word)]), return_inverse=True)
+            seg, key40 = split_key(keys, segment_bits)
+            bounds = np.searchsorted(seg, np.arange((1 << segment_bits) + 1))
+            packed = key40.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            rows = [(row, -1, places.astype("<u4").tobytes(), stops.astype("<u8").tobytes())]
+            rows += [(row, s, packed[i:j].tobytes(), None) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+            for k in range(0, len(rows), 64):
+                columns = zip((pa.int64(), pa.int32(), pa.binary(), pa.binary()), zip(*rows[k : k + 64]))
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for kind, v in columns], names=names)
+
+    return run
+
+
+def _answers(top: int):
+    """mapInArrow function over rows sorted by segment, its bits before what blocks ask it: the levels of each block's n-grams."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at, model = None, None
+        for b in batches:
+            blocks, segs, levels = [], [], []
+            for seg, block, payload, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if block is None:
+                    at, model = seg, BloomFilter(0, [0], [size], payload, top)
+                    continue
+                keys = _unpack(payload)
+                found = model.levels(keys << np.uint64(24)) if seg == at else np.zeros(len(keys), np.int64)
+                blocks.append(block)
+                segs.append(seg)
+                levels.append(found.astype(np.uint8).tobytes())
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(segs, pa.int32()), pa.array(levels, pa.binary())], names=["block", "seg", "levels"])
+
+    return run
+
+
+def _answered(total: int, distinct: int):
+    """mapInArrow function over rows sorted by block and segment: the model's score of each text of a block."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        means = np.array([0.0, *map(level_mean, range(1, 256))])
+
+        def finish(row, places, stops, levels):
+            counts = means[np.frombuffer(b"".join(levels), np.uint8)][np.frombuffer(places, "<u4")]
+            scores = _text_scores(*np.split(counts, 2), np.frombuffer(stops, "<u8").astype(np.int64), total, distinct)
+            return pa.RecordBatch.from_arrays([pa.array(range(row, row + len(scores)), pa.int64()), pa.array(scores)], names=["row", "score"])
+
+        at, places, stops, levels = None, b"", b"", []
+        for b in batches:
+            for row, seg, payload, ends in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if seg < 0:
+                    if at is not None:
+                        yield finish(at, places, stops, levels)
+                    at, places, stops, levels = row, payload, ends, []
+                else:
+                    levels.append(payload)
+        if at is not None:
+            yield finish(at, places, stops, levels)
+
+    return run
+
+
+def _text_scores(single, pair, stops, total: int, distinct: int):
+    """Scores of texts that stop at ``stops`` from the counts of their words and word pairs."""
+    import numpy as np
+
+    if not len(stops):
+        return np.zeros(0)
+    scale = total + 0.5 * (distinct + 1)
+    context = np.r_[single[stops[0] - 1], single[:-1]]
+    pair = np.minimum(pair, np.minimum(single, context))
+    p = (pair + WEIGHT * (single + 0.5) / scale) / (context + WEIGHT)
+    return np.add.reduceat(np.log10(p), np.r_[0, stops[:-1]])
+
+
+def _by_broadcast(model: BloomFilter, vocabulary, ids, ends, total: int, distinct: int):
+    import numpy as np
+
+    h = _word_hashes(vocabulary)
+    before, word, stops = _with_ends(h[ids], ends)
+    single = np.empty(len(word))
+    end_at = stops - 1
+    mask = np.ones(len(word), bool)
+    mask[end_at] = False
+    single[mask] = model.counts(_unigram_keys(h))[ids]
+    single[end_at] = model.counts(_unigram_keys(np.array([END], np.uint64)))[0]
+    return _text_scores(single, model.counts(_bigram_keys(before, word)), stops, total, distinct)
+
+
 def _score(mod: int, rest: int, hot, bloom, total: int, distinct: int, block: int):
-    """mapInArrow function: for each text, the model's score and what hot words give to the base score."""
+    """mapInArrow function: for each text, what hot words give to the base score, and the model's score if ``bloom`` is broadcast."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        known, model = hot.value, BloomFilter(*bloom.value)
-        scale = total + 0.5 * (distinct + 1)
+        known, model = hot.value, bloom and BloomFilter(*bloom.value)
         for vocabulary, ids, ends, held, doc_ids, row in _blocks(batches, mod, rest, block):
             counts = np.fromiter(map(known.get, vocabulary, repeat(0)), np.int64, len(vocabulary))
             gains = np.where(counts > 0, np.log10(counts + 0.5), 0.0)
@@ -361,19 +471,7 @@ def _score(mod: int, rest: int, hot, bloom, total: int, distinct: int, block: in
             base = np.bincount(docs, gains[ids], size) if len(ids) else np.zeros(size)
             n_known = np.bincount(docs, counts[ids] > 0, size) if len(ids) else np.zeros(size)
             n_tokens = np.diff(ends, prepend=0) + 1
-            h = _word_hashes(vocabulary)
-            before, word, stops = _with_ends(h[ids], ends)
-            single = np.empty(len(word))
-            end_at = stops - 1
-            mask = np.ones(len(word), bool)
-            mask[end_at] = False
-            single[mask] = model.counts(_unigram_keys(h))[ids]
-            single[end_at] = model.counts(_unigram_keys(np.array([END], np.uint64)))[0]
-            context = np.r_[single[end_at[:1]], single[:-1]] if len(single) else single
-            pair = np.minimum(model.counts(_bigram_keys(before, word)), np.minimum(single, context))
-            p = (pair + WEIGHT * (single + 0.5) / scale) / (context + WEIGHT)
-            starts = np.r_[0, stops[:-1]]
-            scores = np.add.reduceat(np.log10(p), starts) if size else np.zeros(0)
+            scores = _by_broadcast(model, vocabulary, ids, ends, total, distinct) if model else np.full(size, np.nan)
             columns = [
                 pa.array(range(row, row + size), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n_tokens, pa.int64()),
                 pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores),
@@ -389,9 +487,8 @@ class LanguageModel:
     Tokens are lower-cased words and one end a text.  Null texts count as empty,
     a null id as an empty text for the remainder.  Repeated rows count as often
     as they occur.  With no training rows, the base probabilities are those of
-    an empty corpus.  ``filter_bytes`` bounds the filter: a corpus of more
-    n-grams than fit raises the share of counts read too high, never the size,
-    and no n-gram is left out.
+    an empty corpus.  ``filter_bytes`` bounds what is broadcast, not the filter:
+    a larger one is probed by a join on its segments, with the same scores.
     """
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mod: int = 5, rest: int = 1, filter_bytes: int = 128 << 20, block_tokens: int = BLOCK_TOKENS):
@@ -408,19 +505,33 @@ class LanguageModel:
         keyed = self.docs.mapInArrow(lean(_ngram_counts(mod, rest, self.segment_bits, block_tokens)), "seg int, keys binary, counts binary")
         parts = min(1 << self.segment_bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
         dealt = keyed.repartition(parts, "seg").sortWithinPartitions("seg")
-        built = dealt.mapInArrow(lean(_segment(max(64, filter_bytes >> self.segment_bits))), "seg int, ngrams long, top int, size long, bits binary")
+        built = dealt.mapInArrow(lean(_segment()), "seg int, ngrams long, top int, size long, bits binary")
         self.segments = stored(built, "lm-filter")
-        self.bloom = spark.sparkContext.broadcast(self._gather())
+        self.filter_size, self.top = (x or 0 for x in self.segments.agg(F.sum(F.octet_length("bits")), F.max("top")).first())
+        self.bloom = spark.sparkContext.broadcast(self._gather()) if self.filter_size <= filter_bytes else None
 
     def _gather(self) -> tuple:
-        """The filter's segments, together at most ``filter_bytes``, on the driver."""
+        """The filter's segments, together of a size that can be broadcast, on the driver."""
         n = 1 << self.segment_bits
-        offsets, sizes, parts, at, top = [0] * n, [0] * n, [], 0, 0
+        offsets, sizes, parts, at = [0] * n, [0] * n, [], 0
         for r in self.segments.toLocalIterator():
-            offsets[r.seg], sizes[r.seg], top = at, r.size, max(top, r.top)
+            offsets[r.seg], sizes[r.seg] = at, r.size
             parts.append(bytes(r.bits))
             at += len(r.bits)
-        return self.segment_bits, offsets, sizes, b"".join(parts) or b"\0", top
+        return self.segment_bits, offsets, sizes, b"".join(parts) or b"\0", self.top
+
+    def _by_join(self) -> DataFrame:
+        """(row, score) by a filter in segments: they answer blocks of texts, and the answers are put together by block."""
+        asked = stored(self.docs.mapInArrow(lean(_asked(self.segment_bits, self.block)), "block long, seg int, keys binary, stops binary"), "lm-asked")
+        none = F.lit(None).cast("long")
+        bits = self.segments.select("seg", none.alias("block"), F.col("bits").alias("payload"), "size")
+        questions = bits.union(asked.where("seg >= 0").select("seg", "block", "keys", none))
+        parts = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        dealt = questions.repartition(min(1 << self.segment_bits, parts), "seg").sortWithinPartitions("seg", F.col("block").asc_nulls_first())
+        answers = dealt.mapInArrow(lean(_answers(self.top)), "block long, seg int, levels binary")
+        places = asked.where("seg < 0").select("block", "seg", "keys", "stops")
+        back = places.union(answers.select("block", "seg", "levels", F.lit(None).cast("binary"))).repartition(parts, "block").sortWithinPartitions("block", "seg")
+        return back.mapInArrow(lean(_answered(self.tokens, self.distinct)), "row long, score double")
 
     def score(self) -> DataFrame:
         """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -428,6 +539,8 @@ class LanguageModel:
             lean(_score(self.mod, self.rest, self.hot, self.bloom, self.tokens, self.distinct, self.block)),
             "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double",
         )
+        if self.bloom is None:
+            scored = scored.drop("score").join(self._by_join(), "row")
         ends = self.words.where("word = cast('' as binary)").agg(F.sum("n")).first()[0] or 0
         rare = self.docs.mapInArrow(lean(_rare_words(self.hot, self.block)), "word binary, rows array<long>, tfs array<int>")
         n = F.coalesce(F.col("n"), F.lit(0))

@@ -44,6 +44,19 @@ def test_small_blocks(spark):
     compare(LanguageModel(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_tokens=500).score(), rows)
 
 
+def test_a_filter_too_large_to_broadcast(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' limit 200").fetchall()
+    rows += [(None, None), (10**9, ""), (10**9 + 1, "never seen before")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, joined = LanguageModel(df), LanguageModel(df, filter_bytes=64, block_tokens=5000)
+    # the size follows from the levels, and how the filter is probed doesn't change a score
+    assert joined.filter_size == whole.filter_size > 64 and whole.bloom and joined.bloom is None
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    a, b = (sorted(m.score().collect(), key=key) for m in (whole, joined))
+    assert [key(r) for r in a] == [key(r) for r in b] and len(a) == len(rows)
+    assert np.allclose([r.score for r in a], [r.score for r in b], rtol=1e-12, atol=1e-12)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert LanguageModel(df).score().count() == 0
