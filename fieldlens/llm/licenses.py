@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs are the lines of a text, long ones in overlapping windows.  A sparse
+Paragraphs are the lines of a text, and lines that follow each other without a
+blank one, joined; long ones in overlapping windows.  A sparse
 logistic regression over hashed word unigrams and bigrams tells licence families
 from one another and from other text.  It is trained on the templates below, each
 with words left out and with other text around it, against a bounded sample of
@@ -112,14 +113,23 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def windows(text: Column) -> Column:
-    """The windows of all lines of a text, as arrays of words; a line of up to WINDOW words is one."""
-    lines = F.filter(F.transform(F.split(text, r"[\n\r]+"), words), lambda w: F.size(w) > 0)
+    """The windows of all lines of a text, then of all its paragraphs of more lines, as arrays of words; up to WINDOW words are one.
+
+    A paragraph ends at a line without words, so comment marks don't join what blank comment lines part.
+    """
 
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1 - (WINDOW - STEP), F.lit(0)), F.lit(STEP))
         return F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(WINDOW)))
 
-    return F.flatten(F.transform(lines, cut))
+    def all_of(parts: Column) -> Column:
+        return F.flatten(F.transform(F.filter(F.transform(parts, words), lambda w: F.size(w) > 0), cut))
+
+    # a line break between words of two lines, with no other line break between
+    wrapped = r"[\p{L}\p{N}][^\p{L}\p{N}\n]*\n[^\p{L}\p{N}\n]*[\p{L}\p{N}]"
+    ends = F.regexp_replace(text, r"\r\n?", "\n")
+    joined = F.filter(F.split(ends, r"\n[^\p{L}\p{N}]*\n"), lambda x: x.rlike(wrapped))
+    return F.concat(all_of(F.split(text, r"[\n\r]+")), all_of(joined))
 
 
 def _table(spark, rows: list[tuple[int, str]]) -> DataFrame:

@@ -127,6 +127,24 @@ def test_licences(spark):
     assert "bsd" in {r.licence for r in found if r.doc_id == -2}
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+
+
+def test_wrapped_licences(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    headers = [GPL, BSD, "\n".join("# " + x for x in GPL.split("\n")), "/*\r\n" + "\r\n".join(" * " + x for x in BSD.split("\n")) + "\r\n */"]
+    rows += [(-1 - k, f"First lines.\n\n{x}\n\nLast lines.") for k, x in enumerate(headers)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.licence for r in LicenceModel(df).scan(df).where("doc_id < 0").collect()}
+    assert [found[-1 - k] for k in range(4)] == ["gpl", "bsd", "gpl", "bsd"]
+
+
 def test_pipeline_by_hand(spark):
     """Each stage on its own input: what stays is what brute force leaves, unchanged."""
     from fieldlens.llm._common import stored
