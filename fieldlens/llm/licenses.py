@@ -5,9 +5,9 @@ blank one, joined; long ones in overlapping windows.  A sparse
 logistic regression over hashed word unigrams and bigrams tells licence families
 from one another and from other text.  It is trained on the templates below, each
 with words left out and with other text around it, against a bounded sample of
-the corpus's own paragraphs.  The unknown class is calibrated on a part of that
-sample that training doesn't see: a family must be likelier than all but one in
-a thousand ordinary paragraphs make it.  What passes is compared with the
+the corpus's own paragraphs.  The unknown class is calibrated on all windows of
+the corpus that no template confirms: a family must be likelier than all but one
+in a thousand of them make it.  What passes is compared with the
 family's templates, word pair by word pair, and is confirmed if it holds most of
 one.
 """
@@ -139,7 +139,7 @@ def _table(spark, rows: list[tuple[int, str]]) -> DataFrame:
 
 
 class LicenceModel:
-    """Fitted on the templates and on lines of ``SAMPLE_TEXTS`` texts of ``df``, picked by a hash of the id."""
+    """Fitted on the templates and on lines of ``SAMPLE_TEXTS`` texts of ``df``, picked by a hash of the id; calibrated on all of ``df``."""
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id"):
         spark = df.sparkSession
@@ -150,32 +150,51 @@ class LicenceModel:
         known = _table(spark, [(i, t) for i, f in enumerate(FAMILIES) for t in TEMPLATES.get(f, DECOYS)]).select("label", words(F.col("text")).alias("w"))
         known = known.where(F.size("w") > 0)
         close = known.where("label > 0").select("w", "label")
-        confirmed = reduce(F.greatest, (self.share(F.col("w"), F.lit(i)) for i in range(1, len(FAMILIES))))
-        other = stored(other.where(confirmed < 0.5).select("w", (F.abs(F.hash("w")) % 4 == 0).alias("calibrates")), "licence-other")
+        other = stored(other.where(self.confirmed(F.col("w")) < 0.5).select("w"), "licence-other")
 
         # a template with each word left out, its halves, and with ordinary words before and after it
         n = F.size("w")
         left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n - i)))
         variants = known.select("label", F.explode(F.concat(F.array("w"), left_out)).alias("w"))
-        around = other.where("not calibrates").select(F.slice("w", 1, 12).alias("around"), F.pmod(F.hash("w"), F.lit(16)).alias("slot"))
+        around = other.select(F.slice("w", 1, 12).alias("around"), F.pmod(F.hash("w"), F.lit(16)).alias("slot"))
         around = around.groupBy("slot").agg(F.first("around").alias("around"))
         slots = close.select("label", "w", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
         within = slots.join(around, "slot").select("label", F.when(F.col("slot") % 2 == 0, F.concat("around", "w")).otherwise(F.concat("w", "around")).alias("w"))
-        train = variants.union(within).union(other.where("not calibrates").select(F.lit(0).alias("label"), "w"))
+        train = variants.union(within).union(other.select(F.lit(0).alias("label"), "w"))
         train = stored(train.where(F.size("w") > 0), "licence-training")
         share = train.groupBy("label").agg(F.count("*").alias("n"))
         weighed = train.join(share, "label").withColumn("weight", F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(60.0) / F.col("n")))
         learner = LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=60)
         self.model = learner.fit(_features(weighed.withColumn("label", F.col("label").cast("double"))))
-        likely = self.classified(other.where("calibrates")).agg(F.expr("percentile(likely, 0.999)")).first()[0]
+        self.fitted_on = df, text_col, id_col
+        self.told = stored(self._told(df, text_col, id_col), "licence-told")
+        ordinary = self.told.where("real and (confirmed is null or confirmed < 0.5)")
+        likely = ordinary.agg(F.percentile_approx("likely", F.lit(0.999), F.lit(100_000))).first()[0]
         self.threshold = max(0.5, likely or 0.0)
 
+    def _told(self, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+        """A row a window, and one for a text without: doc_id, row, real, likely, family, and above the least threshold, 0.5, share and confirmed.
+
+        A window below that ranks as ordinary whether a template confirms it or not.
+        """
+        docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+        cut = docs.select("doc_id", "row", F.explode_outer(windows(F.col("text"))).alias("found"))
+        told = self.classified(cut.select("doc_id", "row", F.col("found").isNotNull().alias("real"), F.coalesce("found", F.array().cast("array<string>")).alias("w")))
+        near = F.col("real") & (F.col("likely") >= 0.5)
+        share, confirmed = F.when(near, self.share(F.col("w"), F.col("family"))), F.when(near, self.confirmed(F.col("w")))
+        return told.select("doc_id", "row", "real", "likely", "family", share.alias("share"), confirmed.alias("confirmed"))
+
     def classified(self, df: DataFrame) -> DataFrame:
         """``df`` (w: words) with family (number of the likeliest that isn't unknown) and likely (its probability)."""
         p = vector_to_array(F.col("probability"))
         told = self.model.transform(_features(df)).withColumn("p", F.slice(p, 2, len(FAMILIES) - 1)).drop("features", "rawPrediction", "probability", "prediction")
         return told.withColumn("likely", F.array_max("p")).withColumn("family", F.array_position("p", F.col("likely")).cast("int")).drop("p")
 
+    @classmethod
+    def confirmed(cls, w: Column) -> Column:
+        """The largest share of a template of any family that ``w`` holds."""
+        return reduce(F.greatest, (cls.share(w, F.lit(i)) for i in range(1, len(FAMILIES))))
+
     @staticmethod
     def share(w: Column, family: Column) -> Column:
         """The largest share of a template of ``family`` whose words and word pairs ``w`` holds."""
@@ -198,12 +217,10 @@ class LicenceModel:
         texts have no paragraph.  Repeated rows are documents of their own.  Other
         columns are left out.  An empty table gives an empty result.
         """
-        docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-        cut = docs.select("doc_id", "row", F.explode_outer(windows(F.col("text"))).alias("found"))
-        told = self.classified(cut.select("doc_id", "row", F.col("found").isNotNull().alias("real"), F.coalesce("found", F.array().cast("array<string>")).alias("w")))
+        fitted, *columns = self.fitted_on
+        told = self.told if df is fitted and columns == [text_col, id_col] else self._told(df, text_col, id_col)
         passes = F.col("real") & (F.col("likely") >= self.threshold)
-        share = F.when(passes, self.share(F.col("w"), F.col("family")))
-        told = told.select("doc_id", "row", "real", passes.alias("passes"), F.when(share >= CONFIRM, F.struct("likely", "family")).alias("hit"))
+        told = told.select("doc_id", "row", "real", passes.alias("passes"), F.when(passes & (F.col("share") >= CONFIRM), F.struct("likely", "family")).alias("hit"))
         per = told.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.count_if("real").alias("n_windows"), F.count_if("passes").alias("n_found"),
             F.max("hit").alias("best"), F.sort_array(F.collect_set(F.col("hit.family"))).alias("all"),

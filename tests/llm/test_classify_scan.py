@@ -145,6 +145,20 @@ def test_wrapped_licences(spark):
     assert [found[-1 - k] for k in range(4)] == ["gpl", "bsd", "gpl", "bsd"]
 
 
+def test_calibrates_on_all_windows(spark):
+    rng = np.random.default_rng(3)
+    nouns = "river stone table window garden paper winter signal market engine bridge letter summer island forest copper".split()
+    odd = "Permission is hereby granted to any person obtaining a copy", "This work is licensed under a Zeta charter"
+    rows = [(d, "\n\n".join([*(" ".join(rng.choice(nouns, 9)) for _ in range(20)), odd[d % 2]])) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = LicenceModel(df)
+    # the odd lines come after the lines that the model is fitted on; they are ordinary windows all the same
+    found = model.scan(df).collect()
+    assert len(found) == 40 and {r.n_windows for r in found} == {21}
+    likely = [r.likely for r in model.told.where("real and (confirmed is null or confirmed < 0.5)").collect()]
+    assert model.threshold >= 0.5 and max(likely) > 0.5 and np.mean(np.array(likely) > model.threshold) <= 0.001
+
+
 def test_pipeline_by_hand(spark):
     """Each stage on its own input: what stays is what brute force leaves, unchanged."""
     from fieldlens.llm._common import stored
