@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,27 +15,61 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fieldlens-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Paths of the tables that each open ``scratch`` has seen written, innermost last.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage: later stages survive the loss of an executor without
     recomputing what came before, and joins start from exchanges of their own,
-    which adaptive execution can split when a key is hot.
+    which adaptive execution can split when a key is hot.  The table stays until
+    the ``scratch`` that it was written in ends, without one as long as the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what ``stored`` has written meanwhile; a result must be written elsewhere before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept_table(spark: SparkSession, make, name: str) -> DataFrame:
+    """The table that ``make()`` gives, stored; what was stored on the way is removed."""
+    path = f"{shared_dir(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
+    with scratch(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores put in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from ._common import stored
 
+#: Parts that the children of a node are dealt into.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``many`` with the row of ``one`` (unique by ``key``): a frequent key's rows are dealt into SALTS parts by ``spread``."""
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS))).join(copies, [key, "_salt"], how).drop("_salt")
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every endpoint of ``edges`` (a, b: long); root is the smallest node reachable.
@@ -14,17 +23,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round hooks a node, and the node it points to, to the smallest
     grandparent among its neighbours, and shortcuts to its own grandparent; the
     rounds grow with the logarithm of the longest path.  The edges are never
-    rewritten, so no join key gets more rows than a node has neighbours, except
-    the lookup of grandparents, a plain join of two stored tables that adaptive
-    execution splits where many nodes share a parent.  The driver sees only one
+    rewritten, so no join key gets more rows than a node has neighbours.  Where
+    many nodes share a parent, looking up grandparents is salted: each parent is
+    there once for each of ``SALTS`` parts of the nodes.  The driver sees only one
     sum a round: labels only fall, so an equal sum means nothing has changed.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "cc-labels")
     total = None
     while True:
-        parent = labels.select(F.col("node").alias("root"), F.col("root").alias("grand"))
-        grand = labels.join(parent, "root").select("node", "root", "grand")
+        parents = labels.select("root").distinct().withColumnRenamed("root", "node").join(labels, "node")
+        parents = parents.select(F.col("node").alias("root"), F.col("root").alias("grand"))
+        grand = salted_join(labels, parents, "root", "node").select("node", "root", "grand")
         offers = both.join(grand.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("offer"))
         moves = grand.join(offers, "node").select(
             F.explode(F.array(

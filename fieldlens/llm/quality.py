@@ -4,8 +4,8 @@ A document is a bag of passages.  Each passage is encoded from its characters an
 the recurrence of its words; a gated attention weighs the encodings, and the
 weighted sum decides.  Only documents have labels, so encoder, attention and
 decision are learned together, by gradients of the documents' loss.  The model
-is fitted on a bounded sample of the labelled rows, ``sample`` of them at most,
-and of a fixed size, whatever the corpus.
+is fitted on a bounded sample of the labelled rows, each with all its passages,
+and is of a fixed size, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, lean, slices, small_batches
+from ._common import binary_list, lean, release_memory, small_batches, stored
 
 #: Words of a passage.
 PASSAGE = 48
@@ -132,12 +132,18 @@ def gradients(w: dict, x, starts, kept, dy) -> dict:
 
 
 def train(bags: list, labels, epochs: int = EPOCHS, seed: int = SEED) -> dict:
-    """Weights for bags of passages with labels of 0 or 1, by Adam on the log loss; the same for the same input."""
+    """Weights for bags of passages with labels of 0 or 1, by Adam on the log loss; the same for the same input.
+
+    Passages stay as they come, in single precision if they do so; a batch at a
+    time is scaled, so memory is that of the bags.
+    """
     import numpy as np
 
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags) if bags else np.zeros((1, FEATURES))
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+    sizes = np.array([len(b) for b in bags], np.int64)
+    first = np.cumsum(sizes) - sizes
+    mean, scale = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
     labels = np.asarray(labels, float)
     share = (labels.sum() + 1) / (len(labels) + 2)
     n = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -148,14 +154,13 @@ def train(bags: list, labels, epochs: int = EPOCHS, seed: int = SEED) -> dict:
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     if not bags:
         w["decide"] *= 0
-    clip = lambda x: np.clip((x - mean) / scale, -6, 6)
-    bags = [clip(b) for b in bags]
     for epoch in range(epochs if bags else 0):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            x = np.concatenate([bags[i] for i in some])
-            starts = np.r_[0, np.cumsum([len(bags[i]) for i in some])[:-1]]
+            rows = np.concatenate([np.arange(first[i], first[i] + sizes[i]) for i in some])
+            x = np.clip((every[rows].astype(float) - mean) / scale, -6, 6)
+            starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
             y, kept = forward(w, x, starts)
             grads = gradients(w, x, starts, kept, (_sigmoid(y) - labels[some]) / len(some))
             step += 1
@@ -186,64 +191,76 @@ def remainder(id_col: str, mod: int) -> Column:
 class QualityModel:
     """Fitted on rows of ``docs`` (id, text) that ``labels`` (id, label of 0 or 1) marks.
 
-    At most ``sample`` labelled ids are taken, by a hash of the id, and of a
-    training text at most ``bag`` passages, evenly spaced.  Labels that are
-    neither 0 nor 1 are left out; of several labels of an id the smallest
-    counts, as does one of several texts.  With no labelled rows, every score is
-    one half.
+    Labelled ids are taken in the order of a hash of the id, ``sample`` at most,
+    and fewer where their texts have more than ``most_passages`` passages
+    together; of each that is taken, all passages count.  Labels other than
+    exactly 0 or 1 are left out; of several labels of an id the smallest counts,
+    as does one of several texts.  Null texts count as empty ones; null ids are
+    never labelled.  With no labelled rows, every score is one half.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = 8000, bag: int = 256):
+    def __init__(
+        self, docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = 8000, most_passages: int = 400_000,
+    ):
         small_batches(docs.sparkSession)
-        label = F.col(f"`{label_col}`").cast("int")
-        marked = labels.select(F.col(f"`{id_col}`").alias("id"), label.alias("label")).where("label in (0, 1) and id is not null")
-        marked = marked.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+        number = F.col(f"`{label_col}`").cast("double")
+        marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), number.alias("label")).where("label in (0.0, 1.0) and id is not null")
+        marked = marked.groupBy("id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
         text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-        rows = docs.select(F.col(f"`{id_col}`").alias("id"), text).join(F.broadcast(marked), "id").select("text", "label", "id")
-        encoded = rows.mapInArrow(lean(_encode(bag)), "label int, n int, features binary, id long")
-        encoded = encoded.groupBy("id").agg(F.min(F.struct("label", "n", "features")).alias("x")).select("x.*").collect()
-        self.weights = self._fit(encoded)
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text).join(F.broadcast(marked), "id").select("text", "label", "id")
+        encoded = rows.mapInArrow(lean(_encode), "label int, n int, features binary, id long")
+        encoded = stored(encoded.groupBy("id").agg(F.min(F.struct("label", "n", "features")).alias("x")).select("id", "x.*"), "quality-training")
+        order = [F.xxhash64("id"), F.col("id")]
+        taken, total = [], 0
+        for r in encoded.select("id", "n").orderBy(*order).collect():  # ``sample`` rows at most
+            total += r.n
+            if total > most_passages and taken:
+                break
+            taken.append(r.id)
+        if total > most_passages:
+            encoded = encoded.where(F.col("id").isin(taken))
+        self.weights = self._fit(encoded.select("label", "n", "features").toLocalIterator())
         self.shared = docs.sparkSession.sparkContext.broadcast(self.weights)
 
     @staticmethod
     def _fit(rows) -> dict:
         import numpy as np
 
-        rows = sorted(rows, key=lambda r: (bytes(r.features), r.label))
-        bags = [np.frombuffer(bytes(r.features), np.float32).reshape(r.n, FEATURES).astype(float) for r in rows]
-        return train(bags, [r.label for r in rows])
+        rows = sorted(((bytes(r.features), r.label) for r in rows))
+        bags = [np.frombuffer(features, np.float32).reshape(-1, FEATURES) for features, _ in rows]
+        return train(bags, [label for _, label in rows])
 
     def score(self, df: DataFrame, text_col: str = "text", score_col: str = "score") -> DataFrame:
-        """``df`` with a score from 0 to 1 for each row, from its whole text alone; null texts count as empty."""
-        weights, at = self.shared, df.columns.index(text_col)
-        names = [*df.columns, score_col]
-
-        def run(batches):
-            import pyarrow as pa
+        """``df`` with a score from 0 to 1 for each row, from its whole text alone; null texts count as empty.
 
-            for b in (part for batch in batches for part in slices(batch)):
-                texts, scores = binary_list(b.column(at)), []
-                for k in range(0, len(texts), 64):
-                    scores += predict(weights.value, [passages(t) for t in texts[k : k + 64]]).tolist()
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=names)
+        Equal texts get equal scores.  A column of the name ``score_col`` is
+        replaced.  Only texts go to Python, and only scores come back.  An empty
+        table gives an empty result.
+        """
+        small_batches(df.sparkSession)
+        weights = self.shared
 
-        schema = df.withColumn(score_col, F.lit(0.0)).schema
-        for field in schema:
-            field.nullable = True
-        return df.mapInArrow(lean(run), schema)
+        @F.arrow_udf("double")
+        def score(texts):
+            import pyarrow as pa
 
+            found, scores = binary_list(texts), []
+            for k in range(0, len(found), 64):
+                scores += predict(weights.value, [passages(t) for t in found[k : k + 64]]).tolist()
+            del found
+            release_memory()
+            return pa.array(scores, pa.float64())
 
-def _encode(bag: int):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+        return df.withColumn(score_col, score(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
-        for b in batches:
-            for text, label, id_ in zip(binary_list(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = passages(text)
-                x = x[np.linspace(0, len(x) - 1, min(bag, len(x))).astype(int)].astype(np.float32)
-                row = [label], [len(x)], [x.tobytes()], [id_]
-                kinds = pa.int32(), pa.int32(), pa.binary(), pa.int64()
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["label", "n", "features", "id"])
 
-    return run
+def _encode(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        for text, label, id_ in zip(binary_list(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            x = passages(text).astype(np.float32)
+            row = [label], [len(x)], [x.tobytes()], [id_]
+            kinds = pa.int32(), pa.int32(), pa.binary(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["label", "n", "features", "id"])

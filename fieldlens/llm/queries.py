@@ -85,10 +85,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(_table(spark, sf_dir, "documents")).taken()
 
 
-#: A source's stream is its documents by md5 of the id; the mix takes it from the start, up to the target.
+#: A source's stream is its documents by md5 of id and size; the mix takes it from the start, up to the target.
 OP5_SQL = r"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '')) as digest
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, row_number() over () as row
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
 w as (select *, case k % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 2 * source_size as cap from s),
@@ -102,7 +102,7 @@ g as (select source, source_size, least(cast(cap as double),
     coalesce((select arg_min(level, (ratio, k)) from l where ratio > level) * weight, cast(cap as double))) as target from l),
 p as (
   select d.*, g.source_size, g.target, cast(floor(g.target + 0.5) as bigint) as quota,
-    cast(sum(size) over (partition by d.source order by digest, size rows unbounded preceding) as bigint) - size as start
+    cast(sum(size) over (partition by d.source order by md5(coalesce(cast(doc_id as varchar), '') || ':' || size), size, row rows unbounded preceding) as bigint) - size as start
   from d join g on d.source is not distinct from g.source)
 select doc_id, size, source_size, target,
   greatest(least(start + size, quota) - start, 0) + greatest(least(start + size, quota - source_size) - start, 0) as taken

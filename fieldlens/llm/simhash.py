@@ -5,14 +5,18 @@ One differing bit changes one count by one, so the Manhattan distance of two
 embeddings is a lower bound of the Hamming distance.  The range join under that
 distance runs on a grid: the 32 axes are cut into ``radius + 3`` groups, a
 distance of at most ``radius`` leaves at least three groups untouched, so two
-near points share a unit cell in one of the projections onto three groups.
-
-A cell of two points gives its pair, which the lower bound filters and the exact
-distance verifies.  Points of fuller cells are linked without making the pairs of
-a cell: a point goes to the balls around it (itself and, at radius 2, the 64
-fingerprints one bit away); two points are within two bits exactly if they meet
-in a ball, and a ball holds at most 65 different points.  So the work stays in
-proportion to the points, however many near copies share a cell.
+near points share a unit cell in one of the projections onto three groups.  The
+points of a cell are paired, the lower bound filters the pairs, and the exact
+distance verifies them.
+
+A cell of more than ``CELL`` points is divided further: its points are dealt into
+finer cells, over segments of one bit, of which a pair within the radius leaves
+all but two groups untouched; first ten groups, then, where even those cells are
+full, one for each axis, whose cells hold at most sixteen points.  So a point has
+a bounded number of partners, however many near copies there are.
+
+With ``similarity``, documents link if their sets of word shingles have at least
+that Jaccard similarity (see ``similar``).
 """
 
 from __future__ import annotations
@@ -24,27 +28,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from ._common import binary_list, free_name, lean, slices, small_batches, stored
-from .components import connected_components
+from .components import connected_components, salted_join
 
 SEGMENTS = 32
 #: The low bit of each two-bit segment.
 LOW = 0x5555555555555555
-#: Largest Hamming distance of a link; the balls above are those of this radius.
+#: Largest Hamming distance of a link, groups of axes, and points of a cell that are paired.
 RADIUS = 2
 GROUPS = RADIUS + 3
+CELL = 64
+#: Groups of axes of the finer grids; a pair within the radius differs in two groups at most.  Points of a cell that leaves two axes open.
+FINER, LAST = [10, SEGMENTS], 16
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of word shingles: XXH64 with seed 42, a bit is set if it is in over half of the hashes."""
+def shingle_hashes(text: bytes, words: int):
+    """XXH64, seed 42, of the word shingles of a text, repeats included; a text of fewer words is one shingle, one without words has none."""
     import numpy as np
     import xxhash
 
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+
+def majority(h) -> int:
+    """The bits that are set in over half of the hashes; none without hashes."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):
         part = h[k : k + 4096]
@@ -52,17 +66,27 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(text_at: int, keep: list[int], words: int, names: list[str]):
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of word shingles: a bit is set if it is in over half of the hashes."""
+    return majority(shingle_hashes(text, words))
+
+
+def _fingerprints(text_at: int, keep: list[int], words: int, names: list[str], similarity: float | None):
     def run(batches):
         import pyarrow as pa
 
         task = TaskContext.get()
         serial = (task.partitionId() if task else 0) << 40
         for b in (part for batch in batches for part in slices(batch)):
-            found = [fingerprint(t, words) for t in binary_list(b.column(text_at))]
-            rows = range(serial, serial + len(found))
-            serial += len(found)
-            meta = pa.StructArray.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.int64())], names=["row", "fp"])
+            hashes = [shingle_hashes(t, words) for t in binary_list(b.column(text_at))]
+            rows = range(serial, serial + len(hashes))
+            serial += len(hashes)
+            parts = {"row": pa.array(rows, pa.int64()), "fp": pa.array([majority(h) for h in hashes], pa.int64())}
+            if similarity is not None:
+                sets = [similar.shingle_set(h) for h in hashes]
+                parts["shingles"] = pa.array(sets, pa.list_(pa.int64()))
+                parts["samples"] = pa.array([similar.samples(x) for x in sets], pa.list_(pa.int64()))
+            meta = pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), meta], names=names)
 
     return run
@@ -94,65 +118,101 @@ def cell_masks() -> list[int]:
     return [_signed(a | b | c) for a, b, c in combinations(groups, 3)]
 
 
-def links(points: DataFrame) -> DataFrame:
-    """Edges (a, b) between the different fingerprints ``points`` (fp: long) that connect all at most two bits apart."""
-    e = embedding(F.col("fp"))
-    cells = points.select("fp", F.posexplode(F.array(*(e.bitwiseAND(F.lit(m)) for m in cell_masks()))).alias("projection", "cell"))
-    counted = stored(
-        cells.groupBy("projection", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-cells"
-    )
+def finer_masks(n: int) -> list[int]:
+    """For each two of ``n`` groups of axes, the bits of the fingerprint outside them."""
+    groups = [0] * n
+    for segment in range(SEGMENTS):
+        groups[segment * n // SEGMENTS] |= 3 << (2 * segment)
+    return [_signed(~(a | b) & (1 << 64) - 1) for a, b in combinations(groups, RADIUS)]
+
+
+def _cell_pairs(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b of the cells of up to ``most`` points that pass both distances, cells that are fuller) of ``cells`` (fp, projection, cell)."""
+    key = ["projection", "cell"]
+    counted = stored(cells.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "simhash-cells")
+    small = cells.join(counted.where(F.col("n") <= most).select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("fp").alias("fps"))
+    pairs = small.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b")
     a, b = F.col("a"), F.col("b")
-    pairs = counted.where("n = 2").where(manhattan(embedding(a), embedding(b)) <= RADIUS).where(F.bit_count(a.bitwiseXOR(b)) <= RADIUS).select("a", "b")
-    full = counted.where("n > 2").select("projection", "cell")
-    dense = cells.join(full, ["projection", "cell"], "left_semi").select("fp").distinct()
-    centres = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    balls = dense.select("fp", F.explode(centres).alias("centre")).groupBy("centre").agg(F.collect_list("fp").alias("fps"), F.min("fp").alias("a"))
-    stars = balls.where(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).where("a <> b")
-    return pairs.union(stars).distinct()
+    near = pairs.where(manhattan(embedding(a), embedding(b)) <= RADIUS).where(F.bit_count(a.bitwiseXOR(b)) <= RADIUS)
+    return near, counted.where(F.col("n") > most).select(*key)
+
+
+def links(points: DataFrame) -> DataFrame:
+    """Edges (a, b) between all different fingerprints ``points`` (fp: long) that are at most two bits apart."""
+    dealt = lambda df, of, masks: df.select("fp", F.posexplode(F.array(*(of.bitwiseAND(F.lit(m)) for m in masks))).alias("projection", "cell"))
+    cells = dealt(points, embedding(F.col("fp")), cell_masks())
+    found, full = _cell_pairs(cells, CELL)
+    for n in FINER:
+        if full.isEmpty():
+            break
+        dense = stored(cells.join(full, ["projection", "cell"], "left_semi").select("fp").distinct(), "simhash-dense")
+        cells = dealt(dense, F.col("fp"), finer_masks(n))
+        more, full = _cell_pairs(cells, CELL if n < SEGMENTS else LAST)
+        found = found.union(more)
+    return found.distinct()
 
 
 class SimHashDedup:
-    """Near-duplicate groups of ``df``: documents whose fingerprints link at two or fewer differing bits, transitively.
-
-    Null and empty texts have fingerprint zero, which links like any other.
-    Texts of fewer words than a shingle count as one shingle.  Repeated rows are
-    rows of their own in one group.  Null ids are greater than any other here: a
-    component's id is null only if all its ids are.  Other columns are carried
-    along if ``carry`` is set, whatever their names.  An empty table gives an
-    empty result.
+    """Near-duplicate groups of ``df``: documents that link, transitively.
+
+    Without ``similarity``, documents link if their fingerprints of ``words``-word
+    shingles, repeats included, differ in two bits at most; null and empty texts
+    have fingerprint zero, which links like any other.  With it, they link if
+    their shingle sets are that similar; texts without words link with each
+    other.  Texts of fewer words than a shingle count as one shingle.  Repeated
+    rows are rows of their own in one group.  Null ids are greater than any other
+    here: a component's id is null only if all its ids are.  Other columns are
+    carried along if ``carry`` is set, whatever their names.  An empty table gives
+    an empty result.
     """
 
-    def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, carry: bool = False):
+    def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, carry: bool = False, similarity: float | None = None):
         small_batches(df.sparkSession)
         self.id_col = id_col
         self.columns = df.columns if carry else [id_col]
         self.meta = free_name(df, "_simhash")
         keep = [df.columns.index(c) for c in self.columns]
         fields = [T.StructField(c, df.schema[c].dataType) for c in self.columns]
-        schema = T.StructType([*fields, T.StructField(self.meta, T.StructType.fromDDL("row long, fp long"))])
-        run = _fingerprints(df.columns.index(text_col), keep, words, schema.names)
+        more = "" if similarity is None else ", shingles array<long>, samples array<long>"
+        schema = T.StructType([*fields, T.StructField(self.meta, T.StructType.fromDDL("row long, fp long" + more))])
+        run = _fingerprints(df.columns.index(text_col), keep, words, schema.names, similarity)
         self.docs = stored(df.mapInArrow(lean(run), schema), "simhash-docs")
-        fp = F.col(f"`{self.meta}`.fp").alias("fp")
-        points = stored(self.docs.select(fp, F.col(f"`{id_col}`").alias("id")).groupBy("fp").agg(F.min("id").alias("id")), "simhash-points")
-        roots = connected_components(stored(links(points.select("fp")), "simhash-links"))
-        rooted = stored(
-            points.join(roots, points.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "simhash-rooted"
-        )
-        least = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "simhash-least")
-        self.groups = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
+        m = lambda f: F.col(f"`{self.meta}`.{f}").alias(f)
+        id_ = F.col(f"`{id_col}`").alias("id")
+        #: What a group is found by: the fingerprint, or the row where texts link by themselves.
+        self.key = "fp" if similarity is None else "row"
+        if similarity is None:
+            points = stored(self.docs.select(m("fp"), id_).groupBy("fp").agg(F.min("id").alias("id")), "simhash-points")
+            roots = connected_components(stored(links(points.select("fp")), "simhash-links"))
+        else:
+            points = self.docs.select(m("row"), id_)
+            roots = similar.components(self.docs.select(m("row"), m("shingles"), m("samples")), similarity)
+        named = points.withColumnRenamed(self.key, "node").join(roots, "node").select("node", "root", "id")
+        #: Nodes that link: node, root.
+        self.roots = roots
+        self.least = stored(named.groupBy("root").agg(F.min("id").alias("component_id")), "simhash-least")
+
+    def _rooted(self) -> DataFrame:
+        """A row for each input row: id, row, fp, root (null where nothing links)."""
+        m = lambda f: F.col(f"`{self.meta}`.{f}").alias(f)
+        rows = self.docs.select(F.col(f"`{self.id_col}`").alias("id"), m("row"), m("fp"))
+        return salted_join(rows, self.roots.withColumnRenamed("node", self.key), self.key, "row", "left")
 
     def members(self) -> DataFrame:
         """A row for each input row: id, fingerprint (16 hex digits), component_id."""
-        rows = self.docs.select(f"`{self.id_col}`", F.col(f"`{self.meta}`.fp").alias("fp"))
+        rows = self._rooted()
         hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-        return rows.join(self.groups, "fp").select(f"`{self.id_col}`", hexed, "component_id")
+        # rows that link to nothing else: all of one fingerprint, or one row
+        alone = rows.where("root is null")
+        own = alone.groupBy(self.key).agg(F.min("id").alias("component_id"))
+        alone = salted_join(alone, own, self.key, "row").select("id", hexed, "component_id")
+        linked = salted_join(rows.where("root is not null"), self.least, "root", "row").select("id", hexed, "component_id")
+        return alone.union(linked).withColumnRenamed("id", self.id_col)
 
     def kept(self) -> DataFrame:
         """One row of each group, that of the smallest id, with the columns of the input."""
-        m = lambda f: F.col(f"`{self.meta}`.{f}").alias(f)
-        id_ = F.col(f"`{self.id_col}`")
-        rows = self.docs.select(m("fp"), m("row"), id_.isNull().alias("no_id"), id_.alias("id"))
-        first = rows.join(self.groups, "fp").groupBy("root").agg(F.min(F.struct("no_id", "id", "row")).alias("first"))
+        group = F.struct("root", F.when(F.col("root").isNull(), F.col(self.key)).alias("own"))
+        first = self._rooted().groupBy(group.alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
         # a row for each document that stays: a merge join at every size, never a broadcast
         first = first.select(F.col("first.row").alias(f"{self.meta}_row")).hint("merge")
         out = self.docs.join(first, F.col(f"`{self.meta}`.row") == F.col(f"`{self.meta}_row`"), "left_semi")

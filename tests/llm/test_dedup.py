@@ -1,11 +1,10 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from fieldlens.llm import exact_dedup
 from fieldlens.llm.components import connected_components
 from fieldlens.llm.exact_dedup import ExactDedup, grace_groups
 from fieldlens.llm.simhash import SimHashDedup, cell_masks, fingerprint
@@ -120,10 +119,41 @@ def test_simhash_against_all_pairs(spark):
     assert rows_of(SimHashDedup(df, words=3).members()) == simhash_by_hand(rows, 3)
 
 
-def test_simhash_full_cells(spark, monkeypatch):
-    """Fingerprints packed closely, so that most cells are full: every link within two bits is found."""
+def parts_by_hand(points, near):
+    """Groups of more than one of ``points`` that link by ``near(point, array of points)``."""
+    import numpy as np
+
+    every, left, parts = np.array(points), np.ones(len(points), bool), []
+    for i in range(len(points)):
+        if not left[i]:
+            continue
+        left[i], part, todo = False, [], [i]
+        while todo:
+            k = todo.pop()
+            part.append(k)
+            more = np.flatnonzero(left & near(every[k], every))
+            left[more] = False
+            todo += more.tolist()
+        if len(part) > 1:
+            parts.append(sorted(points[k] for k in part))
+    return sorted(parts)
+
+
+def groups_of(roots):
+    found = defaultdict(list)
+    for node, root in roots.collect():
+        found[root].append(node)
+    return sorted(map(sorted, found.values()))
+
+
+@pytest.mark.parametrize("cell", [2, 5, 64])
+def test_simhash_full_cells(spark, monkeypatch, cell):
+    """Fingerprints packed closely, thousands in a cell, so that finer grids are needed: every link within two bits is found."""
+    import numpy as np
+
     import fieldlens.llm.simhash as simhash
 
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = random.Random(3)
     near = [0]
     for _ in range(300):
@@ -131,23 +161,62 @@ def test_simhash_full_cells(spark, monkeypatch):
         for _ in range(rng.choice((1, 2, 2, 3))):
             x ^= 1 << rng.randrange(64)
         near.append(x)
-    points = sorted(set(near) | {rng.getrandbits(64) for _ in range(200)})
-    signed = [simhash._signed(x) for x in points]
-    roots = connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")))
-    found = defaultdict(set)
-    for node, root in roots.collect():
-        found[root].add(node)
-    left, parts = set(range(len(points))), []
-    while left:
-        part, todo = set(), [left.pop()]
-        while todo:
-            i = todo.pop()
-            part.add(signed[i])
-            more = {j for j in left if (points[i] ^ points[j]).bit_count() <= 2}
-            left -= more
-            todo += more
-        parts.append(part)
-    assert sorted(map(sorted, found.values())) == sorted(sorted(p) for p in parts if len(p) > 1)
+    centre = rng.getrandbits(64)
+    for _ in range(2500 if cell == 64 else 300):  # about one centre, up to five bits away
+        x = centre
+        for _ in range(rng.randint(0, 5)):
+            x ^= 1 << rng.randrange(64)
+        near.append(x)
+    points = [simhash._signed(x) for x in sorted(set(near) | {rng.getrandbits(64) for _ in range(200)})]
+    roots = connected_components(simhash.links(spark.createDataFrame([(x,) for x in points], "fp long")))
+    want = parts_by_hand(points, lambda x, every: np.bitwise_count((x ^ every).view(np.uint64)) <= 2)
+    assert groups_of(roots) == want and max(map(len, want)) > (1000 if cell == 64 else 100)
+
+
+def jaccard_by_hand(a, b):
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"w{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("bucket", [3, 64])
+def test_similar_against_all_pairs(spark, monkeypatch, bucket):
+    """Groups of all pairs that share 0.8 of their five-word shingles; large buckets too."""
+    from fieldlens.llm import similar
+
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    texts = [t for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' limit 250").fetchall()]
+    for n, copies in ((60, 30), (300, 60), (12, 10), (6, 6)):
+        words = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        texts += [edited(rng, words, rng.randint(0, max(1, n // 40))) for _ in range(copies)]
+    texts += [None, "", " \n", "One two", "one TWO", "one two three four five", "one two three four five six"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in SimHashDedup(df, words=5, similarity=0.8).members().collect()}
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in split]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard_by_hand(sets[i], sets[j]) >= 0.8]
+    want = dict(tuple(r) for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert all(want.get(i, i) == want.get(c, c) for i, c in found.items())  # nothing that doesn't link
+    caught = sum(found[i] == found[j] for i, j in pairs) / len(pairs)
+    assert len(pairs) > 500 and caught > (0.99 if bucket == 64 else 0.95)
+
+
+def test_similar_edges(spark):
+    rows = [(None, None, 1), (3, "", 2), (3, "", 2), (5, "a b c d e f g", 3), (None, "A B C D E F G", 4), (6, "long " * 200_000, 5), (7, "long " * 200_001, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _simhash int")
+    dedup = SimHashDedup(df, carry=True, similarity=0.8)
+    assert sorted(tuple(r) for r in dedup.kept().collect()) == [(3, "", 2), rows[3], rows[5]]
+    assert Counter((r.doc_id, r.component_id) for r in dedup.members().collect()) == Counter({(3, 3): 2, (None, 3): 1, (5, 5): 1, (None, 5): 1, (6, 6): 1, (7, 6): 1})
+    none = SimHashDedup(df.where("false"), carry=True, similarity=0.8)
+    assert none.kept().count() == 0 and none.members().count() == 0 and none.kept().columns == df.columns
 
 
 def test_embedding_is_a_lower_bound(spark):
@@ -172,13 +241,16 @@ def test_simhash_keeps_one_of_each_group(spark):
     kept = SimHashDedup(df, carry=True).kept()
     assert kept.columns == df.columns
     assert sorted(tuple(r) for r in kept.collect()) == sorted([rows[1], rows[3]])
-    assert SimHashDedup(df.where("false"), carry=True).kept().count() == 0
+    none = SimHashDedup(df.where("false"), carry=True)
+    assert none.kept().count() == 0 and none.members().count() == 0
+
+
+def test_simhash_long_text(spark):
+    rows = [(1, "x y " * 100_000), (2, "x y " * 100_000 + "z"), (3, "x y")]
+    got = rows_of(SimHashDedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3).members())
+    assert got == simhash_by_hand(rows, 3)
 
 
 @pytest.mark.parametrize("text,words,want", [(b"", 3, 0), (b" \t\n", 3, 0)])
 def test_fingerprint_of_nothing(text, words, want):
     assert fingerprint(text, words) == want
-
-
-def test_table_bound_is_a_parameter():
-    assert exact_dedup.TABLE_BYTES == 48 << 20

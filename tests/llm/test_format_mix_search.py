@@ -85,10 +85,53 @@ def test_mix_edges(spark):
     assert abs(sum(taken.values()) - 1.5 * total) <= len(taken)
     assert Mix(df.where("false")).taken().count() == 0
     assert {r.taken for r in Mix(df.where("size(split(text, ' ')) < 2 and length(text) = 0")).taken().collect()} == {0}
-    kept = Mix(df, block=50).repeated(df)
+    kept = Mix(df, block=50, carry=True).repeated()
     assert kept.columns == df.columns and kept.where("text is null or text = ''").count() == 0
 
 
+def test_mix_repeats_whole_rows(spark):
+    """Rows that share an id, or have none, are taken each for itself, within their sources."""
+    rows = [(None if i % 2 else 7, "w " * (i % 5 + 1), f"s{i % 3}") for i in range(300)] + [(9, "w " * 5000, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = Mix(df, block=16, carry=True)
+    size = lambda t: len(t.split())
+    target = {r.source: r.target for r in mix.sources.collect()}
+    kept, words = Counter(tuple(r) for r in mix.repeated().collect()), defaultdict(int)
+    for (_, text, source), n in kept.items():
+        words[source] += n * size(text)
+    assert all(abs(words[s] - target[s]) <= max(size(t) for _, t, x in rows if x == s) for s in target)
+    each = Counter(rows)
+    assert all(n <= 2 * each[r] for r, n in kept.items()) and kept[rows[-1]] >= 1
+
+
+def test_mix_many_sources(spark):
+    """More sources than a range holds: the same targets as filled up one by one."""
+    import fieldlens.llm.mixing as mixing
+
+    rng = random.Random(4)
+    sizes = {f"s{i:03}": rng.choice((0, 1, 2, 30, 400)) for i in range(90)}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    was, mixing.RANGE = mixing.RANGE, 7
+    try:
+        mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=10)
+    finally:
+        mixing.RANGE = was
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+    goal, open_, want = 1.5 * sum(sizes.values()), set(sizes), {}
+    while True:
+        level = goal / sum(weight[s] for s in open_) if open_ else 0
+        over = {s for s in open_ if weight[s] * level >= 2 * sizes[s]}
+        if not over:
+            break
+        want |= {s: 2.0 * sizes[s] for s in over}
+        goal -= sum(2 * sizes[s] for s in over)
+        open_ -= over
+    want |= {s: weight[s] * level for s in open_}
+    got = {r.source: r for r in mix.sources.collect()}
+    assert all(abs(got[s].target - want[s]) < 1e-6 for s in want) and sorted(r.number for r in got.values()) == list(range(90))
+    assert sum(r.taken for r in mix.taken().collect()) == sum(r.quota for r in got.values())
+
+
 def test_mix_schedule_is_even(spark):
     rows = [(i, "w " * 100, f"s{i % 3}") for i in range(600)]
     mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=20)
