@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Paths of the tables that each open ``scratch`` has seen written, innermost last.
+#: Paths of the tables that each open ``noted`` has seen written, innermost last.
 _open: list[list[str]] = []
 
 
@@ -34,8 +34,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: later stages survive the loss of an executor without
     recomputing what came before, and joins start from exchanges of their own,
-    which adaptive execution can split when a key is hot.  The table stays until
-    the ``scratch`` that it was written in ends, without one as long as the folder.
+    which adaptive execution can split when a key is hot.  The table stays as long
+    as the folder, unless a caller has it ``noted`` and discards it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
@@ -45,28 +45,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables from the shared folder."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what ``stored`` has written meanwhile; a result must be written elsewhere before."""
-    _open.append([])
+def noted() -> Iterator[list[str]]:
+    """Gets the paths of the tables that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _open.append(paths)
     try:
-        yield
+        yield paths
     finally:
-        for path in _open.pop():
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _open.pop()
+        if _open:
+            _open[-1].extend(paths)
 
 
 def kept_table(spark: SparkSession, make, name: str) -> DataFrame:
     """The table that ``make()`` gives, stored; what was stored on the way is removed."""
     path = f"{shared_dir(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
-    with scratch(spark):
+    with noted() as paths:
         df = make()
         schema = df.schema
         df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    discard(spark, paths)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -73,6 +73,12 @@ class OpenTable:
             self.slots[at] = entry
 
 
+def local_dir() -> str | None:
+    """The folder that Spark gives a task for its own files, if it says so."""
+    first = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return first if os.path.isdir(first) else None
+
+
 def _hash(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little")
 
@@ -96,7 +102,7 @@ def grace_groups(records, table_bytes: int = TABLE_BYTES, level: int = 0):
                 groups.append([value])
             else:
                 if folder is None:
-                    folder = tempfile.mkdtemp(prefix="grace-")
+                    folder = tempfile.mkdtemp(prefix="grace-", dir=local_dir())
                 nibble = (int.from_bytes(digest[8:], "little") >> (level * FANOUT_BITS)) & ((1 << FANOUT_BITS) - 1)
                 if nibble not in files:
                     files[nibble] = open(os.path.join(folder, str(nibble)), "wb")

@@ -14,6 +14,9 @@ Exact counts of words are kept beside it for the base score: the words that make
 up a fixed share of the corpus, of which there can't be more than
 ``HOT_WORDS``, are broadcast, and all others are joined, a text's counts with the
 corpus's, so no join key is frequent.
+
+Texts are tokenised twice: once to count, words and n-grams by the same segments
+of their hashes, and once to score.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ HOT_WORDS = 65_536
 HOT_LENGTH = 64
 #: Tokens of a text block that is counted at once.
 BLOCK_TOKENS = 1_200_000
-#: n-grams for each segment of the filter, about.
-SEGMENT_TOKENS = 4_000_000
+#: Tokens for each segment of the counts, about, and bytes of a token, by which the number of segments is set.
+SEGMENT_TOKENS, TOKEN_BYTES = 2_000_000, 6
 #: Base of the levels, bits set for each (n-gram, level), and weight of the words' probabilities.
 BASE, PROBES, WEIGHT = 1.5, 5, 4.0
 
@@ -225,50 +228,47 @@ def _unique_sums(keys, counts):
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
-def _word_counts(mod: int, rest: int, block: int):
-    """mapInArrow function: the words of the training rows with their counts in a block; '' is the end."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for vocabulary, ids, ends, held, _, _ in _blocks(batches, mod, rest, block):
-            docs = _doc_of(ends, len(ids))
-            counts = np.bincount(ids[~held[docs]], minlength=len(vocabulary))
-            some = counts > 0
-            words = pa.array(vocabulary.keys(), pa.binary()).filter(pa.array(some))
-            words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
-            counts = np.r_[counts[some], int((~held).sum())]
-            full = pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64())], names=["word", "n"])
-            yield from (full.slice(k, 50_000) for k in range(0, full.num_rows, 50_000))
-
-    return run
-
+def _counts(mod: int, rest: int, segment_bits: int, block: int):
+    """mapInArrow function: the n-grams and the words of the training rows of a block with their counts, packed by segment.
 
-def _ngram_counts(mod: int, rest: int, segment_bits: int, block: int):
-    """mapInArrow function: keys and counts of a block's n-grams, packed by segment."""
+    A row of n-grams has their hashes as keys, a row of words their characters,
+    and how many of these each word has; '' is the end.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names, kinds = ["seg", "keys", "counts", "sizes"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for vocabulary, ids, ends, held, _, _ in _blocks(batches, mod, rest, block):
-            docs = _doc_of(ends, len(ids))
-            kept = ~held
+            docs, kept = _doc_of(ends, len(ids)), ~held
             ids = ids[kept[docs]]
             ends = np.cumsum(np.diff(ends, prepend=0)[kept])
             if not len(ends):
                 continue
-            before, word, _ = _with_ends(_word_hashes(vocabulary)[ids], ends)
+            h = _word_hashes(vocabulary)
+            before, word, _ = _with_ends(h[ids], ends)
             keys, counts = np.unique(np.concatenate([_unigram_keys(word), _bigram_keys(before, word)]), return_counts=True)
+            del before, word
+            parts = np.arange((1 << segment_bits) + 1)
             seg, key40 = split_key(keys, segment_bits)
-            bounds = np.searchsorted(seg, np.arange((1 << segment_bits) + 1))
+            bounds = np.searchsorted(seg, parts)
             packed = key40.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             counts = counts.astype("<u4")
-            rows = [(s, packed[i:j].tobytes(), counts[i:j].tobytes()) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+            rows = [(s, packed[i:j].tobytes(), counts[i:j].tobytes(), None) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+
+            counts = np.bincount(ids, minlength=len(vocabulary))
+            seg, _ = split_key(h, segment_bits)
+            some = np.flatnonzero(counts)
+            some = some[np.argsort(seg[some], kind="stable")]
+            every = list(vocabulary)
+            words, counts = [every[i] for i in some], counts[some].astype("<u4")
+            sizes = np.fromiter(map(len, words), "<u4", len(words))
+            bounds = np.searchsorted(seg[some], parts)
+            rows += [(s, b"".join(words[i:j]), counts[i:j].tobytes(), sizes[i:j].tobytes()) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+            rows.append((0, b"", np.array([len(ends)], "<u4").tobytes(), np.zeros(1, "<u4").tobytes()))
             for k in range(0, len(rows), 64):
-                a, b, c = zip(*rows[k : k + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["seg", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows[k : k + 64]), kinds)], names=names)
 
     return run
 
@@ -281,8 +281,11 @@ def _unpack(keys: bytes):
     return wide.view("<u8").ravel()
 
 
+SEGMENTS = "seg int, ngrams long, top int, size long, bits binary, word binary, n long"
+
+
 def _segment(max_bytes: int = 1 << 29):
-    """mapInArrow function over rows sorted by segment: each segment's part of the filter, half of its bits set.
+    """mapInArrow function over rows sorted by segment: each segment's words with their counts, and its part of the filter, half of its bits set.
 
     More than ``max_bytes`` are an error, never a fuller filter; positions reach as far as the default.
     """
@@ -291,7 +294,17 @@ def _segment(max_bytes: int = 1 << 29):
         import numpy as np
         import pyarrow as pa
 
-        def finish(seg, keys, counts):
+        kinds = dict(zip(SEGMENTS.replace(",", "").split()[::2], (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())))
+
+        def batch(rows, /, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(rows, kind) for c, kind in kinds.items()], names=list(kinds))
+
+        def finish(seg, keys, counts, words):
+            every, times = list(words), list(words.values())
+            for k in range(0, len(every), 50_000):
+                yield batch(len(every[k : k + 50_000]), word=every[k : k + 50_000], n=times[k : k + 50_000])
+            if not keys:
+                return
             keys, counts = _unique_sums(np.concatenate(keys), np.concatenate(counts))
             levels = level_of(counts)
             size = max(64, math.ceil(int(levels.sum()) * PROBES / math.log(2)))
@@ -302,52 +315,31 @@ def _segment(max_bytes: int = 1 << 29):
                 some = levels >= level
                 for probe in range(PROBES):
                     bits[bit_position(h1[some], h2[some], level, probe, np.uint64(size))] = 1
-            row = [seg], [len(keys)], [int(levels.max())], [size], [np.packbits(bits, bitorder="little").tobytes()]
-            kinds = pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["seg", "ngrams", "top", "size", "bits"])
+            yield batch(1, seg=[seg], ngrams=[len(keys)], top=[int(levels.max())], size=[size], bits=[np.packbits(bits, bitorder="little").tobytes()])
 
-        at, keys, counts, held = None, [], [], 0
+        at, keys, counts, words, held = None, [], [], {}, 0
         for b in batches:
-            for seg, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for seg, k, c, sizes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if seg != at and at is not None:
-                    yield finish(at, keys, counts)
-                    keys, counts, held = [], [], 0
+                    yield from finish(at, keys, counts, words)
+                    keys, counts, words, held = [], [], {}, 0
                 at = seg
+                c = np.frombuffer(c, "<u4").astype(np.int64)
+                if sizes is not None:
+                    stop = 0
+                    for size, n in zip(np.frombuffer(sizes, "<u4").tolist(), c.tolist(), strict=True):
+                        word = k[stop : stop + size]
+                        words[word] = words.get(word, 0) + n
+                        stop += size
+                    continue
                 keys.append(_unpack(k))
-                counts.append(np.frombuffer(c, "<u4").astype(np.int64))
+                counts.append(c)
                 held += len(keys[-1])
                 if held > 4 * SEGMENT_TOKENS and len(keys) > 1:
                     k1, c1 = _unique_sums(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [k1], [c1], len(k1) // 2
         if at is not None:
-            yield finish(at, keys, counts)
-
-    return run
-
-
-def _rare_words(hot, block: int):
-    """mapInArrow function: a row a block and word that isn't hot, with the texts that hold it and how often."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        known = hot.value
-        for vocabulary, ids, ends, _, _, row in _blocks(batches, 1, 1, block):
-            rare = ~np.fromiter(map(known.__contains__, vocabulary), bool, len(vocabulary))
-            docs = _doc_of(ends, len(ids))
-            some = rare[ids] if len(ids) else np.zeros(0, bool)
-            n = max(1, len(ends))
-            pairs, times = np.unique(ids[some] * n + docs[some], return_counts=True)
-            word, doc = pairs // n, pairs % n
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-            names = pa.array(vocabulary.keys(), pa.binary()).take(pa.array(word[first], pa.int64()))
-            offsets = pa.array(np.r_[first, len(word)], pa.int32())
-            rows = pa.ListArray.from_arrays(offsets, pa.array(row + doc, pa.int64()))
-            tfs = pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
-            full = pa.RecordBatch.from_arrays([names, rows, tfs], names=["word", "rows", "tfs"])
-            for k in range(0, full.num_rows, 50_000):
-                yield full.slice(k, 50_000)
+            yield from finish(at, keys, counts, words)
 
     return run
 
@@ -456,13 +448,25 @@ def _by_broadcast(model: BloomFilter, vocabulary, ids, ends, total: int, distinc
     return _text_scores(single, model.counts(_bigram_keys(before, word)), stops, total, distinct)
 
 
+SCORED = "word binary, rows array<long>, tfs array<int>, doc_id long, held int, n_tokens long, hot_known long, hot_base double, score double"
+
+
 def _score(mod: int, rest: int, hot, bloom, total: int, distinct: int, block: int):
-    """mapInArrow function: for each text, what hot words give to the base score, and the model's score if ``bloom`` is broadcast."""
+    """mapInArrow function: two kinds of rows for each block.
+
+    One for each text, with what hot words give to the base score, and the model's
+    score if ``bloom`` is broadcast; in place of a word it has its number, behind
+    a byte that is in no text.  And one for each word that isn't hot, with the
+    texts that hold it and how often.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names = SCORED.replace(",", "").split()[::2]
+        lists = pa.list_(pa.int64()), pa.list_(pa.int32())
+        own = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
         known, model = hot.value, bloom and BloomFilter(*bloom.value)
         for vocabulary, ids, ends, held, doc_ids, row in _blocks(batches, mod, rest, block):
             counts = np.fromiter(map(known.get, vocabulary, repeat(0)), np.int64, len(vocabulary))
@@ -471,12 +475,27 @@ def _score(mod: int, rest: int, hot, bloom, total: int, distinct: int, block: in
             base = np.bincount(docs, gains[ids], size) if len(ids) else np.zeros(size)
             n_known = np.bincount(docs, counts[ids] > 0, size) if len(ids) else np.zeros(size)
             n_tokens = np.diff(ends, prepend=0) + 1
-            scores = _by_broadcast(model, vocabulary, ids, ends, total, distinct) if model else np.full(size, np.nan)
+            scores = pa.array(_by_broadcast(model, vocabulary, ids, ends, total, distinct)) if model else pa.nulls(size, pa.float64())
+            rows = np.arange(row, row + size)
+            one = np.arange(size + 1, dtype=np.int32)
             columns = [
-                pa.array(range(row, row + size), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n_tokens, pa.int64()),
-                pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores),
+                pa.array([b"\xff%d" % r for r in rows.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(one), pa.array(rows)),
+                pa.ListArray.from_arrays(pa.array(one), pa.array(np.zeros(size, np.int32))), pa.array(doc_ids, pa.int64()), pa.array(held.astype(np.int32)),
+                pa.array(n_tokens, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(base), scores,
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score"])
+            full = pa.RecordBatch.from_arrays(columns, names=names)
+            yield from (full.slice(k, 20_000) for k in range(0, size, 20_000))
+
+            some = counts[ids] == 0 if len(ids) else np.zeros(0, bool)
+            n = max(1, size)
+            pairs, times = np.unique(ids[some] * n + docs[some], return_counts=True)
+            word, doc = pairs // n, pairs % n
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+            told = pa.array(vocabulary.keys(), pa.binary()).take(pa.array(word[first], pa.int64()))
+            offsets = pa.array(np.r_[first, len(word)], pa.int32())
+            columns = [told, *(pa.ListArray.from_arrays(offsets, pa.array(v, kind.value_type)) for v, kind in zip((row + doc, times), lists))]
+            full = pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(first), kind) for kind in own)], names=names)
+            yield from (full.slice(k, 50_000) for k in range(0, full.num_rows, 50_000))
 
     return run
 
@@ -487,8 +506,9 @@ class LanguageModel:
     Tokens are lower-cased words and one end a text.  Null texts count as empty,
     a null id as an empty text for the remainder.  Repeated rows count as often
     as they occur.  With no training rows, the base probabilities are those of
-    an empty corpus.  ``filter_bytes`` bounds what is broadcast, not the filter:
-    a larger one is probed by a join on its segments, with the same scores.
+    an empty corpus.  Other columns are left out, whatever their names.
+    ``filter_bytes`` bounds what is broadcast, not the filter: a larger one is
+    probed by a join on its segments, with the same scores.
     """
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mod: int = 5, rest: int = 1, filter_bytes: int = 128 << 20, block_tokens: int = BLOCK_TOKENS):
@@ -496,17 +516,16 @@ class LanguageModel:
         small_batches(spark)
         self.mod, self.rest, self.block = mod, rest, block_tokens
         self.docs = df.selectExpr(f"`{text_col}` as text", f"cast(`{id_col}` as long) as doc_id")
-        words = self.docs.mapInArrow(lean(_word_counts(mod, rest, 2 * block_tokens)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        self.words = stored(words.where("n > 0"), "lm-words")
+        size = self.docs.agg(F.sum(F.octet_length("text") + F.lit(TOKEN_BYTES))).first()[0] or 0
+        self.segment_bits = min(20, max(4, math.ceil(math.log2(max(1, size / TOKEN_BYTES / SEGMENT_TOKENS)))))
+        counted = self.docs.mapInArrow(lean(_counts(mod, rest, self.segment_bits, block_tokens)), "seg int, keys binary, counts binary, sizes binary")
+        dealt = counted.repartition(1 << self.segment_bits, "seg").sortWithinPartitions("seg")
+        built = stored(dealt.mapInArrow(lean(_segment()), SEGMENTS), "lm-model")
+        self.words = built.where("word is not null").select("word", "n")
+        self.segments = built.where("seg is not null").drop("word", "n")
         self.tokens, self.distinct = (x or 0 for x in self.words.agg(F.sum("n"), F.count("*")).first())
         hot = self.words.where((F.col("n") * HOT_WORDS >= self.tokens) & (F.octet_length("word") <= HOT_LENGTH) & (F.col("n") > 0))
         self.hot = spark.sparkContext.broadcast({bytes(r.word): r.n for r in hot.collect()})
-        self.segment_bits = min(20, max(4, math.ceil(math.log2(max(1, self.tokens) / SEGMENT_TOKENS))))
-        keyed = self.docs.mapInArrow(lean(_ngram_counts(mod, rest, self.segment_bits, block_tokens)), "seg int, keys binary, counts binary")
-        parts = min(1 << self.segment_bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-        dealt = keyed.repartition(parts, "seg").sortWithinPartitions("seg")
-        built = dealt.mapInArrow(lean(_segment()), "seg int, ngrams long, top int, size long, bits binary")
-        self.segments = stored(built, "lm-filter")
         self.filter_size, self.top = (x or 0 for x in self.segments.agg(F.sum(F.octet_length("bits")), F.max("top")).first())
         self.bloom = spark.sparkContext.broadcast(self._gather()) if self.filter_size <= filter_bytes else None
 
@@ -526,35 +545,32 @@ class LanguageModel:
         none = F.lit(None).cast("long")
         bits = self.segments.select("seg", none.alias("block"), F.col("bits").alias("payload"), "size")
         questions = bits.union(asked.where("seg >= 0").select("seg", "block", "keys", none))
-        parts = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        dealt = questions.repartition(min(1 << self.segment_bits, parts), "seg").sortWithinPartitions("seg", F.col("block").asc_nulls_first())
+        dealt = questions.repartition(1 << self.segment_bits, "seg").sortWithinPartitions("seg", F.col("block").asc_nulls_first())
         answers = dealt.mapInArrow(lean(_answers(self.top)), "block long, seg int, levels binary")
         places = asked.where("seg < 0").select("block", "seg", "keys", "stops")
+        parts = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << self.segment_bits)
         back = places.union(answers.select("block", "seg", "levels", F.lit(None).cast("binary"))).repartition(parts, "block").sortWithinPartitions("block", "seg")
         return back.mapInArrow(lean(_answered(self.tokens, self.distinct)), "row long, score double")
 
     def score(self) -> DataFrame:
         """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        scored = self.docs.mapInArrow(
-            lean(_score(self.mod, self.rest, self.hot, self.bloom, self.tokens, self.distinct, self.block)),
-            "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double",
-        )
-        if self.bloom is None:
-            scored = scored.drop("score").join(self._by_join(), "row")
+        told = self.docs.mapInArrow(lean(_score(self.mod, self.rest, self.hot, self.bloom, self.tokens, self.distinct, self.block)), SCORED)
         ends = self.words.where("word = cast('' as binary)").agg(F.sum("n")).first()[0] or 0
-        rare = self.docs.mapInArrow(lean(_rare_words(self.hot, self.block)), "word binary, rows array<long>, tfs array<int>")
-        n = F.coalesce(F.col("n"), F.lit(0))
-        joined = rare.join(self.words, "word", "left").select(
-            F.log10(n + 0.5).alias("gain"), (n > 0).cast("int").alias("known"), F.explode(F.arrays_zip("rows", "tfs")).alias("x")
+        n, own = F.coalesce(F.col("n"), F.lit(0)), ["doc_id", "held", "n_tokens", "hot_known", "hot_base", "score"]
+        joined = told.join(self.words, "word", "left").select(
+            F.log10(n + 0.5).alias("gain"), (n > 0).cast("int").alias("known"), *own, F.explode(F.arrays_zip("rows", "tfs")).alias("x")
         )
         tf = F.col("x.tfs")
-        sums = joined.groupBy(F.col("x.rows").alias("row")).agg(F.sum(tf * F.col("gain")).alias("rare_base"), F.sum(tf * F.col("known")).alias("rare_known"))
+        sums = joined.groupBy(F.col("x.rows").alias("row")).agg(
+            F.sum(tf * F.col("gain")).alias("rare_base"), F.sum(tf * F.col("known")).alias("rare_known"), *(F.max(c).alias(c) for c in own)
+        )
+        if self.bloom is None:
+            sums = sums.drop("score").join(self._by_join(), "row")
         norm = math.log10(self.tokens + 0.5 * (self.distinct + 1))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        return scored.join(sums, "row", "left").select(
-            "doc_id", "held_out", "n_tokens",
-            (F.col("hot_known") + zero("rare_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+        return sums.select(
+            "doc_id", (F.col("held") == 1).alias("held_out"), "n_tokens",
+            (F.col("hot_known") + F.col("rare_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
             F.lit(self.tokens).cast("long").alias("train_tokens"),
-            (F.col("hot_base") + zero("rare_base") + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+            (F.col("hot_base") + F.col("rare_base") + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
             "score",
         )

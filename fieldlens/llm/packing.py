@@ -1,18 +1,21 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-A piece of length t belongs to the reciprocal-capacity class k = capacity // t,
-and a sequence of class k takes exactly k pieces, whatever they are, so workers
-fill their sequences independently and nothing is shuffled.  What a plain
-harmonic packing wastes, the gap between t and capacity / k, is cut away first:
-a document gives whole sequences, then pieces that are a reciprocal of the
-capacity, until a short rest remains.  At the end of a worker's rows, the pieces
-of its unfilled sequences are laid end to end and cut at the capacity; the last
-stretch is cut into powers of two, which need no padding.
+A piece belongs to a reciprocal-capacity class: the least of the class lengths
+capacity // k that it fits into, and a sequence of that class takes exactly k
+pieces, whatever they are, so workers fill their sequences independently and
+nothing is shuffled.  What a plain harmonic packing wastes, the gap between a
+piece and its class length, is cut away first: a document gives whole sequences,
+then pieces that are as long as a class, until a short rest remains, for which
+there are closer classes; a cut leaves no rest shorter than the shortest of
+these.  Classes are few, so that few sequences are open.  At the end of a worker's
+rows, the pieces of its unfilled sequences are laid end to end and cut at the
+capacity; the last stretch is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,10 +23,11 @@ from pyspark.sql import types as T
 
 from ._common import binary_list, lean, slices, small_batches
 
-#: Share of a sequence that a class may leave empty before a piece is cut to its reciprocal.
-WASTE = 1 / 256
-#: Rests of up to this part of the capacity aren't cut further.
-REST = 1 / 64
+#: Pieces of a sequence in the classes that cuts go by, and in those of short rests.
+CUTS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128)
+RESTS = (93, 102, 113, 128, 146, 170, 204, 256)
+#: And of texts that are shorter still.
+TINY = (341, 512, 682, 1024, 1365, 2048, 4096)
 #: Pieces of words, of which a worker keeps the ids.
 KEPT_PIECES = 400_000
 
@@ -113,14 +117,32 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def class_lengths(capacity: int) -> list[int]:
+    """The lengths of all classes, the longest first; each class k holds pieces of up to capacity // k."""
+    return sorted({capacity // k for k in (*CUTS, *RESTS, *TINY) if k <= capacity}, reverse=True)
+
+
+def class_of(length: int, capacity: int) -> int:
+    """The number of pieces in a sequence of this piece's class."""
+    return capacity // min(x for x in class_lengths(capacity) if x >= length)
+
+
+@cache
+def _cuts(capacity: int) -> tuple[list[int], int, int]:
+    """The lengths that pieces are cut to, the longest rest that isn't cut, and the shortest that a cut leaves."""
+    rests = [capacity // k for k in RESTS if k <= capacity] or [1]
+    return [capacity // k for k in CUTS if k <= capacity], max(rests), max(1, min(rests) - 3)
+
+
 def cut(length: int, capacity: int) -> list[int]:
     """The piece lengths of a document of ``length`` tokens."""
+    lengths, longest, shortest = _cuts(capacity)
     whole, rest = divmod(length, capacity)
+    if whole and 0 < rest < shortest:  # the last whole one is cut further
+        whole, rest = whole - 1, rest + capacity
     pieces = [capacity] * whole
-    while rest > capacity * REST:
-        if capacity % rest <= capacity * WASTE:  # its class is left all but full
-            break
-        piece = capacity // -(-capacity // rest)
+    while rest > longest:
+        piece = next((x for x in lengths if x == rest or x <= rest - shortest), rest)
         pieces.append(piece)
         rest -= piece
     return pieces + [rest] * bool(rest)
@@ -131,6 +153,7 @@ class Packer:
 
     def __init__(self, capacity: int, first: int, emit):
         self.capacity, self.next, self.emit, self.open = capacity, first, emit, {}
+        self.kinds = [0, *(class_of(n, capacity) for n in range(1, capacity + 1))]
 
     def close(self, pieces) -> None:
         offset = 0
@@ -140,7 +163,7 @@ class Packer:
         self.next += 1
 
     def add(self, doc, start: int, ids) -> None:
-        k = self.capacity // len(ids)
+        k = self.kinds[len(ids)]
         held = self.open.setdefault(k, [])
         held.append((doc, start, ids))
         if len(held) == k:

@@ -167,9 +167,9 @@ p as (
   from h),
 s as (
   select row, owner, number, kind, stop - length(whole) as start, stop, value, {live}{secrets.LIVE_CHARACTERS} as random from p where length(value) >= least),
-o as (select value, count(distinct owner) + max(case when owner is null then 1 else 0 end) as owners from s group by value),
+o as (select value, count(distinct owner) + max(case when owner is null then 1 else 0 end) as owners, count(distinct row) as documents from s group by value),
 r as (
-  select row, number, start, stop, kind || ':' || start || ':' || stop as told, random and owners < {secrets.EXAMPLE_OWNERS} as live
+  select row, number, start, stop, kind || ':' || start || ':' || stop as told, random and owners < {secrets.EXAMPLE_OWNERS} and documents < {secrets.EXAMPLE_REPOSITORIES} as live
   from s join o using (value)),
 a as (
   select row, {counts}, count(*) filter (live) as n_live,

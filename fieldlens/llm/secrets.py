@@ -3,9 +3,10 @@
 Patterns give the candidate spans of every whole text.  The values behind them
 are hashed and counted over the corpus: in how many documents (a document stands
 for a repository) and by how many owners (the ``owner_col``).  A value that many
-owners hold is a copied example; one that few hold and that looks random is taken
-for live.  Base kinds are reported whatever the count says; the further kinds are
-reported only where they look live.
+owners hold, or that stands in many repositories, is a copied example; one that
+is in few of either and looks random is taken for live.  Base kinds are reported
+whatever the count says; the further kinds are reported only where they look
+live.  Only hashes of values are ever stored.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ FURTHER = [
     ("web", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 20),
 ]
 KINDS = [k for k, *_ in BASE + FURTHER]
-#: A value of this many owners is an example; a live one has at least so many different characters.
-EXAMPLE_OWNERS, LIVE_CHARACTERS = 3, 8
+#: A value of this many owners, or in this many repositories, is an example; a live one has at least so many different characters.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LIVE_CHARACTERS = 3, 10, 8
 
 
 def _found(text: Column, number: int, pattern: str, group: int) -> Column:
-    """The matches of a pattern: kind's number, place in order, characters before since the last match, own length, value.
+    """The matches of a pattern: kind's number, place in order, characters before since the last match, own length, and of the value length, hash and looks.
 
     The text up to a match is taken along with it, lazily, so that the lengths
     add up to the positions.  It begins where the match before ended; without
@@ -46,10 +47,11 @@ def _found(text: Column, number: int, pattern: str, group: int) -> Column:
     rows = F.transform(
         F.arrays_zip(one(1).alias("gap"), one(2).alias("all"), one(2 + group).alias("value")),
         lambda x, i: F.struct(
-            F.lit(number).alias("kind"), i.alias("place"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("length"), x["value"].alias("value")
+            F.lit(number).alias("kind"), i.alias("place"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("length"),
+            F.length(x["value"]).alias("size"), F.sha2(x["value"].cast("binary"), 256).alias("value"), live_looking(x["value"]).alias("random"),
         ),
     )
-    nothing = F.array().cast("array<struct<kind:int,place:int,gap:int,length:int,value:string>>")
+    nothing = F.array().cast("array<struct<kind:int,place:int,gap:int,length:int,size:int,value:string,random:boolean>>")
     return F.when(F.regexp_like(text, F.lit(pattern)), rows).otherwise(nothing)
 
 
@@ -75,9 +77,8 @@ class SecretScan:
         upto = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         end = F.sum(F.col("gap") + F.col("length")).over(upto)
         least = F.element_at(F.array(*(F.lit(n) for *_, n in BASE + FURTHER)), F.col("kind") + 1)
-        spans = rows.select("row", "owner", "kind", (end - F.col("length")).alias("start"), end.alias("end"), "value", least.alias("least"))
-        spans = spans.where(F.length("value") >= F.col("least"))
-        spans = spans.select("row", "owner", "kind", "start", "end", F.sha2("value", 256).alias("value"), live_looking(F.col("value")).alias("random"))
+        spans = rows.select("row", "owner", "kind", (end - F.col("length")).alias("start"), end.alias("end"), "size", "value", "random", least.alias("least"))
+        spans = spans.where(F.col("size") >= F.col("least")).drop("size", "least")
         self.spans = stored(spans, "secret-spans")
 
         # a document counts a value once: its spans of a value meet in a partial aggregate by row
@@ -88,7 +89,7 @@ class SecretScan:
 
     def judged(self) -> DataFrame:
         """A row a span: row, kind, start, end, value (its hash), documents, owners, live."""
-        live = F.col("random") & (F.col("owners") < EXAMPLE_OWNERS)
+        live = F.col("random") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("documents") < EXAMPLE_REPOSITORIES)
         kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
         return self.spans.drop("owner").join(self.ownership, "value").select(
             "row", F.col("kind").alias("number"), kind.alias("kind"), "start", "end", "value", "documents", "owners", live.alias("live")

@@ -83,9 +83,8 @@ def _fingerprints(text_at: int, keep: list[int], words: int, names: list[str], s
             serial += len(hashes)
             parts = {"row": pa.array(rows, pa.int64()), "fp": pa.array([majority(h) for h in hashes], pa.int64())}
             if similarity is not None:
-                sets = [similar.shingle_set(h) for h in hashes]
-                parts["shingles"] = pa.array(sets, pa.list_(pa.int64()))
-                parts["samples"] = pa.array([similar.samples(x) for x in sets], pa.list_(pa.int64()))
+                parts["shingles"] = pa.array([similar.shingle_set(h) for h in hashes], pa.list_(pa.int32()))
+                parts["samples"] = pa.array([similar.samples(h) for h in hashes], pa.list_(pa.int64()))
             meta = pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), meta], names=names)
 
@@ -173,7 +172,7 @@ class SimHashDedup:
         self.meta = free_name(df, "_simhash")
         keep = [df.columns.index(c) for c in self.columns]
         fields = [T.StructField(c, df.schema[c].dataType) for c in self.columns]
-        more = "" if similarity is None else ", shingles array<long>, samples array<long>"
+        more = "" if similarity is None else ", shingles array<int>, samples array<long>"
         schema = T.StructType([*fields, T.StructField(self.meta, T.StructType.fromDDL("row long, fp long" + more))])
         run = _fingerprints(df.columns.index(text_col), keep, words, schema.names, similarity)
         self.docs = stored(df.mapInArrow(lean(run), schema), "simhash-docs")

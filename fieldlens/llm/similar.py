@@ -9,7 +9,7 @@ sample with a probability of about s ** SAMPLE, so at 0.8 one pair in 600 shares
 none of sixteen.
 
 Texts that share a band's fingerprint, a bucket, are compared by their whole
-shingle sets.  In every bucket each text first meets the bucket's first one; what
+shingle sets, 32 bits of each shingle's hash.  In every bucket each text first meets the bucket's first one; what
 that links needs no further comparison.  Then, in a bucket of up to ``BUCKET``
 texts, all that aren't in one group yet meet each other.  In a larger one, those
 that the first text hasn't gathered meet ``CENTRES`` more of the bucket and the
@@ -29,22 +29,22 @@ BANDS, SAMPLE, BUCKET, CENTRES = 16, 5, 64, 4
 
 
 def shingle_set(hashes):
-    """The different hashes, as signed numbers."""
+    """The different hashes, their first 32 bits, as signed numbers."""
     import numpy as np
 
-    return np.unique(hashes).view(np.int64)
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 _orders: list = []
 
 
-def samples(shingles) -> list[int]:
-    """The fingerprints of the samples of a shingle set."""
+def samples(hashes) -> list[int]:
+    """The fingerprints of the samples of a set of shingles."""
     import numpy as np
 
     from .simhash import majority
 
-    h = shingles.view(np.uint64)
+    h = np.unique(hashes)
     if len(h) <= SAMPLE:
         return [majority(h)] * BANDS
     if not _orders:  # two odd factors for each band's order

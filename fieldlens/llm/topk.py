@@ -1,21 +1,24 @@
 """Exact top-k search: tiled matrix products, partial selection per tile, tree merge of the lists.
 
-Queries are broadcast in blocks of a bounded number of rows.  A task multiplies a
-block with tiles of its candidates, takes the best of each tile and merges them
-into running lists, so it sends on k rows a query.  The lists of all tasks are
-merged in two steps, by query and group of tasks, then by query.
+Queries and candidates are dealt into blocks of a bounded number of rows; each
+block of queries meets each block of candidates in one task.  The task multiplies
+them tile by tile, takes the best of each tile and merges them into running
+lists, so it sends on k rows a query.  The lists of all tasks are merged in two
+steps, by query and group of blocks, then by query.  Nothing passes through the
+driver.
 """
 
 from __future__ import annotations
 
-from pyspark import TaskContext
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lean, stored
+from ._common import release_memory, stored
 
-#: Queries of a block, candidates of a tile, and groups of tasks in the first merge.
-BLOCK_ROWS, TILE_ROWS, MERGE_GROUPS = 4096, 2048, 64
+#: Queries, and candidates, of a block; rows of a tile of either, and groups of blocks in the first merge.
+BLOCK_ROWS, TILE_ROWS, MERGE_GROUPS = 32_768, 2048, 64
 LOWEST = -(1 << 63) + 1
 HIGHEST = (1 << 63) - 1
 
@@ -84,32 +87,47 @@ def select(scores, ids, k: int):
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _search(queries, k: int, scale: float):
-    def run(batches):
+def _vectors(table, scale: float):
+    """(ids, vectors) of a table (vec_id, v), by id, without those that take no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.combine_chunks()
+    if not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    rows, vectors = _quantised(table.column("v").chunk(0), scale)
+    ids = np.asarray(table.column("vec_id").chunk(0).take(pa.array(rows, pa.int64())), np.int64) if len(rows) else np.zeros(0, np.int64)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], vectors[order]
+
+
+def _search(k: int, scale: float):
+    """The cogrouped function of a block of queries and a block of candidates: the k best candidates of each query."""
+
+    def run(key, left, right):
         import numpy as np
         import pyarrow as pa
 
-        query_ids, q = queries.value
-        scores = np.full((len(q), k), LOWEST, np.int64)
-        ids = np.full((len(q), k), HIGHEST, np.int64)
-        for b in batches:
-            rows, vectors = _quantised(b.column(1), scale)
-            own = np.asarray(b.column(0).take(pa.array(rows, pa.int64())), np.int64) if len(rows) else np.zeros(0, np.int64)
-            order = np.argsort(own, kind="stable")
-            own, vectors = own[order], vectors[order]
+        query_ids, q = _vectors(left, scale)
+        own, vectors = _vectors(right, scale)
+        found = []
+        for first in range(0, len(q), TILE_ROWS):
+            some, block = query_ids[first : first + TILE_ROWS], q[first : first + TILE_ROWS]
+            scores = np.full((len(some), k), LOWEST, np.int64)
+            ids = np.full((len(some), k), HIGHEST, np.int64)
             for at in range(0, len(own), TILE_ROWS):
                 tile_ids = own[at : at + TILE_ROWS]
-                tile = products(q, vectors[at : at + TILE_ROWS])
-                tile[query_ids[:, None] == tile_ids] = LOWEST
+                tile = products(block, vectors[at : at + TILE_ROWS])
+                tile[some[:, None] == tile_ids] = LOWEST
                 more, more_ids = select(tile, tile_ids, k)
                 both, both_ids = np.hstack([scores, more]), np.hstack([ids, more_ids])
-                order_ = np.lexsort((both_ids, -both), axis=1)[:, :k]
-                scores, ids = np.take_along_axis(both, order_, 1), np.take_along_axis(both_ids, order_, 1)
-        some = scores > LOWEST
-        who = np.broadcast_to(query_ids[:, None], scores.shape)[some]
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        columns = [pa.array(who, pa.int64()), pa.array(np.full(len(who), part), pa.int64()), pa.array(ids[some]), pa.array(scores[some])]
-        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "part", "vec_id", "score"])
+                order = np.lexsort((both_ids, -both), axis=1)[:, :k]
+                scores, ids = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
+            good = scores > LOWEST
+            found.append((np.broadcast_to(some[:, None], scores.shape)[good], ids[good], scores[good]))
+        who, ids, scores = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        release_memory()
+        return pa.table({"query_id": who, "part": np.full(len(who), key[1].as_py(), np.int64), "vec_id": ids, "score": scores})
 
     return run
 
@@ -125,32 +143,21 @@ def top_k(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vecto
     Components are floor(scale * x).  Ties go to the smaller id; a row is no
     candidate for its own id, and of query rows that share an id one counts.
     Vectors that are null, or hold null or non-finite components, and rows
-    without an id take no part.  Missing components of shorter vectors count as
-    zero.  Scores beyond 64 bits are held to that range.  Other columns are left
+    without an id take no part, nor do those of which floor(scale * x) is beyond
+    a double.  Missing components of shorter vectors count as zero.  Scores beyond 64 bits are held to that range.  Other columns are left
     out.  An empty table, or one without queries, gives no rows.
     """
-    spark = df.sparkSession
+    id_, vector = F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")
     rows = df.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vector_col}`").isNotNull())
-    queries = rows.where(query_filter).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    queries = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    candidates = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
-    found = spark.createDataFrame([], "query_id long, part long, vec_id long, score long")
-    for block in _blocks(queries.toLocalIterator(), block_rows, scale):
-        run = _search(spark.sparkContext.broadcast(block), k, scale)
-        found = found.union(candidates.mapInArrow(lean(run), found.schema))
+    queries = stored(rows.where(query_filter).select(id_, vector).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
+    blocks = lambda n: max(1, math.ceil(n / block_rows))
+    across, down = blocks(queries.count()), blocks(rows.count())
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # equal ids, or equal vectors, may be many: a row's place deals it out
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(down)).cast("int")
+    asked = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("across"), every(down).alias("down"))
+    given = rows.select(id_, vector, place.alias("down")).select("vec_id", "v", every(across).alias("across"), "down")
+    key = ["across", "down"]
+    found = asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInArrow(_search(k, scale), "query_id long, part long, vec_id long, score long")
     merged = _best(found.withColumn("part", F.col("part") % MERGE_GROUPS), ["query_id", "part"], k).drop("rank")
     return _best(merged, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _blocks(rows, block_rows: int, scale: float):
-    """(ids, vectors) of each block of queries, one block in memory at a time."""
-    from itertools import islice
-
-    import numpy as np
-    import pyarrow as pa
-
-    rows = iter(rows)
-    while held := list(islice(rows, block_rows)):
-        valid, vectors = _quantised(pa.array([r.v for r in held], pa.list_(pa.float64())), scale)
-        if len(valid):
-            yield np.array([held[i].vec_id for i in valid], np.int64), vectors

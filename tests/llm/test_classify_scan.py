@@ -99,6 +99,11 @@ def test_ownership(spark):
     got = {r.doc_id: r for r in scan.documents().collect()}
     assert got[0].spans == "" and got[0].n_live == 0 and got[9].spans.startswith("forge:0:") and got[9].n_live == 1
     assert sorted((r.documents, r.owners) for r in scan.ownership.collect()) == [(1, 1), (3, 3)]
+    # in many repositories of one owner it is an example too, and no value is ever stored
+    rows = [(i, f"a {key} b" + "c " * (200_000 if i == 0 else 1), "one") for i in range(12)]
+    many = SecretScan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r.spans, r.n_live) for r in many.documents().collect()} == {("", 0)}
+    assert key not in str(many.docs.collect()) + str(many.spans.collect())
     assert SecretScan(spark.createDataFrame([], "doc_id long, text string, source string")).documents().count() == 0
 
 

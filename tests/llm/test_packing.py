@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldlens.llm.packing import Packer, WordTokenizer, cut, pack
+from fieldlens.llm.packing import Packer, WordTokenizer, class_lengths, class_of, cut, pack
 from fieldlens.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -79,6 +79,36 @@ def test_packer_pads_little():
     check_layout(rows, dict(enumerate(sizes)), 0.01)
 
 
+def test_classes_close():
+    """Of a worker's documents, nearly all pieces end in sequences that their class has filled."""
+    rng = random.Random(6)
+    rows = []
+    packer = Packer(4096, 0, lambda *row: rows.append(row))
+    sizes = [int(min(20_000, rng.lognormvariate(6, 1.2))) + 1 for _ in range(8000)]
+    for d, n in enumerate(sizes):
+        for k in cut(n, 4096):
+            packer.add(d, 0, np.zeros(k, np.int32))
+    before = len(rows)
+    packer.finish()
+    rest = sum(len(ids) for _, _, ids, _, _ in rows[before:])
+    print(rest / sum(sizes), (len(rows) - before) / len(rows))
+    assert rest < 0.015 * sum(sizes) and len(rows) - before < 0.04 * len(rows)
+
+
+def test_classes():
+    lengths = class_lengths(4096)
+    assert lengths[0] == 4096 and lengths[-1] == 1 and len(lengths) < 30
+    for n in range(1, 4097):
+        k = class_of(n, 4096)
+        assert n * k <= 4096 and all(4096 // k <= x or x < n for x in lengths)
+    for n in range(1, 20_000):
+        pieces = cut(n, 4096)
+        # a piece that was cut is as long as its class, but for the last one, which is close to it
+        assert all(p in lengths for p in pieces[:-1]) and (n < 13 or pieces[-1] >= 13)
+        assert 4096 // class_of(pieces[-1], 4096) - pieces[-1] <= 4
+    assert sum(cut(n, 64) == [n] or sum(cut(n, 64)) == n for n in range(1, 500)) == 499
+
+
 def check_layout(rows, sizes, padding):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for doc, start, n, seq, off in rows:
