@@ -9,12 +9,13 @@ sample with a probability of about s ** SAMPLE, so at 0.8 one pair in 600 shares
 none of sixteen.
 
 Texts that share a band's fingerprint, a bucket, are compared by their whole
-shingle sets, 32 bits of each shingle's hash.  In every bucket each text first meets the bucket's first one; what
-that links needs no further comparison.  Then, in a bucket of up to ``BUCKET``
-texts, all that aren't in one group yet meet each other.  In a larger one, those
-that the first text hasn't gathered meet ``CENTRES`` more of the bucket and the
-first of them, and so on until ``BUCKET`` are left, which meet each other; so the
-work is in proportion to the texts, times the groups that a bucket falls into.
+shingle sets, 32 bits of each shingle's hash.  In every bucket each text first
+meets the bucket's first one, in a bucket of more than ``BUCKET`` texts
+``CENTRES`` others too; what that links needs no further comparison.  Then, in
+a bucket of up to ``BUCKET`` texts, all that aren't in one group yet meet each
+other.  In a larger one, those that aren't in its largest group are dealt into
+buckets that share a further band as well, and so on.  So a text has a bounded
+number of partners in a bucket, and buckets shrink with each band.
 """
 
 from __future__ import annotations
@@ -70,14 +71,11 @@ def jaccard(a, b):
 
 def components(points: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the rows of ``points`` (row, shingles, samples) that link; root is the smallest row of a group."""
-    size = F.size("shingles").alias("size")
+    size, text = F.size("shingles").alias("size"), F.struct("row", "size")
     keys = points.select("row", size, F.posexplode("samples").alias("band", "print"))
-    bucket = ["band", "print"]
-    text = F.struct("row", "size")
-    centres = F.array(*(F.min_by(text, F.xxhash64("row", F.lit(i))) for i in range(CENTRES)))
-    counted = keys.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(text).alias("first"), centres.alias("centres")).where("n > 1")
-    active = stored(keys.join(counted, bucket).select(*bucket, "row", "size", "n", "first", F.when(F.col("n") > BUCKET, F.col("centres")).alias("centres")), "similar-buckets")
-    sets = stored(points.select("row", "shingles").join(active.select("row").distinct(), "row", "left_semi"), "similar-sets")
+    shared = keys.groupBy("band", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    prints = stored(keys.join(shared, ["band", "print"]).select("row", "size", "band", "print"), "similar-prints")
+    sets = stored(points.select("row", "shingles").join(prints.select("row").distinct(), "row", "left_semi"), "similar-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, size_a, size_b), those that are similar; sizes tell most others."""
@@ -88,26 +86,34 @@ def components(points: DataFrame, similarity: float) -> DataFrame:
         near = pairs.join(one, "b").join(two, "a").where(jaccard(F.col("x"), F.col("y")) >= similarity)
         return stored(near.select("a", "b"), "similar-links")
 
-    def to_first(df: DataFrame) -> DataFrame:
-        return df.where("row <> first.row").select(F.col("row").alias("a"), F.col("first.row").alias("b"), F.col("size").alias("size_a"), F.col("first.size").alias("size_b"))
+    def to(first: str, df: DataFrame) -> DataFrame:
+        other = F.col(first)
+        return df.where(F.col("row") != other.row).select(F.col("row").alias("a"), other.row.alias("b"), F.col("size").alias("size_a"), other.size.alias("size_b"))
 
-    linked = verified(to_first(active))
+    linked = verified(to("t", prints.where("false").withColumn("t", text)))
     roots = connected_components(linked)
-    while not active.isEmpty():
-        own = roots.select(F.col("node").alias("row"), F.col("root").alias("own"))
-        others = roots.select(F.col("node").alias("of"), F.col("root").alias("other"))
-        rooted = active.withColumn("of", F.col("first.row")).join(own, "row", "left").join(others, "of", "left")
-        rooted = rooted.select(*bucket, "row", "size", "n", "centres", F.coalesce("own", "row").alias("root"), F.coalesce("other", "of").alias("first_root"))
+    centres = F.array(*(F.min_by(text, F.xxhash64("row", F.lit(i))) for i in range(CENTRES)))
+    active = prints.select(F.xxhash64("band", "print").alias("key"), "band", "row", "size")
+    while True:
+        per = active.groupBy("key").agg(F.count("*").alias("n"), F.min(text).alias("first"), centres.alias("centres")).where("n > 1")
+        active = stored(active.join(per, "key"), "similar-buckets")
+        if active.isEmpty():
+            return roots
+        large = active.where(F.col("n") > BUCKET)
+        linked = linked.union(verified(to("first", active).union(to("centre", large.withColumn("centre", F.explode("centres"))))))
+        roots = connected_components(linked)
+        own = roots.select(F.col("node").alias("row"), "root")
+        rooted = active.drop("first", "centres").join(own, "row", "left").withColumn("root", F.coalesce("root", "row"))
         rooted = stored(rooted, "similar-rooted")
-        small = rooted.where(F.col("n") <= BUCKET)
-        a, b = (small.select(*bucket, F.col("row").alias(s), F.col("size").alias(f"size_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-        pairs = a.join(b, [*(a[c] == b[c] for c in bucket), F.col("a") < F.col("b"), F.col("root_a") != F.col("root_b")])
-        rest = rooted.where((F.col("n") > BUCKET) & (F.col("root") != F.col("first_root"))).select(*bucket, "row", "size", "centres")
-        to_centres = rest.select("row", "size", F.explode("centres").alias("first"))
-        again = rest.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(text).alias("first")).where("n > 1")
-        active = stored(rest.join(again, bucket).select(*bucket, "row", "size", "n", "first", "centres"), "similar-buckets")
-        more = verified(pairs.select("a", "b", "size_a", "size_b").union(to_first(to_centres)).union(to_first(active)))
+        a, b = (rooted.where(F.col("n") <= BUCKET).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "root"))) for s in "ab")
+        pairs = a.join(b, [a.key == b.key, F.col("row_a") < F.col("row_b"), F.col("root_a") != F.col("root_b")])
+        more = verified(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "size_a", "size_b"))
         if not more.isEmpty():
             linked = linked.union(more)
             roots = connected_components(linked)
-    return roots
+        large = rooted.where(F.col("n") > BUCKET)
+        groups = large.groupBy("key", "root").agg(F.count("*").alias("of"))
+        largest = groups.groupBy("key").agg(F.max_by("root", F.struct("of", "root")).alias("largest"))
+        rest = large.join(largest, "key").where("root <> largest").select("key", "band", "row", "size")
+        further = prints.select("row", F.col("band").alias("next"), "print")
+        active = rest.join(further, "row").where("next > band").select(F.xxhash64("key", "next", "print").alias("key"), F.col("next").alias("band"), "row", "size")

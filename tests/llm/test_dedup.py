@@ -64,7 +64,11 @@ def test_grace_recursion_compares_contents():
     assert sorted(sorted(g) for g in groups) == sorted(sorted(range(k, 500, 50)) for k in range(50))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [100, 500_000])
+def test_components(spark, monkeypatch, part):
+    from fieldlens.llm import components
+
+    monkeypatch.setattr(components, "PART_EDGES", part)
     rng = random.Random(2)
     edges = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2000 + i) for i in range(1, 300)]
     up = {}
