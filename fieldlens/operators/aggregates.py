@@ -16,9 +16,10 @@ def majority(df: DataFrame, keys: list[str], label: str, order: str) -> DataFram
     return counts.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_first")
 
 
-def argmax_above(df: DataFrame, keys: list[str], score: str, floor: float, *values: str) -> DataFrame:
-    """The row of the highest score above ``floor`` of each key."""
-    return df.where(F.col(score) > floor).groupBy(*keys).agg(F.max_by(F.struct(*values), score).alias("_v"), F.max(score).alias(score)).select(*keys, "_v.*", score)
+def argmax_above(df: DataFrame, keys: list[str], score: str, floor: float, *values: str, tie: str | None = None) -> DataFrame:
+    """The row of the highest score above ``floor`` of each key; of equals, that of the smallest ``tie``."""
+    order = F.col(score) if tie is None else F.struct(score, -F.col(tie))
+    return df.where(F.col(score) > floor).groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v"), F.max(score).alias(score)).select(*keys, "_v.*", score)
 
 
 def histogram_2d(df: DataFrame, keys: list[str], x: Column, y: Column, nx: int, ny: int) -> DataFrame:

@@ -199,24 +199,32 @@ def life_of_edges(frames) -> list[tuple]:
     return sorted(found, key=lambda r: (r[6], r[0], r[2]))
 
 
+PAIR = ["frame_idx", "press", "track_id_a", "track_id_b", "t", "d", "x_a", "y_a", "x_b", "y_b", "speed"]
+
+
 def _segment(key, positions, pairs):
+    import numpy as np
     import pandas as pd
 
     names = ["kind", "team", "a", "b", "i_start", "i_end", "t_start", "t_end", "samples", "strength"]
-    positions = positions.sort_values(["frame_idx", "ord"])
     rows: dict = {}
     pairs = pairs.sort_values(["frame_idx", "side", "ord_a", "ord_b"]) if len(pairs) else pairs
-    for r in pairs.itertuples(index=False):
-        rows.setdefault(r.frame_idx, ([], []))[r.press].append((r.track_id_a, r.track_id_b, (r.frame_idx, r.t, r.d, r.x_a, r.y_a, r.x_b, r.y_b, r.speed)))
+    for frame, press, a, b, *row in zip(*(pairs[c].tolist() for c in PAIR), strict=True):
+        rows.setdefault(frame, ([], []))[press].append((a, (frame, *row)) if press else (a, b, (frame, *row)))
+
+    positions = positions.sort_values(["frame_idx", "ord"], kind="stable")
+    numbers = positions["frame_idx"].to_numpy()
+    bounds = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]), len(numbers)].tolist()
+    t, spells, holders, ends = (positions[c].tolist() for c in ("t", "spell", "holder", "until"))
+    places = list(zip(*(positions[c].tolist() for c in ("track_id", "team", "x", "y")), strict=True))
 
     def frames():
-        for (frame, t), g in positions.groupby(["frame_idx", "t"], sort=True):
-            tracked = g[g["track_id"].notna()]
-            players = {i: (team, x, y) for i, team, x, y in zip(tracked["track_id"], tracked["team"], tracked["x"], tracked["y"], strict=True)}
+        for i, j in zip(bounds, bounds[1:]):
+            frame = int(numbers[i])
+            players = {who: place for who, *place in places[i:j] if isinstance(who, str)}
             marking, press = rows.get(frame, ([], []))
-            first = g.iloc[0]
-            spell = None if pd.isna(first["spell"]) else (int(first["spell"]), first["holder"], int(first["until"]))
-            yield int(frame), t, players, marking, [(a, row) for a, _, row in press], spell
+            spell = None if pd.isna(spells[i]) else (int(spells[i]), holders[i], int(ends[i]))
+            yield frame, t[i], players, marking, press, spell
 
     out = pd.DataFrame(life_of_edges(frames()), columns=names, dtype=object)
     out["samples"] = pd.Series([[dict(zip(("t", "xa", "ya", "xb", "yb"), s)) for s in x] for x in out["samples"]], dtype=object)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import hypot
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FRAME, SEGMENT, Tables
@@ -28,27 +28,30 @@ def alive_links(t: Tables, edges: DataFrame) -> DataFrame:
     return own
 
 
-def components(links: DataFrame, rounds: int = 5) -> DataFrame:
-    """Nodes of each frame's graph with the smallest id of their component, by spreading labels over the links.
+def components(links: DataFrame) -> DataFrame:
+    """Nodes (u) of each frame's graph of links (a, b), with the smallest id of their component (label).
 
-    A matchup has at most 2 * LARGEST members, so the label of any that counts has
-    gone all the way after ``rounds``; larger components may keep several labels
-    and are told by ``size`` of the label's neighbourhood, which exceeds LARGEST.
+    A fold over a frame's links, of which there are at most as many as pairs of
+    opponents: a link joins the components that it touches.
     """
-    both = links.select(*FRAME, F.col("a").alias("u"), F.col("b").alias("w")).union(links.select(*FRAME, "b", "a")).distinct()
-    labels = both.select(*FRAME, "u").distinct().withColumn("label", F.col("u"))
-    for _ in range(rounds):
-        near = both.join(labels.select(*FRAME, F.col("u").alias("w"), F.col("label").alias("other")), [*FRAME, "w"]).groupBy(*FRAME, "u").agg(F.min("other").alias("other"))
-        labels = labels.join(near, [*FRAME, "u"]).select(*FRAME, "u", F.least("label", "other").alias("label"))
-    return labels
+    per = links.groupBy(*FRAME).agg(F.collect_set(F.struct("a", "b")).alias("links"))
 
+    def join(parts: Column, link: Column) -> Column:
+        touches = lambda part: F.array_contains(part, link.a) | F.array_contains(part, link.b)
+        merged = F.array_union(F.array(link.a, link.b), F.flatten(F.filter(parts, touches)))
+        return F.concat(F.filter(parts, lambda part: ~touches(part)), F.array(merged))
 
-def _groups(rows) -> list[tuple[list, list]]:
-    """Components of one frame's links: (nodes, links)."""
+    parts = F.aggregate("links", F.array().cast("array<array<string>>"), join)
+    found = per.select(*FRAME, F.explode(parts).alias("part"))
+    return found.select(*FRAME, F.explode("part").alias("u"), F.array_min("part").alias("label"))
+
+
+def _groups(rows) -> list[tuple[set, list]]:
+    """Components of one frame's links, tuples that begin with both ids: (nodes, links)."""
     parts: list[tuple[set, list]] = []
     for r in rows:
-        touching = [p for p in parts if r.a in p[0] or r.b in p[0]]
-        merged = ({r.a, r.b}.union(*(p[0] for p in touching)), [r, *(x for p in touching for x in p[1])])
+        touching = [p for p in parts if r[0] in p[0] or r[1] in p[0]]
+        merged = ({r[0], r[1]}.union(*(p[0] for p in touching)), [r, *(x for p in touching for x in p[1])])
         parts = [p for p in parts if p not in touching] + [merged]
     return parts
 
@@ -64,16 +67,35 @@ class _Run:
     def __init__(self, kind: str, t: float):
         self.kind, self.begin, self.end, self.conf, self.ball, self.edges = kind, t, t, [], None, set()
 
-    def add(self, t, confidence, ball, pairs, region, links) -> None:
-        self.end, self.pairs, self.region = t, pairs, region
+    def add(self, t, confidence, ball, sides, numbers) -> None:
+        self.end, self.sides = t, sides
         self.conf.append(confidence)
         self.ball = ball if self.ball is None else self.ball if ball is None else min(self.ball, ball)
-        self.edges |= {int(r.edge) for r in links}
+        self.edges.update(numbers)
 
     def row(self, players):
         if self.end - self.begin < LEAST_S or max(self.conf) < LEAST_CONF or (self.ball is not None and self.ball > BALL_HARD):
             return None
-        return self.kind, sorted(players), self.pairs, self.region, sorted(self.edges), sum(self.conf) / len(self.conf), self.begin, self.end
+        first, second = self.sides
+        xs, ys = zip(*first.values(), *second.values())
+        return self.kind, sorted(players), _closest(first, second), [min(xs), min(ys), max(xs), max(ys)], sorted(self.edges), sum(self.conf) / len(self.conf), self.begin, self.end
+
+
+LINK = ["a", "b", "team", "edge", "x_a", "y_a", "x_b", "y_b"]
+
+
+def _frames(pdf):
+    """(t, attacker, ball or None, links) of each frame in order; a link has the columns LINK."""
+    import numpy as np
+
+    pdf = pdf.sort_values("frame_idx", kind="stable")
+    numbers = pdf["frame_idx"].to_numpy()
+    bounds = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]), len(numbers)].tolist()
+    t, attacker, bx, by = (pdf[c].tolist() for c in ("t", "attacker", "ball_x", "ball_y"))
+    links = list(zip(*(pdf[c].tolist() for c in LINK), strict=True))
+    for i, j in zip(bounds, bounds[1:]):
+        ball = (bx[i], by[i]) if bx[i] is not None and bx[i] == bx[i] else None
+        yield t[i], attacker[i], ball, [r for r in links[i:j] if isinstance(r[0], str)]
 
 
 def _segment(key, pdf):
@@ -86,18 +108,14 @@ def _segment(key, pdf):
         if row is not None:
             out.append((*key, *row))
 
-    for (_, t), g in pdf.sort_values("frame_idx").groupby(["frame_idx", "t"], sort=True):
+    for t, attacker, near, rows in _frames(pdf) if len(pdf) else ():
         live = set()
-        first_row = g.iloc[0]
-        attacker, bx, by = first_row["attacker"], first_row["ball_x"], first_row["ball_y"]
-        rows = [r for r in g.itertuples(index=False) if isinstance(r.a, str)]
         for nodes, links in _groups(rows):
             places = {}
-            for r in links:
-                places[r.a] = (r.team, r.ord_a, r.x_a, r.y_a)
-                places[r.b] = ("away" if r.team == "home" else "home", r.ord_b, r.x_b, r.y_b)
-            side = lambda team: {k: v[2:] for k, v in sorted(places.items(), key=lambda kv: kv[0]) if v[0] == team}  # noqa: B023,E731
-            home, away = side("home"), side("away")
+            for a, b, team, _, xa, ya, xb, yb in links:
+                places[a] = team, (xa, ya)
+                places[b] = "away" if team == "home" else "home", (xb, yb)
+            home, away = ({k: places[k][1] for k in sorted(places) if places[k][0] == team} for team in ("home", "away"))
             if not home or not away or max(len(home), len(away)) > LARGEST or abs(len(home) - len(away)) > 1:
                 continue
             players = frozenset(nodes)
@@ -106,8 +124,7 @@ def _segment(key, pdf):
             first, second = (away, home) if attacker == "away" else (home, away)
             kind = f"{len(first)}v{len(second)}"
             gaps = [hypot(p[0] - q[0], p[1] - q[1]) for p in first.values() for q in second.values()]
-            every = [*first.values(), *second.values()]
-            ball = None if pd.isna(bx) else min(hypot(x - bx, y - by) for x, y in every)
+            ball = None if near is None else min(hypot(x - near[0], y - near[1]) for side in (first, second) for x, y in side.values())
             factor = 0.3 if ball is None else max(0.05, min(1.0, 1 - ball / BALL_SOFT))
             confidence = max(0.0, min(1.0, 1 - sum(gaps) / len(gaps) / RADIUS)) * factor
             run = runs.get(players)
@@ -120,8 +137,7 @@ def _segment(key, pdf):
                 run = None
             if run is None:
                 run = runs[players] = _Run(kind, t)
-            xs, ys = zip(*every)
-            run.add(t, confidence, ball, _closest(first, second), [min(xs), min(ys), max(xs), max(ys)], links)
+            run.add(t, confidence, ball, (first, second), [int(r[3]) for r in links])
             live.add(players)
         for players in [p for p in runs if p not in live]:
             close(players)
@@ -134,6 +150,6 @@ def _segment(key, pdf):
 def matchups(t: Tables, edges: DataFrame, spells: DataFrame) -> DataFrame:
     """Matchups of up to three a side, at most one apart in number, that last, are tight and are near the ball."""
     frames = t.frames.select(*FRAME, "t", "ball_x", "ball_y").join(alive(spells, F.col("team").alias("attacker")), FRAME, "left")
-    rows = frames.join(alive_links(t, edges), FRAME, "left")
+    rows = frames.join(alive_links(t, edges), FRAME, "left").select(*FRAME, "t", "attacker", "ball_x", "ball_y", *LINK)
     found = rows.groupBy(*SEGMENT).applyInPandas(_segment, MATCHUPS)
     return tracks_of(found, edges, [*SEGMENT, "players", "t_start", "t_end"])

@@ -139,7 +139,8 @@ def pressing_traps(t: Tables, spells: DataFrame, edges: DataFrame) -> DataFrame:
     own = groups.join(s, [*SEGMENT, "carrier"]).where("t_start - 0.5 <= t_trap and t_trap <= t_end")
     own = own.withColumn("r", F.row_number().over(Window.partitionBy(*SEGMENT, "carrier", "t_trap").orderBy("i_start"))).where("r = 1 and t_end - t_trap >= 0.4")
     times = t.frames.select(*SEGMENT, F.col("frame_idx").alias("i_trap"), F.col("t").alias("t_now"))
-    near = own.join(times, SEGMENT).where("i_trap between i_start and i_end and abs(t_now - greatest(t_trap, t_start)) < 2.0")
+    frames = own.withColumn("i_trap", F.explode(F.sequence("i_start", "i_end")))
+    near = frames.join(times, [*SEGMENT, "i_trap"]).where("abs(t_now - greatest(t_trap, t_start)) < 2.0")
     keys = [*SEGMENT, "carrier", "t_trap", "n", "pressers", "spell", "team", "i_start", "i_end", "t_end"]
     at = near.groupBy(*keys).agg(F.min_by(F.struct("i_trap", "t_now"), F.struct(F.abs(F.col("t_now") - F.greatest("t_trap", "t_start")), "t_now")).alias("w")).select(*keys, "w.*")
     at = at_frame(at, t, "i_trap", "carrier", "c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,14 @@ class Scene:
         return roles.rotations(self.tables, self.roles)
 
 
+    def prepare(self, names: set[str]) -> None:
+        """Computes some of the above side by side: roles need nothing of spells, and edges come after carriers."""
+        chains = [["roles"], ["spells", "carriers", "edges"]]
+        with ThreadPoolExecutor(len(chains)) as pool:
+            for done in [pool.submit(lambda c: [getattr(self, n) for n in c if n in names], c) for c in chains]:
+                done.result()
+
+
 def as_detections(df: DataFrame) -> DataFrame:
     """Typed rows of a detector in the common form; its further columns become the geometry, as JSON."""
     if "geometry" in df.columns:
@@ -85,6 +94,11 @@ DETECTORS: dict[str, Detector] = {
     "rotation": lambda s: roles.rotation_detections(s.rotations),
     "edge": lambda s: edges.edge_detections(s.edges),
 }
+#: What of a scene the detectors use, beside its tables.
+USES = {
+    "triangle": {"carriers"}, "isolation": {"carriers"}, "back_pass": {"spells"}, "run": {"spells"}, "matchup": {"edges"}, "press": {"edges"}, "play": {"edges"},
+    "edge": {"edges"}, "rotation": {"roles"},
+}
 #: Those that need no relations, for every tick of a live stream.
 CHEAP = ["formation", "block", "offside_line", "back_pass", "isolation"]
 
@@ -106,12 +120,8 @@ def run_all(t: Tables, detectors: list[Detector] | list[str] | None = None) -> D
     detections or typed rows.  Sort by t_start, then det_ord, for one timeline.
     """
     scene = Scene(t)
+    used = set().union(*(USES.get(d, set()) for d in (detectors or DETECTORS) if isinstance(d, str)))
+    scene.prepare(used | ({"carriers"} if "edges" in used else set()) | ({"spells"} if used & {"carriers", "edges"} else set()))
     chosen = [DETECTORS[d] if isinstance(d, str) else d for d in (detectors or DETECTORS)]
     parts = [as_detections(d(scene)).withColumn("det_ord", F.lit(i)) for i, d in enumerate(chosen)]
     return reduce(DataFrame.union, parts)
-
-
-def spread(t: Tables, partitions: int) -> Tables:
-    """The tables dealt out by segment, so that groups by segment need no further exchange."""
-    deal = lambda df: df.repartition(partitions, *SEGMENT).sortWithinPartitions(*FRAME)
-    return Tables(deal(t.frames), deal(t.positions))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
@@ -68,20 +68,20 @@ def k_depth(spark, sf):
 @query(f"""with {o.P} select p.frame_idx, p.track_id,
   case when (p.y - 34) * (c.y - 34) > 0 and least(p.y, 68 - p.y) < least(c.y, 68 - c.y) then 'overlap'
     when least(c.y, 34.0) < p.y and p.y < greatest(c.y, 34.0) then 'underlap' end as kind
-  from positions p join positions c on c.frame_idx = p.frame_idx and c.ord = 6 where p.team = 'home' and p.ord <> 6""")
+  from positions p join positions c on c.frame_idx = p.frame_idx and c.team = p.team and c.ord % 11 = 6 where p.ord % 11 <> 6""")
 def k_lateral(spark, sf):
-    p = tables(spark, sf).positions.where("team = 'home'")
-    c = p.where("ord = 6").select(*FRAME, C("y").alias("cy"))
-    return p.where("ord <> 6").join(c, FRAME).select("frame_idx", "track_id", k.lateral(C("y"), C("cy")).alias("kind"))
+    p = tables(spark, sf).positions
+    c = p.where("ord % 11 = 6").select(*FRAME, "team", C("y").alias("cy"))
+    return p.where("ord % 11 <> 6").join(c, [*FRAME, "team"]).select("frame_idx", "track_id", k.lateral(C("y"), C("cy")).alias("kind"))
 
 
 @query(f"""with {o.P} select a.frame_idx, a.track_id as a, b.track_id as b,
   abs(a.x - case when a.team = 'home' then 0 else 105 end) < abs(b.x - case when a.team = 'home' then 0 else 105 end) as goal_side
-  from positions a join positions b on a.frame_idx = b.frame_idx and a.team <> b.team where a.ord % 11 = b.ord % 11""")
+  from positions a join positions b on a.frame_idx = b.frame_idx and a.team <> b.team""")
 def k_goal_side(spark, sf):
     p = win.with_sign(tables(spark, sf))
     a, b = (p.select(*FRAME, "sign", *(C(c).alias(f"{c}_{s}") for c in ("track_id", "team", "x", "ord"))) for s in "ab")
-    rows = a.join(b.drop("sign"), FRAME).where("team_a <> team_b and ord_a % 11 = ord_b % 11")
+    rows = a.join(b.drop("sign"), FRAME).where("team_a <> team_b")
     return rows.select("frame_idx", C("track_id_a").alias("a"), C("track_id_b").alias("b"), k.goal_side(C("x_a"), C("x_b"), C("sign")).alias("goal_side"))
 
 
@@ -111,36 +111,36 @@ def k_iou(spark, sf):
     return b.select("frame_idx", _r(k.iou(box, (C("cx"), C("cy"), C("cx") + 10, C("cy") + 14)), "iou"), _r(foot.x, "foot_x"), _r(foot.y, "foot_y"))
 
 
-@query(f"""with {o.P}, l as (select frame_idx, ord, x, y, lead(x) over w as nx, lead(y) over w as ny from positions where ord < 4 window w as (partition by frame_idx order by ord)),
+@query(f"""with {o.P}, l as (select frame_idx, ord, x, y, lead(x) over w as nx, lead(y) over w as ny from positions window w as (partition by frame_idx order by ord)),
 n as (select *, greatest(cast(floor(sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny)) / 1.5) as int), 1) as n from l where nx is not null),
 p as (select frame_idx, x + (nx - x) * j / n as x, y + (ny - y) * j / n as y from n, generate_series(0, 200) g(j) where j < n
   union all select frame_idx, x, y from l where nx is null)
 select frame_idx, count(*) as points, round(sum(x), 6) as sx, round(sum(y), 6) as sy from p group by frame_idx having count(distinct frame_idx) = 1""")
 def k_densify(spark, sf):
-    line = tables(spark, sf).positions.where("ord < 4").groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
+    line = tables(spark, sf).positions.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
     dense = line.select("frame_idx", F.explode(k.densify(F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y"))))).alias("q"))
     return dense.groupBy("frame_idx").agg(F.count("*").alias("points"), _r(F.sum("q.x"), "sx"), _r(F.sum("q.y"), "sy"))
 
 
-@query(f"""with {o.P}, c as (select frame_idx, j, x + 5 * cos(j * 2 * pi() / 28) as x, y + 5 * sin(j * 2 * pi() / 28) as y from positions, generate_series(0, 28) g(j) where ord = 0)
-select frame_idx, cast(j as int) as j, round(x, 6) as x, round(y, 6) as y from c""")
+@query(f"""with {o.P}, c as (select frame_idx, track_id, j, x + 5 * cos(j * 2 * pi() / 28) as x, y + 5 * sin(j * 2 * pi() / 28) as y from positions, generate_series(0, 28) g(j))
+select frame_idx, track_id, cast(j as int) as j, round(x, 6) as x, round(y, 6) as y from c""")
 def k_circle(spark, sf):
-    p = tables(spark, sf).positions.where("ord = 0")
-    return p.select("frame_idx", F.posexplode(k.circle(C("x"), C("y"), 5.0)).alias("j", "q")).select("frame_idx", "j", _r(C("q.x"), "x"), _r(C("q.y"), "y"))
+    p = tables(spark, sf).positions
+    return p.select("frame_idx", "track_id", F.posexplode(k.circle(C("x"), C("y"), 5.0)).alias("j", "q")).select("frame_idx", "track_id", "j", _r(C("q.x"), "x"), _r(C("q.y"), "y"))
 
 
-@query(f"""with {o.P}, s as (select * from positions where frame_idx % 5 = 0 and ord < 5),
-q as (select frame_idx + 0.37 as tq, frame_idx, ord, track_id from positions where frame_idx % 7 = 0 and ord < 5),
+@query(f"""with {o.P}, s as (select * from positions where frame_idx % 5 = 0),
+q as (select frame_idx + 0.37 as tq, frame_idx, ord, track_id from positions),
 b as (select q.frame_idx, q.track_id, q.tq / 10 as tq, (select arg_max((t, x, y), t) from s where s.ord = q.ord and s.t <= q.tq / 10) as b,
   (select arg_min((t, x, y), t) from s where s.ord = q.ord and s.t >= q.tq / 10) as a from q)
 select frame_idx, track_id, round(case when b is null then a[2] when a is null or a[1] = b[1] then b[2] else b[2] + (tq - b[1]) / (a[1] - b[1]) * (a[2] - b[2]) end, 6) as x,
   round(case when b is null then a[3] when a is null or a[1] = b[1] then b[3] else b[3] + (tq - b[1]) / (a[1] - b[1]) * (a[3] - b[3]) end, 6) as y from b""")
 def k_interp(spark, sf):
-    """Places between samples at every fifth frame."""
-    p = tables(spark, sf).positions.where("ord < 5")
+    """Places between samples at every fifth frame, of each player on each frame."""
+    p = tables(spark, sf).positions
     tracks = p.where("frame_idx % 5 = 0").groupBy("track_id").agg(F.collect_list(F.struct("t", "x", "y")).alias("track"))
     at = (C("frame_idx") + 0.37) / 10
-    rows = p.where("frame_idx % 7 = 0").join(tracks, "track_id").select("frame_idx", "track_id", k.interpolate(C("track"), at, ("x", "y")).alias("q"))
+    rows = p.join(tracks, "track_id").select("frame_idx", "track_id", k.interpolate(C("track"), at, ("x", "y")).alias("q"))
     return rows.select("frame_idx", "track_id", _r(C("q.x"), "x"), _r(C("q.y"), "y"))
 
 
@@ -285,7 +285,7 @@ def w_ball_gate(spark, sf):
     return folds.ball_gate(f, SEGMENT).select("frame_idx", _r(C("x"), "x"), _r(C("y"), "y"))
 
 
-@query(f"""with recursive {o.P}, b as (select ord, frame_idx, t, x, y, row_number() over (partition by ord order by frame_idx) as n from positions where ord < 6),
+@query(f"""with recursive {o.P}, b as (select ord, frame_idx, t, x, y, row_number() over (partition by ord order by frame_idx) as n from positions),
 z as (select *, coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)) > (t - lag(t) over w) * 12.0, true) as anew from b window w as (partition by ord order by n)),
 g as (select *, sum(case when anew then 1 else 0 end) over (partition by ord order by n rows unbounded preceding) as run from z),
 m as (select *, median(x) over w as mx, median(y) over w as my from g window w as (partition by ord, run order by n rows between 2 preceding and current row)),
@@ -293,7 +293,7 @@ s as (select ord, n, frame_idx, mx as sx, my as sy from m where n = 1
   union all select m.ord, m.n, m.frame_idx, case when m.anew then mx else 0.5 * mx + 0.5 * sx end, case when m.anew then my else 0.5 * my + 0.5 * sy end from s join m on m.ord = s.ord and m.n = s.n + 1)
 select ord, frame_idx, round(sx + 1e-8, 6) as x, round(sy + 1e-8, 6) as y from s""")
 def w_smooth_track(spark, sf):
-    p = tables(spark, sf).positions.where("ord < 6")
+    p = tables(spark, sf).positions
     return folds.smooth_track(p, [*SEGMENT, "ord"]).select("ord", "frame_idx", _r(C("x") + 1e-8, "x"), _r(C("y") + 1e-8, "y"))
 
 
@@ -339,24 +339,38 @@ def j_interval(spark, sf):
     return possession.alive(Scene(tables(spark, sf)).spells, "track_id", "team").select("frame_idx", "track_id", "team")
 
 
-@query("""with l as (select event_id, user_id, (epoch_us(ts) // 1000) as s from events where event_id % 3 = 0), r as (select user_id, (epoch_us(ts) // 1000) as s, value from events where event_id % 3 = 1)
+@query("""with l as (select event_id, user_id, (epoch_us(ts) // 1000) - 3600000 as s from events), r as (select user_id, (epoch_us(ts) // 1000) as s, value from events)
 select event_id, round(value, 6) as value from l asof left join r on l.user_id = r.user_id and l.s >= r.s""")
 def j_asof_backward(spark, sf):
+    """The value that held for a user an hour before each event."""
     e = _read(spark, sf, "events").withColumn("s", F.unix_millis(C("ts").cast("timestamp")))
-    left, right = e.where("event_id % 3 = 0").select("event_id", "user_id", "s"), e.where("event_id % 3 = 1").select("user_id", "s", "value")
+    left, right = e.select("event_id", "user_id", (C("s") - 3_600_000).alias("s")), e.select("user_id", "s", "value")
     return joins.asof_backward(left, right, ["user_id"], "s", "value").select("event_id", _r(C("value"), "value"))
 
 
-@query("""with l as (select event_id, user_id, (epoch_us(ts) // 1000) as s from events where event_id % 3 = 0), r as (select user_id, (epoch_us(ts) // 1000) as s, value from events where event_id % 3 = 1),
+@query("""with l as (select event_id, user_id, (epoch_us(ts) // 1000) + 5400000 as s from events), r as (select user_id, (epoch_us(ts) // 1000) as s, value from events),
 b as (select l.*, r.s as bs, r.value as bv from l asof left join r on l.user_id = r.user_id and l.s >= r.s),
 a as (select b.*, r.s as a_s, r.value as av from b asof left join r on b.user_id = r.user_id and b.s <= r.s)
 select event_id, round(case when bs is null then av when a_s is null or s - bs <= a_s - s then bv else av end, 6) as value from a""")
 def j_asof_nearest(spark, sf):
+    """The value of a user's event that is nearest to an hour and a half after each event."""
     e = _read(spark, sf, "events").withColumn("s", F.unix_millis(C("ts").cast("timestamp")))
-    left, right = e.where("event_id % 3 = 0").select("event_id", "user_id", "s"), e.where("event_id % 3 = 1").select("user_id", "s", "value")
+    left, right = e.select("event_id", "user_id", (C("s") + 5_400_000).alias("s")), e.select("user_id", "s", "value")
     return joins.asof_nearest(left, right, ["user_id"], "s", "value").select("event_id", _r(C("value"), "value"))
 
 
+@query("""with e as (select event_id, user_id, (epoch_us(ts) // 1000) as s, value, cast(value * 1000000 as bigint) as len from events)
+select l.event_id, arg_max(r.event_id, (r.value, -r.s)) as strongest, round(max(r.value), 6) as value
+from e l join e r on l.user_id = r.user_id and r.s <= l.s + 3600000 and r.s + r.len >= l.s group by l.event_id""")
+def j_overlap_strongest(spark, sf):
+    """Of a user's intervals that overlap the hour after each event, that of the highest value."""
+    e = _read(spark, sf, "events").withColumn("s", F.unix_millis(C("ts").cast("timestamp")))
+    left = e.select("event_id", "user_id", C("s").alias("t0"), (C("s") + 3_600_000).alias("t1"))
+    end = C("s") + (C("value") * 1_000_000).cast("decimal(20,0)").cast("long")
+    right = e.select("user_id", C("s").alias("t_start"), end.alias("t_end"), "value", C("event_id").alias("strongest"))
+    return joins.overlapping_strongest(left, right, ["user_id"], "value", "strongest").select("event_id", "strongest", _r(C("value"), "value"))
+
+
 @query(f"""with recursive {o.P}, {o.SPELLS}, n as (select spell, track_id as a, team as ta, lead(track_id) over w as b, lead(team) over w as tb, lead(t_start) over w - t_end as gap from spells window w as (order by i_start))
 select spell, a, b, ta = tb as same_team, round(gap, 6) as gap from n where b is not null""")
 def j_spell_pairs(spark, sf):
@@ -402,13 +416,62 @@ def g_majority(spark, sf):
     return agg.majority(_read(spark, sf, "events"), ["user_id"], "event_type", "event_id")
 
 
-@query("""select user_id, event_id, value from (select *, row_number() over (partition by user_id order by value desc) as r from events where value > 50) where r = 1 and
-  user_id not in (select user_id from (select user_id, value, count(*) as c, max(value) over (partition by user_id) as m from events group by user_id, value) where value = m and c > 1)""")
+@query("select user_id, event_id, value from (select *, row_number() over (partition by user_id order by value desc, event_id) as r from events where value > 50) where r = 1")
 def g_argmax_conf(spark, sf):
-    """The event of each user's highest value, for users whose highest value is their own once."""
+    """The event of each user's highest value, the first one of equals."""
+    return agg.argmax_above(_read(spark, sf, "events"), ["user_id"], "value", 50.0, "event_id", tie="event_id")
+
+
+@query("""with l as (select user_id from events group by 1 having count(*) filter (event_type = 'error' and value > 99) > 0) select distinct user_id from events where user_id not in (select user_id from l)""")
+def j_without(spark, sf):
+    """Users without an error of a high value."""
     e = _read(spark, sf, "events")
-    twice = e.groupBy("user_id", "value").agg(F.count("*").alias("c")).withColumn("m", F.max("value").over(Window.partitionBy("user_id"))).where("value = m and c > 1")
-    return agg.argmax_above(joins.without_match(e, twice, ["user_id"]), ["user_id"], "value", 50.0, "event_id")
+    return joins.without_match(e.select("user_id").distinct(), e.where("event_type = 'error' and value > 99").select("user_id").distinct(), ["user_id"])
+
+
+@query("select user_id, event_type, count(*) as n, round(count(*) / 60.0, 6) as per_min from events group by all")
+def g_rates(spark, sf):
+    return agg.rates(_read(spark, sf, "events"), ["user_id"], "event_type", F.lit(60.0)).select("user_id", "event_type", "n", _r(C("per_min"), "per_min"))
+
+
+@query("""with e as (select event_id, event_id % 5 as a, event_id % 4 as b, event_id % 6 as c, event_id % 14 as n from events) select event_id, n <= 11 and a + b + c = n as sane from e""")
+def v_sane_formation(spark, sf):
+    """Labels of three numbers against players of some number."""
+    i = C("event_id")
+    players = F.slice(F.sequence(F.lit(1), F.lit(14)), F.lit(1), (i % 14).cast("int"))
+    label = F.concat_ws("-", *((i % n).cast("string") for n in (5, 4, 6)))
+    return _read(spark, sf, "events").select("event_id", present.sane_formation(players, label).alias("sane"))
+
+
+@query(f"""with {o.P}, c as (select *, row_number() over (partition by frame_idx order by ord) - 1 as i, count(*) over (partition by frame_idx) as n, (frame_idx % 250) / 10.0 as tq from positions),
+b as (select frame_idx, any_value(tq) as tq, any_value(n) as n, arg_max(x, i) filter (i <= tq) as bx, arg_max(y, i) filter (i <= tq) as by_, max(i) filter (i <= tq) as bi,
+  arg_min(x, i) filter (i >= tq) as ax, arg_min(y, i) filter (i >= tq) as ay, min(i) filter (i >= tq) as ai from c group by frame_idx)
+select frame_idx, cast(bi + 1 + case when ai is null or ai = bi then 0 else 1 end as int) as points,
+  round(case when ai is null or ai = bi then bx else bx + (tq - bi) / (ai - bi) * (ax - bx) end, 6) as x, round(case when ai is null or ai = bi then by_ else by_ + (tq - bi) / (ai - bi) * (ay - by_) end, 6) as y from b""")
+def k_path_prefix(spark, sf):
+    """The path over a frame's players, one a second, up to a time of the frame's own."""
+    line = tables(spark, sf).positions.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct(C("ord").cast("double").alias("t"), "x", "y"))).alias("p"))
+    rows = line.select("frame_idx", k.path_prefix(C("p"), (C("frame_idx") % 250) / 10.0).alias("q"))
+    tip = F.element_at("q", -1)
+    return rows.select("frame_idx", F.size("q").alias("points"), _r(tip.x, "x"), _r(tip.y, "y"))
+
+
+def _inverse(h: list[float]) -> list[float]:
+    """The adjugate of a 3x3 matrix."""
+    at = lambda r, c: h[3 * (r % 3) + c % 3]
+    return [at(j + 1, i + 1) * at(j + 2, i + 2) - at(j + 1, i + 2) * at(j + 2, i + 1) for i in range(3) for j in range(3)]
+
+
+G = _inverse(H)
+
+
+@query(f"""with {o.P}, q as (select frame_idx, track_id, {G[6]!r} * x + {G[7]!r} * y + {G[8]!r} as w, {G[0]!r} * x + {G[1]!r} * y + {G[2]!r} as u, {G[3]!r} * x + {G[4]!r} * y + {G[5]!r} as v from positions)
+select frame_idx, track_id, round(u / w, 4) as px, round(v / w, 4) as py from q where abs(w) >= 1e-9 and u / w between -300 and 600 and v / w between -200 and 400""")
+def k_to_pixel(spark, sf):
+    """Places on an image of 300 x 200 pixels, those far off it left out."""
+    at = k.to_pixel(F.array(*map(F.lit, H)), C("x"), C("y"), 300.0, 200.0)
+    rows = tables(spark, sf).positions.select("frame_idx", "track_id", at.alias("p")).where("p is not null")
+    return rows.select("frame_idx", "track_id", F.round("p.x", 4).alias("px"), F.round("p.y", 4).alias("py"))
 
 
 @query("""with d as (select user_id, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) over (partition by user_id order by ts) as d from events), s as (select user_id, list_sort(list(d)) as l from d where d > 0 group by 1)
@@ -468,9 +531,9 @@ def g_calib_report(spark, sf):
     return r.select("n", "valid", "n_fit", "n_ema", "n_held", *(_r(C(c), c) for c in ("rmse_p50", "rmse_p90", "rmse_max", "moved_p50", "moved_max")))
 
 
-@query(f"with {o.P}, d as (select frame_idx - lag(frame_idx) over (order by frame_idx) as d from frames where frame_idx % 3 = 0) select greatest(cast(floor(median(d)) as int), 1) as stride from d where d > 0")
+@query(f"with {o.P}, d as (select frame_idx - lag(frame_idx) over (order by frame_idx) as d from frames where ball_x is not null) select greatest(cast(floor(median(d)) as int), 1) as stride from d where d > 0")
 def g_stride(spark, sf):
-    return agg.stride_of(tables(spark, sf).frames.where("frame_idx % 3 = 0"), SEGMENT, "frame_idx").select("stride")
+    return agg.stride_of(tables(spark, sf).frames.where("ball_x is not null"), SEGMENT, "frame_idx").select("stride")
 
 
 # -------------------------------------------------------- possession, patterns
@@ -578,7 +641,27 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select("type", F.array_join("players", ",").alias("players"), *(_r(C(c), c) for c in ("t_start", "t_end", "confidence")))
 
 
-@query()
+RUNS = f"""with recursive {o.P}, {o.SPELLS},
+pt as (select s.spell, s.track_id as carrier, p.track_id, p.frame_idx as i, p.t, p.x, p.y, c.x as cx, c.y as cy, case when s.team = 'home' then 1 else -1 end as sign
+  from spells s join positions p on p.frame_idx between s.i_start and s.i_end and p.team = s.team and p.track_id <> s.track_id
+  left join positions c on c.frame_idx = p.frame_idx and c.track_id = s.track_id),
+steps as (select *, case when sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) > 12.0 * (t - lag(t) over w) then 1 else 0 end as jump from pt window w as (partition by spell, track_id order by i)),
+jumps as (select *, sum(jump) over (partition by spell, track_id order by i rows unbounded preceding) as jumps from steps),
+win as (select a.spell, a.carrier, a.track_id, a.sign, a.i as k, z.i as z, a.t as t0, z.t as t1, z.cx as zx, z.cy as zy from jumps a join jumps z on z.spell = a.spell and z.track_id = a.track_id and z.i = a.i + 20
+  where a.cx is not null and z.cx is not null and a.jumps = z.jumps and a.sign * a.x <= a.sign * a.cx + 0.5),
+smooth as (select w.*, p.i, p.t, avg(p.x) over v as sx, avg(p.y) over v as sy from win w join pt p on p.spell = w.spell and p.track_id = w.track_id and p.i between w.k and w.z
+  window v as (partition by w.spell, w.track_id, w.k order by p.i rows between 3 preceding and current row)),
+speeds as (select *, sqrt((sx - lag(sx) over v) ** 2 + (sy - lag(sy) over v) ** 2) / (t - lag(t) over v) as speed from smooth window v as (partition by spell, track_id, k order by i)),
+ends as (select spell, carrier, track_id, sign, k, z, t0, t1, zx, zy, avg(speed) as speed, arg_max(sx, i) as ex, arg_max(sy, i) as ey from speeds group by all),
+kinds as (select *, case when (ey - 34) * (zy - 34) > 0 and least(ey, 68 - ey) < least(zy, 68 - zy) then 'overlap'
+  when ey between least(34.0, zy) and greatest(34.0, zy) and abs(ey - zy) > 1e-9 then 'underlap' end as kind from ends where speed >= 4.0 and sign * ex > sign * zx),
+marked as (select *, case when k <= max(z) over (partition by spell, track_id order by k, z rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from kinds where kind is not null),
+merged as (select *, sum(new) over (partition by spell, track_id order by k, z rows unbounded preceding) as island from marked)
+select arg_max(kind, (speed, -k)) as type, track_id || ',' || carrier as players, round(min(t0), 6) as t_start, round(max(t1), 6) as t_end, round(least(1.0, max(speed) / 8), 6) as confidence
+from merged group by spell, carrier, track_id, island"""
+
+
+@query(RUNS)
 def runs(spark, sf):
     s = Scene(tables(spark, sf))
     return _rows(detectors.runs(s.tables, s.spells))
@@ -600,12 +683,13 @@ def matchup(spark, sf):
     return _rows(matchups.matchups(s.tables, s.edges, s.spells))
 
 
-@query()
+@query(f"""with recursive {o.P}, near as (select a.frame_idx, a.track_id as u, b.track_id as w from positions a join positions b on a.frame_idx = b.frame_idx and a.team <> b.team and {o.d('a.', 'b.')} <= 8.0),
+r as (select frame_idx, u, u as v from near union select r.frame_idx, r.u, near.w from r join near on near.frame_idx = r.frame_idx and near.u = r.v),
+l as (select frame_idx, u, min(v) as label from r group by all) select frame_idx, label, count(*) as members from l group by all""")
 def g_components(spark, sf):
-    """Components of each frame's alive edges, by label spreading."""
-    s = Scene(tables(spark, sf))
-    labels = matchups.components(matchups.alive_links(s.tables, s.edges))
-    return labels.groupBy("frame_idx", "label").agg(F.count("*").alias("members"))
+    """Components of each frame's graph of opponents at most 8 m apart."""
+    pairs = edges.cross_pairs(tables(spark, sf), 0.0, 8.0).where("team_a = 'home'").select(*FRAME, C("track_id_a").alias("a"), C("track_id_b").alias("b"))
+    return matchups.components(pairs).groupBy("frame_idx", "label").agg(F.count("*").alias("members"))
 
 
 @query()
@@ -629,11 +713,14 @@ def run_all_counts(spark, sf):
     return pipeline.run_all(tables(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(f"""with recursive {o.P}, {o.RANKED}{SMOOTH}, {o.shapes(2000)}, blocks as (select count(*) as n from (select distinct anchor, team from lines))
-select 'block' as type, n from blocks""".replace("select count(*) as n from (select distinct anchor, team from lines)", "select count(*) as n from (select distinct anchor, team from lines)"))
+#: Detectors that SQL states, with their query here.
+STATED = {"formation": "formation", "block": "block", "offside_line": "offside_line", "triangle": "triangles", "back_pass": "back_passes", "isolation": "isolations", "run": "runs"}
+
+
+@query(" union all ".join(f"select {'type' if name == 'runs' else repr(kind)} as type, count(*) as n from ({ORACLE_SQL[name]}) group by all" for kind, name in STATED.items()))
 def u_all_detections(spark, sf):
-    """The union of chosen detectors, counted by type."""
-    return pipeline.run_all(tables(spark, sf), ["block"]).groupBy("type").agg(F.count("*").alias("n"))
+    """The union of the detectors that SQL states, counted by type."""
+    return pipeline.run_all(tables(spark, sf), list(STATED)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("""select event_id from (select event_id, row_number() over (partition by user_id order by ts) - 1 as i, count(*) over (partition by user_id) as n, user_id from events) e
@@ -645,32 +732,57 @@ def s_linspace_sample(spark, sf):
 # --------------------------------------------------------------- presentation
 @query()
 def schedule_events(spark, sf):
-    """Events to show, from all detectors that need no edges."""
-    found = pipeline.run_all(tables(spark, sf), ["triangle", "back_pass", "isolation", "run"])
+    """Events to show, of all detectors."""
+    found = pipeline.run_all(tables(spark, sf))
     return present.schedule_events(found).select("type", F.array_join("players", ",").alias("players"), _r(C("show_start"), "show_start"), _r(C("show_end"), "show_end"))
 
 
 @query()
 def s_topk_edges(spark, sf):
-    """The likeliest edges at every tenth frame."""
+    """The likeliest edges at every frame."""
     s = Scene(tables(spark, sf))
-    times = s.tables.frames.where("frame_idx % 10 = 0").select(*SEGMENT, "t")
+    times = s.tables.frames.select(*SEGMENT, "t")
     top = present.top_edges(present.active_at(edges.edge_detections(s.edges), times), SEGMENT)
     return top.select(_r(C("t"), "t"), "rank", "type", F.array_join("players", ",").alias("players"), _r(C("confidence"), "confidence"))
 
 
-@query()
+@query(f"""with f as ({ORACLE_SQL["formation"]}), l as ({ORACLE_SQL["offside_line"]}), x as (with {o.P} select t from frames),
+a as (select x.t, f.t_end, f.confidence, max(f.t_end) over (partition by x.t) as latest from x join f on x.t >= f.t_start and x.t <= f.t_end + 0.75),
+b as (select x.t, l.t_end, row_number() over (partition by x.t, team_defending order by l.t_end desc) as r from x join l on x.t >= l.t_start and x.t <= l.t_end + 0.75)
+select round(t, 6) as t, 'formation' as type, t_end, confidence from a where t_end >= latest - 1e-9 union all select round(t, 6), 'offside_line', t_end, 0.5 from b where r = 1""")
 def newest_generation(spark, sf):
-    """Formations and offside lines to show at every tenth frame."""
+    """Formations and offside lines to show at every frame."""
     t = tables(spark, sf)
     found = pipeline.run_all(t, ["formation", "offside_line"])
-    active = present.active_at(found, t.frames.where("frame_idx % 10 = 0").select(*SEGMENT, "t"))
+    active = present.active_at(found, t.frames.select(*SEGMENT, "t"))
     return present.newest_generation(active, SEGMENT).select(_r(C("t"), "t"), "type", _r(C("t_end"), "t_end"), _r(C("confidence"), "confidence"))
 
 
-@query()
+@query(f"""with recursive {o.P}, {o.RANKED}{SMOOTH},
+l as (select f.frame_idx, f.t, f.ball_x, max(sx) filter (team = 'home') as hx, max(sx) filter (team = 'away') as ax from sm join frames f using (frame_idx) where sx is not null and abs(sx - ball_x) <= 30 group by all),
+n as (select *, row_number() over (order by t) as n, case when hx is null then 'away' when ax is null then 'home' when abs(hx - ball_x) < abs(ax - ball_x) then 'home' else 'away' end as best from l),
+w as (select n, t, best as team, t as since, case best when 'home' then hx else ax end as x from n where n = 1
+  union all select n, t, chosen, case when chosen = old then since else t end, case chosen when 'home' then hx else ax end
+  from (select n.*, w.team as old, w.since, case when best <> w.team and n.t - w.since <= 2.0 and (case w.team when 'home' then hx else ax end) is not null then w.team else best end as chosen from w join n on n.n = w.n + 1))
+select round(t, 6) as t, team, round(x, 6) as x from w""")
 def offside_shown(spark, sf):
-    """The offside line nearest the ball at every fifth frame, its team held for 2 s."""
+    """The offside line nearest the ball at every frame, its team held for 2 s."""
     t = tables(spark, sf)
-    times = t.frames.where("frame_idx % 5 = 0").select(*SEGMENT, "t", "ball_x")
+    times = t.frames.select(*SEGMENT, "t", "ball_x")
     return present.offside_at(detectors.offside_lines(t), times).select(_r(C("t"), "t"), "team", _r(C("x"), "x"))
+
+
+@query(f"""with {o.P}, c as (select frame_idx, t, frame_idx % 20 >= 14 as held, frame_idx % 33 = 0 as lost, (frame_idx % 40) / 10.0 as rmse from frames where frame_idx % 7 <> 6),
+g as (select *, max(case when not held and not lost then t end) over (order by t rows unbounded preceding) as last from c),
+k as (select frame_idx, not lost and rmse <= 3 and case when held then coalesce(t - last <= 2, false) else true end as ok from g),
+d as (select f.frame_idx, f.t, coalesce(k.ok, false) and f.frame_idx % 50 < 45 and f.frame_idx % 17 <> 0 as drawable from frames f left join k using (frame_idx)),
+i as (select *, frame_idx - row_number() over (partition by drawable order by frame_idx) as island from d)
+select frame_idx, drawable, case when drawable then min(t) over w end as run_start, case when drawable then max(t) over w end as run_end from i window w as (partition by drawable, island)""")
+def drawable_runs(spark, sf):
+    """Runs of frames that can be drawn on, by made-up calibrations, shots and players in sight."""
+    f, i = tables(spark, sf).frames, C("frame_idx")
+    seen = F.slice(F.sequence(F.lit(1), F.lit(6)), F.lit(1), F.when(i % 17 == 0, 4).otherwise(6))
+    perception = f.select("match_id", "frame_idx", "t", F.when(i % 50 < 45, "main").otherwise("other").alias("shot"), seen.alias("players"))
+    h = F.when(i % 33 != 0, F.array(*map(F.lit, H)))
+    calib = f.where(i % 7 != 6).select("match_id", "frame_idx", "t", F.when(i % 20 >= 14, "held").otherwise("fit").alias("src"), h.alias("H"), ((i % 40) / 10.0).alias("rmse_m"))
+    return present.drawable_runs(perception, calib).select("frame_idx", "drawable", "run_start", "run_end")

@@ -55,21 +55,20 @@ class LiveDetection:
         self.dropped = 0
 
     def _state(self, epoch: int) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
+        """The buffer after the batch before; batches are numbered without gaps, so a missing one is an error."""
+        return self.spark.read.parquet(f"{self.path}/{epoch - 1}") if epoch else None
 
-        for before in range(epoch - 1, max(-1, epoch - 3), -1):
-            try:
-                return self.spark.read.parquet(f"{self.path}/{before}")
-            except AnalysisException:
-                continue
-        return None
+    def fresh(self, batch: DataFrame, state: DataFrame | None) -> DataFrame:
+        """The rows of ``batch`` above their match's last sequence number, each number once."""
+        if state is not None:
+            last = state.groupBy("match_id").agg(F.max("seq").alias("last"))
+            batch = batch.join(last, "match_id", "left").where("last is null or seq > last").drop("last")
+        return batch.dropDuplicates(["match_id", "seq"])
 
     def buffer(self, batch: DataFrame, state: DataFrame | None) -> DataFrame:
         """The rows to keep after ``batch``, with segment_id; only the latest segment of a match stays."""
         old = self.spark.createDataFrame([], batch.schema).withColumn("segment_id", F.lit(0)) if state is None else state
-        last = old.groupBy("match_id").agg(F.max("seq").alias("last"), F.max("segment_id").alias("base"))
-        fresh = batch.dropDuplicates(["match_id", "seq"]).join(last, "match_id", "left").where("last is null or seq > last").drop("last", "base")
-        rows = old.unionByName(fresh.withColumn("segment_id", F.lit(None).cast("int")))
+        rows = old.unionByName(self.fresh(batch, state).withColumn("segment_id", F.lit(None).cast("int")))
         w = Window.partitionBy("match_id").orderBy("seq")
         main = F.col("shot") == "main"
         cut = F.lag("t").over(w).isNull() | (F.col("t") - F.lag("t").over(w) > GAP_S) | (F.lag("shot").over(w) != "main")
@@ -83,7 +82,9 @@ class LiveDetection:
         ).drop("_s", "_t")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        self.buffer(batch, self._state(epoch)).write.mode("overwrite").parquet(f"{self.path}/{epoch}")
+        state = self._state(epoch)
+        self.dropped += batch.count() - self.fresh(batch, state).count()
+        self.buffer(batch, state).write.mode("overwrite").parquet(f"{self.path}/{epoch}")
         kept = self.spark.read.parquet(f"{self.path}/{epoch}")
         main = kept.where("shot = 'main'")
         if main.isEmpty():
@@ -104,17 +105,19 @@ def gated_ball(stream: DataFrame, max_speed: float = 40.0, reacquire: float = 0.
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key, batches, state):
+        import pandas as pd
+
         last = state.get if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            kept = []
-            for r in pdf.itertuples():
-                gone = None if last is None else r.t - last[0]
-                ok = last is None or gone >= reacquire or ((r.x - last[1]) ** 2 + (r.y - last[2]) ** 2) ** 0.5 <= gone * max_speed
-                kept.append(ok)
-                if ok:
-                    last = (r.t, r.x, r.y)
-            yield pdf[kept][["match_id", "seq", "t", "x", "y"]]
+        # a trigger's rows of a match may come in several batches, in any order
+        pdf = pd.concat(list(batches)).sort_values("seq")
+        kept = []
+        for r in pdf.itertuples():
+            gone = None if last is None else r.t - last[0]
+            ok = last is None or gone >= reacquire or ((r.x - last[1]) ** 2 + (r.y - last[2]) ** 2) ** 0.5 <= gone * max_speed
+            kept.append(ok)
+            if ok:
+                last = (r.t, r.x, r.y)
+        yield pdf[kept][["match_id", "seq", "t", "x", "y"]]
         if last is not None:
             state.update(tuple(float(v) for v in last))
 

@@ -242,7 +242,7 @@ def test_components_match_the_groups(scene):
     labels = by_match(matchups.components(links))
     for match, rows in by_match(links).items():
         frame = rows[0].frame_idx
-        groups = {frozenset(g[0]) for g in matchups._groups([r for r in rows if r.frame_idx == frame])}
+        groups = {frozenset(g[0]) for g in matchups._groups([(r.a, r.b) for r in rows if r.frame_idx == frame])}
         found = {}
         for r in labels[match]:
             if r.frame_idx == frame:
@@ -250,5 +250,20 @@ def test_components_match_the_groups(scene):
         assert {frozenset(v) for v in found.values()} == groups
 
 
-def test_modules_are_used():
-    assert edges.MARK_RADIUS == 6.0 and plays.COOL_S == 8.0 and roles.ROLES == 10
+def test_long_components(spark):
+    """A path of many nodes is one component, whatever its length."""
+    rows = [("m", 0, 0, f"p{i:02}", f"p{i + 1:02}") for i in range(21)] + [("m", 0, 0, "q0", "q1"), ("m", 0, 1, "p05", "p09")]
+    random.Random(1).shuffle(rows)
+    found = matchups.components(spark.createDataFrame(rows, "match_id string, segment_id int, frame_idx int, a string, b string")).collect()
+    assert sorted((r.frame_idx, r.label, r.u) for r in found) == sorted([(0, "p00", f"p{i:02}") for i in range(22)] + [(0, "q0", "q0"), (0, "q0", "q1"), (1, "p05", "p05"), (1, "p05", "p09")])
+
+
+def test_role_lines():
+    """Lines part at the widest gaps; within a line, roles go up by y."""
+    slots = np.array([[50.0, 60], [20, 50], [21, 10], [80, 30], [22, 30], [49, 20]])
+    assert roles.role_order(slots).tolist() == [2, 4, 1, 5, 0, 3]
+    close = np.array([[10.0, 5], [11, 1], [14, 3]])
+    assert roles.role_order(close).tolist() == [1, 0, 2]
+    who, xy = np.array(["a", "b", "a", "b"]), np.array([[10.0, 10], [50, 30], [12, 10], [50, 32]])
+    first = roles.first_template(who, xy, np.array([0, 0, 1, 1]))
+    assert first.shape == (10, 2) and first[:2].tolist() == [[11, 10], [50, 31]] and len({tuple(x) for x in first}) == 10
