@@ -253,8 +253,8 @@ def tracks_of(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     Frames carry an edge's number and not its samples, which would be copied
     once for each frame of its life.
     """
-    own = df.select(*keys, F.explode("edge_ids").alias("edge")).join(found.select(*SEGMENT, "edge", "samples"), [*SEGMENT, "edge"])
-    track = own.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("samples")))).alias("track"))
+    own = df.select(*keys, F.explode("edge_ids").alias("edge")).join(found.select(*SEGMENT, "edge", F.explode("samples").alias("sample")), [*SEGMENT, "edge"])
+    track = own.groupBy(*keys).agg(F.array_sort(F.collect_set("sample")).alias("track"))
     return df.join(track, keys, "left").drop("edge_ids")
 
 
