@@ -92,8 +92,8 @@ DECOYS = [
 ]
 FAMILIES = ["unknown", *TEMPLATES]
 HASHED, WINDOW, STEP = 8192, 64, 32
-#: Texts and lines of a text in the sample of other text, and the share of a template that confirms.
-SAMPLE_TEXTS, SAMPLE_LINES, CONFIRM = 400, 20, 0.6
+#: The share of a template that confirms.
+CONFIRM = 0.6
 
 
 def words(text: Column) -> Column:
@@ -139,14 +139,19 @@ def _table(spark, rows: list[tuple[int, str]]) -> DataFrame:
 
 
 class LicenceModel:
-    """Fitted on the templates and on lines of ``SAMPLE_TEXTS`` texts of ``df``, picked by a hash of the id; calibrated on all of ``df``."""
+    """Fitted on the templates and on windows of other text of ``df``, calibrated on all windows of ``df``.
 
-    def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id"):
+    Other text is a sample of ``sample_texts`` texts, picked by a hash of the id,
+    and of each its first ``sample_windows`` windows.  The same table gives the
+    same model.
+    """
+
+    def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_texts: int = 400, sample_windows: int = 20):
         spark = df.sparkSession
         id_ = F.col(f"`{id_col}`")
-        picked = df.select(id_.alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS)
+        picked = df.select(id_.alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_texts)
         texts = df.select(id_.alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"))
-        other = texts.select(F.explode(F.slice(windows(F.col("text")), 1, SAMPLE_LINES)).alias("w"))
+        other = texts.select(F.explode(F.slice(windows(F.col("text")), 1, sample_windows)).alias("w"))
         known = _table(spark, [(i, t) for i, f in enumerate(FAMILIES) for t in TEMPLATES.get(f, DECOYS)]).select("label", words(F.col("text")).alias("w"))
         known = known.where(F.size("w") > 0)
         close = known.where("label > 0").select("w", "label")
@@ -157,7 +162,7 @@ class LicenceModel:
         left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n - i)))
         variants = known.select("label", F.explode(F.concat(F.array("w"), left_out)).alias("w"))
         around = other.select(F.slice("w", 1, 12).alias("around"), F.pmod(F.hash("w"), F.lit(16)).alias("slot"))
-        around = around.groupBy("slot").agg(F.first("around").alias("around"))
+        around = around.groupBy("slot").agg(F.min("around").alias("around"))
         slots = close.select("label", "w", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
         within = slots.join(around, "slot").select("label", F.when(F.col("slot") % 2 == 0, F.concat("around", "w")).otherwise(F.concat("w", "around")).alias("w"))
         train = variants.union(within).union(other.select(F.lit(0).alias("label"), "w"))
