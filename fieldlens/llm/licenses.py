@@ -14,7 +14,7 @@ one.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -105,10 +105,25 @@ def pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def template_terms() -> Column:
+    """A constant array of (family, terms): the different words and word pairs of each template, which are all in ASCII."""
+    rows = []
+    for i, family in enumerate(FAMILIES):
+        for text in TEMPLATES.get(family, []):
+            w = re.findall(r"[a-z0-9]+(?:[-.+][a-z0-9]+)*", text.lower())
+            terms = dict.fromkeys(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+            rows.append(F.struct(F.lit(i).alias("family"), F.array(*map(F.lit, terms)).alias("terms")))
+    return F.array(*rows)
+
+
 def _features(df: DataFrame) -> DataFrame:
     """``df`` (w: words) with the unit vector of its hashed words and word pairs."""
+    w = F.col("w")
+    less = F.greatest(F.size(w) - 1, F.lit(0))
+    # as numbers: strings would be decoded one by one
+    both = F.zip_with(F.slice(w, F.lit(1), less), F.slice(w, F.lit(2), less), lambda a, b: F.hash(a, b))
     terms = HashingTF(inputCol="terms", outputCol="counts", numFeatures=HASHED, binary=True)
-    counted = terms.transform(df.withColumn("terms", F.concat("w", pairs(F.col("w")))))
+    counted = terms.transform(df.withColumn("terms", F.concat(F.transform(w, lambda a: F.hash(a)), both)))
     return Normalizer(inputCol="counts", outputCol="features").transform(counted).drop("terms", "counts")
 
 
@@ -171,6 +186,7 @@ class LicenceModel:
         weighed = train.join(share, "label").withColumn("weight", F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(60.0) / F.col("n")))
         learner = LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=60)
         self.model = learner.fit(_features(weighed.withColumn("label", F.col("label").cast("double"))))
+        self.model.setPredictionCol("").setRawPredictionCol("")  # probabilities alone
         self.fitted_on = df, text_col, id_col
         self.told = stored(self._told(df, text_col, id_col), "licence-told")
         ordinary = self.told.where("real and (confirmed is null or confirmed < 0.5)")
@@ -192,26 +208,25 @@ class LicenceModel:
     def classified(self, df: DataFrame) -> DataFrame:
         """``df`` (w: words) with family (number of the likeliest that isn't unknown) and likely (its probability)."""
         p = vector_to_array(F.col("probability"))
-        told = self.model.transform(_features(df)).withColumn("p", F.slice(p, 2, len(FAMILIES) - 1)).drop("features", "rawPrediction", "probability", "prediction")
+        told = self.model.transform(_features(df)).withColumn("p", F.slice(p, 2, len(FAMILIES) - 1)).drop("features", "probability")
         return told.withColumn("likely", F.array_max("p")).withColumn("family", F.array_position("p", F.col("likely")).cast("int")).drop("p")
 
-    @classmethod
-    def confirmed(cls, w: Column) -> Column:
+    @staticmethod
+    def confirmed(w: Column) -> Column:
         """The largest share of a template of any family that ``w`` holds."""
-        return reduce(F.greatest, (cls.share(w, F.lit(i)) for i in range(1, len(FAMILIES))))
+        return LicenceModel._largest(w, template_terms())
 
     @staticmethod
     def share(w: Column, family: Column) -> Column:
         """The largest share of a template of ``family`` whose words and word pairs ``w`` holds."""
-        spark_templates = F.array(*(F.struct(F.lit(i).alias("family"), F.lit(t).alias("text")) for i, f in enumerate(FAMILIES) for t in TEMPLATES.get(f, [])))
-        own = F.filter(spark_templates, lambda t: t.family == family)
+        return LicenceModel._largest(w, F.filter(template_terms(), lambda t: t.family == family))
 
-        def held(t):
-            x = words(t.text)
-            terms = F.array_distinct(F.concat(x, pairs(x)))
-            return F.size(F.array_intersect(terms, F.concat(w, pairs(w)))) / F.size(terms)
+    @staticmethod
+    def _largest(w: Column, own: Column) -> Column:
+        def held(terms):  # of the window, put together once for all templates
+            return F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(terms, t.terms)) / F.size(t.terms)))
 
-        return F.coalesce(F.array_max(F.transform(own, held)), F.lit(0.0))
+        return F.coalesce(F.element_at(F.transform(F.array(F.concat(w, pairs(w))), held), 1), F.lit(0.0))
 
     def scan(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """A row a document: doc_id, licence, likely, n_windows, n_found, families.

@@ -141,6 +141,16 @@ modification, are permitted provided that the following conditions
 are met:"""
 
 
+def test_template_terms(spark):
+    from fieldlens.llm import licenses
+
+    texts = [t for f in licenses.FAMILIES for t in licenses.TEMPLATES.get(f, [])]
+    held = spark.range(1).select(F.explode(licenses.template_terms()).alias("t")).select("t.terms").collect()
+    w = licenses.words(F.col("text"))
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(F.array_distinct(F.concat(w, licenses.pairs(w))))
+    assert [x[0] for x in held] == [x[0] for x in own.collect()]
+
+
 def test_wrapped_licences(spark):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     headers = [GPL, BSD, "\n".join("# " + x for x in GPL.split("\n")), "/*\r\n" + "\r\n".join(" * " + x for x in BSD.split("\n")) + "\r\n */"]
