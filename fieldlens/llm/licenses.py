@@ -101,50 +101,58 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[-.+][\p{L}\p{N}]+)*"), F.lit(0))
 
 
+def numbers(w: Column) -> Column:
+    """Words as 64-bit numbers, which take the place of the words from here on."""
+    return F.transform(w, lambda a: F.xxhash64(a))
+
+
 def pairs(w: Column) -> Column:
-    return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    """Each number with the next one, as one number."""
+    less = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), less), F.slice(w, F.lit(2), less), lambda a, b: F.xxhash64(a, b))
 
 
 def template_terms() -> Column:
-    """A constant array of (family, terms): the different words and word pairs of each template, which are all in ASCII."""
+    """A constant array of (family, terms): the different words and word pairs of each template, which are all in ASCII, as numbers."""
+    number = lambda a: F.xxhash64(F.lit(a))
     rows = []
     for i, family in enumerate(FAMILIES):
         for text in TEMPLATES.get(family, []):
             w = re.findall(r"[a-z0-9]+(?:[-.+][a-z0-9]+)*", text.lower())
-            terms = dict.fromkeys(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
-            rows.append(F.struct(F.lit(i).alias("family"), F.array(*map(F.lit, terms)).alias("terms")))
+            both = dict.fromkeys(zip(w, w[1:], strict=False))
+            terms = [number(a) for a in dict.fromkeys(w)] + [F.xxhash64(number(a), number(b)) for a, b in both]
+            rows.append(F.struct(F.lit(i).alias("family"), F.array(*terms).alias("terms")))
     return F.array(*rows)
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """``df`` (w: words) with the unit vector of its hashed words and word pairs."""
-    w = F.col("w")
-    less = F.greatest(F.size(w) - 1, F.lit(0))
-    # as numbers: strings would be decoded one by one
-    both = F.zip_with(F.slice(w, F.lit(1), less), F.slice(w, F.lit(2), less), lambda a, b: F.hash(a, b))
-    terms = HashingTF(inputCol="terms", outputCol="counts", numFeatures=HASHED, binary=True)
-    counted = terms.transform(df.withColumn("terms", F.concat(F.transform(w, lambda a: F.hash(a)), both)))
-    return Normalizer(inputCol="counts", outputCol="features").transform(counted).drop("terms", "counts")
+    """``df`` (terms: numbers of words and word pairs) with the unit vector of its hashed terms."""
+    counted = HashingTF(inputCol="terms", outputCol="counts", numFeatures=HASHED, binary=True).transform(df)
+    return Normalizer(inputCol="counts", outputCol="features").transform(counted).drop("counts")
 
 
-def windows(text: Column) -> Column:
-    """The windows of all lines of a text, then of all its paragraphs of more lines, as arrays of words; up to WINDOW words are one.
+def windows(text: Column, with_pairs: bool = False) -> Column:
+    """The windows of all lines of a text, then of all its paragraphs of more lines, as arrays of word numbers; up to WINDOW words are one.
 
+    With ``with_pairs`` the numbers of a window's word pairs follow those of its words.
     A paragraph ends at a line without words, so comment marks don't join what blank comment lines part.
     """
 
-    def cut(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1 - (WINDOW - STEP), F.lit(0)), F.lit(STEP))
-        return F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(WINDOW)))
+    def cut(parts: Column) -> Column:
+        def windows_of(x: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(x.w) - 1 - (WINDOW - STEP), F.lit(0)), F.lit(STEP))
+            both = lambda s: F.concat(F.slice(x.w, s + 1, F.lit(WINDOW)), F.slice(x.p, s + 1, F.lit(WINDOW - 1)))
+            return F.transform(starts, both if with_pairs else lambda s: F.slice(x.w, s + 1, F.lit(WINDOW)))
 
-    def all_of(parts: Column) -> Column:
-        return F.flatten(F.transform(F.filter(F.transform(parts, words), lambda w: F.size(w) > 0), cut))
+        paired = F.transform(parts, lambda w: F.struct(w.alias("w"), (pairs(w) if with_pairs else F.lit(None)).alias("p")))
+        return F.flatten(F.transform(paired, windows_of))
 
-    # a line break between words of two lines, with no other line break between
-    wrapped = r"[\p{L}\p{N}][^\p{L}\p{N}\n]*\n[^\p{L}\p{N}\n]*[\p{L}\p{N}]"
+    lines = lambda x: F.filter(F.transform(F.split(x, "\n"), lambda y: numbers(words(y))), lambda w: F.size(w) > 0)
     ends = F.regexp_replace(text, r"\r\n?", "\n")
-    joined = F.filter(F.split(ends, r"\n[^\p{L}\p{N}]*\n"), lambda x: x.rlike(wrapped))
-    return F.concat(all_of(F.split(text, r"[\n\r]+")), all_of(joined))
+    parts = F.transform(F.split(ends, r"\n[^\p{L}\p{N}]*\n"), lines)
+    # words are cut out once, for lines and paragraphs
+    found = lambda ps: F.concat(cut(F.flatten(ps)), cut(F.transform(F.filter(ps, lambda ls: F.size(ls) > 1), F.flatten)))
+    return F.element_at(F.transform(F.array(parts), found), 1)
 
 
 def _table(spark, rows: list[tuple[int, str]]) -> DataFrame:
@@ -167,10 +175,10 @@ class LicenceModel:
         picked = df.select(id_.alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_texts)
         texts = df.select(id_.alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"))
         other = texts.select(F.explode(F.slice(windows(F.col("text")), 1, sample_windows)).alias("w"))
-        known = _table(spark, [(i, t) for i, f in enumerate(FAMILIES) for t in TEMPLATES.get(f, DECOYS)]).select("label", words(F.col("text")).alias("w"))
+        known = _table(spark, [(i, t) for i, f in enumerate(FAMILIES) for t in TEMPLATES.get(f, DECOYS)]).select("label", numbers(words(F.col("text"))).alias("w"))
         known = known.where(F.size("w") > 0)
         close = known.where("label > 0").select("w", "label")
-        other = stored(other.where(self.confirmed(F.col("w")) < 0.5).select("w"), "licence-other")
+        other = stored(other.where(self.confirmed(self.terms(F.col("w"))) < 0.5).select("w"), "licence-other")
 
         # a template with each word left out, its halves, and with ordinary words before and after it
         n = F.size("w")
@@ -185,7 +193,8 @@ class LicenceModel:
         share = train.groupBy("label").agg(F.count("*").alias("n"))
         weighed = train.join(share, "label").withColumn("weight", F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(60.0) / F.col("n")))
         learner = LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=60)
-        self.model = learner.fit(_features(weighed.withColumn("label", F.col("label").cast("double"))))
+        weighed = weighed.withColumn("label", F.col("label").cast("double")).withColumn("terms", self.terms(F.col("w")))
+        self.model = learner.fit(_features(weighed))
         self.model.setPredictionCol("").setRawPredictionCol("")  # probabilities alone
         self.fitted_on = df, text_col, id_col
         self.told = stored(self._told(df, text_col, id_col), "licence-told")
@@ -199,34 +208,39 @@ class LicenceModel:
         A window below that ranks as ordinary whether a template confirms it or not.
         """
         docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-        cut = docs.select("doc_id", "row", F.explode_outer(windows(F.col("text"))).alias("found"))
-        told = self.classified(cut.select("doc_id", "row", F.col("found").isNotNull().alias("real"), F.coalesce("found", F.array().cast("array<string>")).alias("w")))
+        cut = docs.select("doc_id", "row", F.explode_outer(windows(F.col("text"), with_pairs=True)).alias("found"))
+        told = self.classified(cut.select("doc_id", "row", F.col("found").isNotNull().alias("real"), F.coalesce("found", F.array().cast("array<bigint>")).alias("terms")))
         near = F.col("real") & (F.col("likely") >= 0.5)
-        share, confirmed = F.when(near, self.share(F.col("w"), F.col("family"))), F.when(near, self.confirmed(F.col("w")))
+        share, confirmed = F.when(near, self.share(F.col("terms"), F.col("family"))), F.when(near, self.confirmed(F.col("terms")))
         return told.select("doc_id", "row", "real", "likely", "family", share.alias("share"), confirmed.alias("confirmed"))
 
     def classified(self, df: DataFrame) -> DataFrame:
-        """``df`` (w: words) with family (number of the likeliest that isn't unknown) and likely (its probability)."""
+        """``df`` (terms) with family (number of the likeliest that isn't unknown) and likely (its probability)."""
         p = vector_to_array(F.col("probability"))
         told = self.model.transform(_features(df)).withColumn("p", F.slice(p, 2, len(FAMILIES) - 1)).drop("features", "probability")
         return told.withColumn("likely", F.array_max("p")).withColumn("family", F.array_position("p", F.col("likely")).cast("int")).drop("p")
 
     @staticmethod
-    def confirmed(w: Column) -> Column:
-        """The largest share of a template of any family that ``w`` holds."""
-        return LicenceModel._largest(w, template_terms())
+    def terms(w: Column) -> Column:
+        """Numbers of words and word pairs."""
+        return F.concat(w, pairs(w))
+
+    @staticmethod
+    def confirmed(terms: Column) -> Column:
+        """The largest share of a template of any family that ``terms`` holds."""
+        return LicenceModel._largest(terms, template_terms())
 
     @staticmethod
-    def share(w: Column, family: Column) -> Column:
-        """The largest share of a template of ``family`` whose words and word pairs ``w`` holds."""
-        return LicenceModel._largest(w, F.filter(template_terms(), lambda t: t.family == family))
+    def share(terms: Column, family: Column) -> Column:
+        """The largest share of a template of ``family`` whose words and word pairs are in ``terms``."""
+        return LicenceModel._largest(terms, F.filter(template_terms(), lambda t: t.family == family))
 
     @staticmethod
-    def _largest(w: Column, own: Column) -> Column:
-        def held(terms):  # of the window, put together once for all templates
-            return F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(terms, t.terms)) / F.size(t.terms)))
+    def _largest(terms: Column, own: Column) -> Column:
+        def held(x):  # of the window, put together once for all templates
+            return F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(x, t.terms)) / F.size(t.terms)))
 
-        return F.coalesce(F.element_at(F.transform(F.array(F.concat(w, pairs(w))), held), 1), F.lit(0.0))
+        return F.coalesce(F.element_at(F.transform(F.array(terms), held), 1), F.lit(0.0))
 
     def scan(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """A row a document: doc_id, licence, likely, n_windows, n_found, families.
