@@ -105,16 +105,30 @@ def iou(a: tuple, b: tuple) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def densify(points: Column, step: float = 1.5) -> Column:
     """A polyline with points every ``step`` metres or so: each leg in max(int(length / step), 1) equal parts."""
 
-    def leg(i: Column) -> Column:
-        a, b = F.element_at(points, i), F.element_at(points, i + 1)
+    def leg(a: Column, b: Column) -> Column:
         n = F.greatest(F.floor(dist(a.x, a.y, b.x, b.y) / step).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((a.x + (b.x - a.x) * k / n).alias("x"), (a.y + (b.y - a.y) * k / n).alias("y")))
+        return F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+
+    def parts(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), s.n - 1), lambda k: F.struct((s.a.x + (s.b.x - s.a.x) * k / s.n).alias("x"), (s.a.y + (s.b.y - s.a.y) * k / s.n).alias("y"))
+        )
+
+    def dense(ps: Column) -> Column:
+        n = F.size(ps)
+        less = F.greatest(n - 1, F.lit(0))
+        legs = F.zip_with(F.slice(ps, F.lit(1), less), F.slice(ps, F.lit(2), less), leg)
+        return F.when(n < 2, ps).otherwise(F.concat(F.flatten(F.transform(legs, parts)), F.slice(ps, F.greatest(n, F.lit(1)), F.lit(1))))
 
-    n = F.size(points)
-    return F.when(n < 2, points).otherwise(F.concat(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), leg)), F.slice(points, n, F.lit(1))))
+    return _once(points, dense)
 
 
 def circle(x: Column, y: Column, radius, n: int = 29) -> Column:

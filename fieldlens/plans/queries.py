@@ -117,7 +117,9 @@ p as (select frame_idx, x + (nx - x) * j / n as x, y + (ny - y) * j / n as y fro
   union all select frame_idx, x, y from l where nx is null)
 select frame_idx, count(*) as points, round(sum(x), 6) as sx, round(sum(y), 6) as sy from p group by frame_idx having count(distinct frame_idx) = 1""")
 def k_densify(spark, sf):
-    line = tables(spark, sf).positions.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
+    # a frame's few rows become hundreds of points, so frames are dealt into all partitions, which aren't merged for their small size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    line = tables(spark, sf).positions.repartition(parts, *FRAME).groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
     dense = line.select("frame_idx", F.explode(k.densify(F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y"))))).alias("q"))
     return dense.groupBy("frame_idx").agg(F.count("*").alias("points"), _r(F.sum("q.x"), "sx"), _r(F.sum("q.y"), "sy"))
 
