@@ -141,13 +141,23 @@ def circle(x: Column, y: Column, radius, n: int = 29) -> Column:
 
 
 def interpolate(track: Column, t: Column, fields: tuple[str, ...]) -> Column:
-    """A track's point at time t: held at the ends, linear between the neighbours; null for an empty track."""
-    ordered = F.array_sort(track)
-    before = F.try_element_at(F.filter(ordered, lambda p: p.t <= t), F.lit(-1))
-    after = F.try_element_at(F.filter(ordered, lambda p: p.t >= t), F.lit(1))
-    share = F.coalesce(F.try_divide(t - before.t, after.t - before.t), F.lit(0.0))
-    pick = lambda f: F.when(before.isNull(), after[f]).when(after.isNull(), before[f]).otherwise(before[f] + share * (after[f] - before[f]))
-    return F.when(F.size(track) > 0, F.struct(*(pick(f).alias(f) for f in fields)))
+    """A track's point at time t: held at the ends, linear between the neighbours; null for an empty track.
+
+    It looks at the whole track; for many times of one track, see ``joins.interpolated``.
+    """
+
+    def near(ordered: Column) -> Column:
+        before = F.try_element_at(F.filter(ordered, lambda p: p.t <= t), F.lit(-1))
+        after = F.try_element_at(F.filter(ordered, lambda p: p.t >= t), F.lit(1))
+        return F.struct(before.alias("before"), after.alias("after"))
+
+    def point(two: Column) -> Column:
+        before, after = two.before, two.after
+        share = F.coalesce(F.try_divide(t - before.t, after.t - before.t), F.lit(0.0))
+        pick = lambda f: F.when(before.isNull(), after[f]).when(after.isNull(), before[f]).otherwise(before[f] + share * (after[f] - before[f]))
+        return F.struct(*(pick(f).alias(f) for f in fields))
+
+    return F.when(F.size(track) > 0, _once(_once(F.array_sort(track), near), point))
 
 
 def path_prefix(path: Column, t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import in_bounds, project
+from ..functions.kernels import in_bounds, interpolate, project
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, default: str | None = None) -> DataFrame:
@@ -39,6 +39,24 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, *va
     return out.select(*left.columns, *(F.col(f"_n.{v}").alias(v) for v in values))
 
 
+def interpolated(left: DataFrame, right: DataFrame, keys: list[str], t: str, *values: str) -> DataFrame:
+    """``left`` with the values at its times, linear between the neighbouring ``right`` rows, held at the ends, null without any.
+
+    The neighbours, at or before and at or after, come from two sorts of the
+    union, each read from its beginning, so a row costs the same in a long track.
+    """
+    mark = F.struct(F.col(t).alias("t"), *values)
+    kind = right.select(mark.alias("_v")).schema["_v"].dataType
+    both = left.withColumn("_v", F.lit(None).cast(kind)).withColumn("_s", F.lit(1)).unionByName(
+        right.where(F.col(t).isNotNull()).select(*keys, t, mark.alias("_v")).withColumn("_s", F.lit(0)), allowMissingColumns=True
+    )
+    w = Window.partitionBy(*keys)
+    latest = lambda *order: F.last("_v", True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_b", latest(t, "_s", "_v")).withColumn("_a", latest(F.desc(t), "_s", F.desc("_v"))).where("_s = 1")
+    found = both.withColumn("_n", interpolate(F.array_compact(F.array("_b", "_a")), F.col(t), values))
+    return found.select(*(c for c in left.columns if c not in values), *(F.col(f"_n.{v}").alias(v) for v in values))
+
+
 def overlapping_strongest(left: DataFrame, right: DataFrame, keys: list[str], score: str, *values: str) -> DataFrame:
     """``left`` (t0, t1) with the values of the strongest ``right`` interval (t_start, t_end) that overlaps it."""
     both = left.join(right, keys, "left").where("t_start is null or (t_start <= t1 and t_end >= t0)")

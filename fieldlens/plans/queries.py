@@ -140,10 +140,10 @@ select frame_idx, track_id, round(case when b is null then a[2] when a is null o
 def k_interp(spark, sf):
     """Places between samples at every fifth frame, of each player on each frame."""
     p = tables(spark, sf).positions
-    tracks = p.where("frame_idx % 5 = 0").groupBy("track_id").agg(F.collect_list(F.struct("t", "x", "y")).alias("track"))
-    at = (C("frame_idx") + 0.37) / 10
-    rows = p.join(tracks, "track_id").select("frame_idx", "track_id", k.interpolate(C("track"), at, ("x", "y")).alias("q"))
-    return rows.select("frame_idx", "track_id", _r(C("q.x"), "x"), _r(C("q.y"), "y"))
+    key = [*SEGMENT, "track_id"]
+    samples = p.where("frame_idx % 5 = 0").select(*key, "t", "x", "y")
+    times = p.select(*FRAME, "track_id", ((C("frame_idx") + 0.37) / 10).alias("t"))
+    return joins.interpolated(times, samples, key, "t", "x", "y").select("frame_idx", "track_id", _r(C("x"), "x"), _r(C("y"), "y"))
 
 
 @query("""with v as (select vec_id, embedding as e, first_value(embedding) over (order by vec_id) as f from embeddings)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldlens.functions import kernels as k
+from fieldlens.operators import joins
 
 
 def densified(points, step=1.5):
@@ -29,3 +30,24 @@ def test_densify_long_lines(spark):
     for r in found:
         assert (r.q is None) == (lines[r.i] is None)
         assert r.q is None or np.allclose(np.array(r.q).reshape(-1, 2), np.array(densified(lines[r.i])).reshape(-1, 2))
+
+
+def test_interpolated(spark):
+    rng = np.random.default_rng(6)
+    at = np.sort(rng.uniform(0, 1000, 20_000).round(3))
+    samples = [("a", float(t), float(np.sin(t)), float(t % 7)) for t in at] + [("b", 5.0, 1.0, 2.0), ("b", None, 9.0, 9.0)]
+    times = [("a", float(t), 0) for t in rng.uniform(-5, 1005, 20_000)] + [("a", float(at[7]), 1), ("b", 4.0, 2), ("b", 6.0, 3), ("c", 1.0, 4), ("a", None, 5)]
+    left, right = spark.createDataFrame(times, "who string, t double, n int"), spark.createDataFrame(samples, "who string, t double, x double, y double")
+    began = time.time()
+    found = joins.interpolated(left, right, ["who"], "t", "x", "y").collect()
+    assert time.time() - began < 20 and len(found) == len(times)
+    at, first = np.unique(at, return_index=True)
+    values = np.array([s[2:] for s in samples[:20_000]])[first]
+    for r in found:
+        if r.who == "a" and r.t is not None:
+            assert np.allclose([r.x, r.y], [np.interp(r.t, at, v) for v in values.T], atol=1e-6)
+    assert {r.n: (r.x, r.y) for r in found if r.n > 1} == {2: (1.0, 2.0), 3: (1.0, 2.0), 4: (None, None), 5: (None, None)}
+    # one track looked at as a whole gives the same
+    whole = right.groupBy("who").agg(F.collect_list(F.struct("t", "x", "y")).alias("track"))
+    few = left.where("n > 0").join(whole, "who", "left").select("n", k.interpolate(F.col("track"), F.col("t"), ("x", "y")).alias("q")).collect()
+    assert {r.n: (r.q.x, r.q.y) if r.q else (None, None) for r in few} == {r.n: (r.x, r.y) for r in found if r.n}
