@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kernels import circle, fade_alpha, interpolate, to_pixel
 from .folds import _gather
@@ -90,19 +91,24 @@ def offside_at(detections: DataFrame, times: DataFrame) -> DataFrame:
     x = F.coalesce(F.try_element_at(F.filter("samples", lambda s: s.t <= F.col("t")), F.lit(-1)).x, F.col("x"))
     near = lines.withColumn("line_x", x).withColumn("gap", F.abs(F.col("line_x") - F.col("ball_x"))).where(F.col("gap") <= OFFSIDE_BALL_M)
     per = near.groupBy(*keys, "t").agg(F.array_sort(F.collect_list(F.struct("gap", "team_defending", "line_x"))).alias("lines"))
-    rows = _gather(per, keys, ["t"], ["t", "lines"])
-
-    def step(a: Column, r: Column) -> Column:
-        best = F.element_at(r.lines, 1)
-        old = F.try_element_at(F.filter(r.lines, lambda p: p.team_defending == a.team), F.lit(1))
-        holds = F.coalesce((best.team_defending != a.team) & (r.t - a.since <= OFFSIDE_HOLD_S) & old.isNotNull(), F.lit(False))
-        chosen = F.when(holds, old).otherwise(best)
-        since = F.when(F.coalesce(chosen.team_defending == a.team, F.lit(False)), a.since).otherwise(r.t)
-        item = F.struct(r.t.alias("t"), chosen.team_defending.alias("team"), chosen.line_x.alias("x"))
-        return F.struct(chosen.team_defending.alias("team"), since.alias("since"), F.concat(a.out, F.array(item)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("string").alias("team"), F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<t:double,team:string,x:double>>").alias("out"))
-    return rows.select(*keys, F.explode(F.aggregate("_rows", start, step, lambda a: a.out)).alias("d")).select(*keys, "d.*")
+    rows = per.select(*keys, "t", F.transform("lines", lambda p: p.team_defending).alias("teams"), F.transform("lines", lambda p: p.line_x).alias("xs"))
+    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField("t", T.DoubleType()), T.StructField("team", T.StringType()), T.StructField("x", T.DoubleType())])
+    return rows.groupBy(*keys).applyInPandas(_held, schema)
+
+
+def _held(pdf):
+    """Of each time's lines, nearest first, the one to show.  Every row gives what the next one needs, so a segment is one group of Arrow batches."""
+    pdf = pdf.sort_values("t")
+    out, team, since = [], None, None
+    for t, teams, xs in zip(pdf["t"].tolist(), pdf["teams"], pdf["xs"], strict=True):
+        teams = list(teams)
+        held = team is not None and teams[0] is not None and teams[0] != team and t - since <= OFFSIDE_HOLD_S and team in teams
+        k = teams.index(team) if held else 0
+        if team is None or teams[k] != team:
+            team, since = teams[k], t
+        out.append((team, xs[k]))
+    pdf["team"], pdf["x"] = [o[0] for o in out], [o[1] for o in out]
+    return pdf.drop(columns=["teams", "xs"])
 
 
 def newest_generation(active: DataFrame, keys: list[str]) -> DataFrame:

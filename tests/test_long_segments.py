@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldlens.functions import kernels as k
-from fieldlens.operators import joins
+from fieldlens.operators import joins, present
 
 
 def densified(points, step=1.5):
@@ -51,3 +51,33 @@ def test_interpolated(spark):
     whole = right.groupBy("who").agg(F.collect_list(F.struct("t", "x", "y")).alias("track"))
     few = left.where("n > 0").join(whole, "who", "left").select("n", k.interpolate(F.col("track"), F.col("t"), ("x", "y")).alias("q")).collect()
     assert {r.n: (r.q.x, r.q.y) if r.q else (None, None) for r in few} == {r.n: (r.x, r.y) for r in found if r.n}
+
+
+def test_offside_over_a_long_segment(spark):
+    rng = np.random.default_rng(7)
+    n = 60_000
+    ball = 52 + 40 * np.sin(np.arange(n) / 9)
+    spans = [(who, s, s + float(rng.uniform(1, 4)), float(rng.uniform(10, 95))) for who in ("home", "away") for s in range(0, n // 10, 4)]
+    kind = "segment_id int, type string, team_defending string, x double, samples array<struct<t:double,x:double>>, t_start double, t_end double"
+    lines = spark.createDataFrame([(1, "offside_line", who, x, [], float(a), b) for who, a, b, x in spans], kind)
+    times = spark.createDataFrame([(1, i / 10, float(b)) for i, b in enumerate(ball)], "segment_id int, t double, ball_x double")
+    shown = present.offside_at(lines, times)
+    # a fold over an array of results would copy them all at every row
+    assert "lambdafunction(struct(team" not in shown._jdf.queryExecution().analyzed().toString()
+    found = sorted((r.t, r.team, r.x) for r in shown.collect())
+    by_second: dict = {}
+    for s in spans:
+        for sec in range(int(s[1]), int(s[2]) + 1):
+            by_second.setdefault(sec, []).append(s)
+    want, team, since = [], None, None
+    for i, b in enumerate(ball.tolist()):
+        t = i / 10
+        near = sorted((abs(x - b), who, x) for who, a, z, x in by_second.get(int(t), []) if a <= t <= z and abs(x - b) <= 30)
+        if not near:
+            continue
+        old = [p for p in near if p[1] == team]
+        chosen = old[0] if near[0][1] != team and old and t - since <= 2.0 else near[0]
+        if chosen[1] != team:
+            team, since = chosen[1], t
+        want.append((t, team, chosen[2]))
+    assert found == want and len({w[1] for w in want}) == 2
