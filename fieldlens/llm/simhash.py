@@ -16,7 +16,9 @@ full, one for each axis, whose cells hold at most sixteen points.  So a point ha
 a bounded number of partners, however many near copies there are.
 
 With ``similarity``, documents link if their sets of word shingles have at least
-that Jaccard similarity (see ``similar``).
+that Jaccard similarity.  Then a document has fingerprints of samples of its
+shingles; the same embedding and grid join find those that are near each other,
+and whole shingle sets verify (see ``similar``).
 """
 
 from __future__ import annotations
@@ -35,9 +37,8 @@ from .components import connected_components, salted_join
 SEGMENTS = 32
 #: The low bit of each two-bit segment.
 LOW = 0x5555555555555555
-#: Largest Hamming distance of a link, groups of axes, and points of a cell that are paired.
+#: Largest Hamming distance of a link, and points of a cell that are paired.
 RADIUS = 2
-GROUPS = RADIUS + 3
 CELL = 64
 #: Groups of axes of the finer grids; a pair within the radius differs in two groups at most.  Points of a cell that leaves two axes open.
 FINER, LAST = [10, SEGMENTS], 16
@@ -109,44 +110,52 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def cell_masks() -> list[int]:
-    """For each projection onto three groups of axes, the bits of the embedding that it keeps."""
-    groups = [0] * GROUPS
+def _bits(groups: int) -> list[int]:
+    """The bits of each of so many groups of axes."""
+    bits = [0] * groups
     for segment in range(SEGMENTS):
-        groups[segment * GROUPS // SEGMENTS] |= 3 << (2 * segment)
-    return [_signed(a | b | c) for a, b, c in combinations(groups, 3)]
+        bits[segment * groups // SEGMENTS] |= 3 << (2 * segment)
+    return bits
 
 
-def finer_masks(n: int) -> list[int]:
-    """For each two of ``n`` groups of axes, the bits of the fingerprint outside them."""
-    groups = [0] * n
-    for segment in range(SEGMENTS):
-        groups[segment * n // SEGMENTS] |= 3 << (2 * segment)
-    return [_signed(~(a | b) & (1 << 64) - 1) for a, b in combinations(groups, RADIUS)]
+def cell_masks(radius: int = RADIUS) -> list[int]:
+    """For each projection onto three of ``radius + 3`` groups of axes, the bits of the embedding that it keeps."""
+    return [_signed(a | b | c) for a, b, c in combinations(_bits(radius + 3), 3)]
+
+
+def finer_masks(n: int, radius: int = RADIUS) -> list[int]:
+    """For each ``radius`` of ``n`` groups of axes, the bits of the fingerprint outside them."""
+    return [_signed(~sum(left) & (1 << 64) - 1) for left in combinations(_bits(n), radius)]
 
 
-def _cell_pairs(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b of the cells of up to ``most`` points that pass both distances, cells that are fuller) of ``cells`` (fp, projection, cell)."""
+def _cell_pairs(cells: DataFrame, most: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b of the cells of up to ``most`` points that pass both distances, cells that are fuller) of ``cells`` (fp, projection, cell).
+
+    Most cells that aren't alone hold two points, which the count finds beside it; only fuller ones are gathered.
+    """
     key = ["projection", "cell"]
-    counted = stored(cells.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "simhash-cells")
-    small = cells.join(counted.where(F.col("n") <= most).select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("fp").alias("fps"))
-    pairs = small.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b")
+    counted = cells.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    counted = stored(counted.where("n > 1"), "simhash-cells")
+    pairs, few = counted.where("n = 2").select("a", "b"), counted.where((F.col("n") > 2) & (F.col("n") <= most)).select(*key)
+    if not few.isEmpty():
+        small = cells.join(few, key, "left_semi").groupBy(*key).agg(F.collect_list("fp").alias("fps"))
+        pairs = pairs.union(small.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b"))
     a, b = F.col("a"), F.col("b")
-    near = pairs.where(manhattan(embedding(a), embedding(b)) <= RADIUS).where(F.bit_count(a.bitwiseXOR(b)) <= RADIUS)
+    near = pairs.where(manhattan(embedding(a), embedding(b)) <= radius).where(F.bit_count(a.bitwiseXOR(b)) <= radius)
     return near, counted.where(F.col("n") > most).select(*key)
 
 
-def links(points: DataFrame) -> DataFrame:
-    """Edges (a, b) between all different fingerprints ``points`` (fp: long) that are at most two bits apart."""
+def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between all different fingerprints ``points`` (fp: long) that are at most ``radius`` (1 or 2) bits apart."""
     dealt = lambda df, of, masks: df.select("fp", F.posexplode(F.array(*(of.bitwiseAND(F.lit(m)) for m in masks))).alias("projection", "cell"))
-    cells = dealt(points, embedding(F.col("fp")), cell_masks())
-    found, full = _cell_pairs(cells, CELL)
+    cells = dealt(points, embedding(F.col("fp")), cell_masks(radius))
+    found, full = _cell_pairs(cells, CELL, radius)
     for n in FINER:
         if full.isEmpty():
             break
         dense = stored(cells.join(full, ["projection", "cell"], "left_semi").select("fp").distinct(), "simhash-dense")
-        cells = dealt(dense, F.col("fp"), finer_masks(n))
-        more, full = _cell_pairs(cells, CELL if n < SEGMENTS else LAST)
+        cells = dealt(dense, F.col("fp"), finer_masks(n, radius))
+        more, full = _cell_pairs(cells, CELL if n < SEGMENTS else LAST, radius)
         found = found.union(more)
     return found.distinct()
 

@@ -8,7 +8,12 @@ samples have equal fingerprints; two sets of Jaccard similarity s share a band's
 sample with a probability of about s ** SAMPLE, so at 0.8 one pair in 600 shares
 none of sixteen.
 
-Texts that share a band's fingerprint, a bucket, are compared by their whole
+The fingerprints are embedded as segment counts, and the grid join under
+Manhattan distance finds all that are within ``RADIUS``; those that link,
+transitively, are one class.  Other samples are some twelve bits apart, so a
+wider radius would add nothing but chance.
+
+Texts that share a band's class, a bucket, are compared by their whole
 shingle sets, 32 bits of each shingle's hash.  In every bucket each text first
 meets the bucket's first one, in a bucket of more than ``BUCKET`` texts
 ``CENTRES`` others too; what that links needs no further comparison.  Then, in
@@ -27,6 +32,8 @@ from ._common import stored
 from .components import connected_components
 
 BANDS, SAMPLE, BUCKET, CENTRES = 16, 5, 64, 4
+#: Bits that two fingerprints of a class may differ in.
+RADIUS = 1
 
 
 def shingle_set(hashes):
@@ -69,10 +76,21 @@ def jaccard(a, b):
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def classed(keys: DataFrame) -> DataFrame:
+    """``keys`` with each ``print`` replaced by the smallest one of its class: those that the grid join links, transitively."""
+    from .simhash import links
+
+    near = stored(links(keys.select(F.col("print").alias("fp")).distinct(), RADIUS), "similar-near-prints")
+    if near.isEmpty():
+        return keys
+    same = connected_components(near).withColumnRenamed("node", "print")
+    return keys.join(same, "print", "left").withColumn("print", F.coalesce("root", "print")).drop("root")
+
+
 def components(points: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the rows of ``points`` (row, shingles, samples) that link; root is the smallest row of a group."""
     size, text = F.size("shingles").alias("size"), F.struct("row", "size")
-    keys = points.select("row", size, F.posexplode("samples").alias("band", "print"))
+    keys = classed(points.select("row", size, F.posexplode("samples").alias("band", "print")))
     shared = keys.groupBy("band", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     prints = stored(keys.join(shared, ["band", "print"]).select("row", "size", "band", "print"), "similar-prints")
     sets = stored(points.select("row", "shingles").join(prints.select("row").distinct(), "row", "left_semi"), "similar-sets")

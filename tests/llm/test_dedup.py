@@ -213,6 +213,36 @@ def test_similar_against_all_pairs(spark, monkeypatch, bucket):
     assert len(pairs) > 500 and caught > (0.99 if bucket == 64 else 0.95)
 
 
+def test_similar_by_the_grid(spark):
+    """Samples whose fingerprints are one bit apart, none of them equal, meet by the embedding's grid; other ones don't."""
+    import fieldlens.llm.simhash as simhash
+    from fieldlens.llm import similar
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(0, 100, 2):
+        prints = [rng.getrandbits(64) for _ in range(similar.BANDS)]
+        for k, bits in ((0, 0), (1, 1 if i < 60 else 7)):
+            rows.append((i + k, list(range(i, i + 20)), [simhash._signed(p ^ bits << rng.randrange(60) * k) for p in prints]))
+    points = spark.createDataFrame(rows, "row long, shingles array<int>, samples array<long>").repartition(3)
+    found = groups_of(similar.components(points, 0.8))
+    assert found == [[i, i + 1] for i in range(0, 60, 2)]
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+@pytest.mark.parametrize("cell", [2, 64])
+def test_links_of_either_radius(spark, monkeypatch, radius, cell):
+    import fieldlens.llm.simhash as simhash
+
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(radius)
+    points = {0} | {1 << rng.randrange(64) for _ in range(30)} | {rng.getrandbits(64) for _ in range(50)}
+    points |= {x ^ 1 << rng.randrange(64) for x in list(points) for _ in range(3)}
+    points = sorted(map(simhash._signed, points))
+    found = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(x,) for x in points], "fp long"), radius).collect()}
+    assert found == {(a, b) for a in points for b in points if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+
+
 def test_similar_edges(spark):
     rows = [(None, None, 1), (3, "", 2), (3, "", 2), (5, "a b c d e f g", 3), (None, "A B C D E F G", 4), (6, "long " * 200_000, 5), (7, "long " * 200_001, 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _simhash int")
