@@ -735,7 +735,8 @@ def s_linspace_sample(spark, sf):
 @query()
 def schedule_events(spark, sf):
     """Events to show, of all detectors."""
-    found = pipeline.run_all(tables(spark, sf))
+    # the schedule's rows don't show geometry: a long edge's samples would be copied into each of its matchups, and gathered
+    found = pipeline.run_all(tables(spark, sf)).drop("geometry")
     return present.schedule_events(found).select("type", F.array_join("players", ",").alias("players"), _r(C("show_start"), "show_start"), _r(C("show_end"), "show_end"))
 
 

@@ -81,3 +81,11 @@ def test_offside_over_a_long_segment(spark):
             team, since = chosen[1], t
         want.append((t, team, chosen[2]))
     assert found == want and len({w[1] for w in want}) == 2
+
+
+def test_schedule_leaves_out_tracks(spark):
+    """Samples of edges, which grow with a segment for each of its matchups, are no part of what the schedule reads."""
+    from fieldlens.plans.queries import QUERIES
+
+    plan = QUERIES["schedule_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(sample" not in plan and "to_json" not in plan
