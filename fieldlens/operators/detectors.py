@@ -314,14 +314,14 @@ def _find_runs(speed_min: float, window_s: float, max_speed: float, level: float
     return find
 
 
-def runs(t: Tables, spells: DataFrame, speed_min: float = 4.0, window_s: float = 2.0, max_speed: float = 12.0, level: float = 0.5) -> DataFrame:
+def runs(t: Tables, spells: DataFrame, speed_min: float = 4.0, window_s: float = 2.0, max_speed: float = 12.0, level: float = 0.5, paths: bool = True) -> DataFrame:
     """Overlapping and underlapping runs of a teammate past the carrier.
 
     The smoothing starts anew in every window, so windows are searched path by
     path; merging them is an interval merge.
     """
-    paths = mate_paths(t, spells)
-    found = path_windows(paths, _find_runs(speed_min, window_s, max_speed, level))
+    of_mates = mate_paths(t, spells)
+    found = path_windows(of_mates, _find_runs(speed_min, window_s, max_speed, level))
     keys = [*SEGMENT, "spell", "carrier", "track_id"]
     merged = merge_intervals(found, keys, "i", "j").groupBy(*keys, "island").agg(
         F.max_by("kind", F.struct("speed", -F.col("i"))).alias("type"), F.max("speed").alias("speed"), F.min("i").alias("i"), F.max("j").alias("j"),
@@ -332,14 +332,18 @@ def runs(t: Tables, spells: DataFrame, speed_min: float = 4.0, window_s: float =
         F.filter("path", lambda p: p.i.between(F.col("i"), F.col("j")) & ((p.i - F.col("i")) % stride == 0)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))
     )
     conf = F.least(F.lit(1.0), F.col("speed") / (speed_min * 2))
-    return merged.join(paths.select(*keys, "path"), keys).select(
-        *SEGMENT, "type", F.array("track_id", "carrier").alias("players"), points.alias("path"), F.col("at").alias("carrier"), "speed", conf.alias("confidence"), "t_start", "t_end"
+    if paths:
+        merged = merged.join(of_mates.select(*keys, "path"), keys)
+    path = [points.alias("path")] if paths else []
+    return merged.select(
+        *SEGMENT, "type", F.array("track_id", "carrier").alias("players"), *path, F.col("at").alias("carrier"), "speed", conf.alias("confidence"), "t_start", "t_end"
     )
 
 
 # --------------------------------------------------------------------- pressing
 def presses(
-    t: Tables, edges: DataFrame, radius: float = 7.0, window_ms: int = 1000, engage: float = 6.0, min_closing: float = 1.0, merge_s: float = 0.5, least_s: float = 0.3, ball_max: float = 3.0
+    t: Tables, edges: DataFrame, radius: float = 7.0, window_ms: int = 1000, engage: float = 6.0, min_closing: float = 1.0, merge_s: float = 0.5, least_s: float = 0.3, ball_max: float = 3.0,
+    tracks: bool = True,
 ) -> DataFrame:
     """Pressing of the carrier by two or more defenders at once."""
     press = edges.where("kind = 'press'")
@@ -373,9 +377,10 @@ def presses(
         F.array_distinct(F.flatten(F.collect_list("edge_ids"))).alias("edge_ids"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
     )
     conf = clip(F.col("intensity") / 7.0, 0.0, 1.0) * clip(1.0 - (F.col("near") - 1.0) / radius, 0.25, 1.0)
-    out = tracks_of(out.where(F.col("t_end") - F.col("t_start") >= least_s), edges, [*SEGMENT, "episode"])
+    out = out.where(F.col("t_end") - F.col("t_start") >= least_s)
+    out = tracks_of(out, edges, [*SEGMENT, "episode"]) if tracks else out.drop("edge_ids")
     return out.select(
         *SEGMENT, F.lit("press").alias("type"), F.concat(F.array("carrier"), F.transform("who", lambda p: p.a)).alias("players"), F.col("at").alias("carrier"),
-        F.transform("who", lambda p: F.struct(p.px.alias("x"), p.py.alias("y"))).alias("pressers"), "intensity", press_level(F.col("intensity"), F.col("near")).alias("level"), "track",
+        F.transform("who", lambda p: F.struct(p.px.alias("x"), p.py.alias("y"))).alias("pressers"), "intensity", press_level(F.col("intensity"), F.col("near")).alias("level"), *(["track"] if tracks else []),
         conf.alias("confidence"), "t_start", "t_end",
     )

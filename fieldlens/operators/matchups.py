@@ -147,9 +147,9 @@ def _segment(key, pdf):
     return pd.DataFrame(out, columns=names, dtype=object)
 
 
-def matchups(t: Tables, edges: DataFrame, spells: DataFrame) -> DataFrame:
+def matchups(t: Tables, edges: DataFrame, spells: DataFrame, tracks: bool = True) -> DataFrame:
     """Matchups of up to three a side, at most one apart in number, that last, are tight and are near the ball."""
     frames = t.frames.select(*FRAME, "t", "ball_x", "ball_y").join(alive(spells, F.col("team").alias("attacker")), FRAME, "left")
     rows = frames.join(alive_links(t, edges), FRAME, "left").select(*FRAME, "t", "attacker", "ball_x", "ball_y", *LINK)
     found = rows.groupBy(*SEGMENT).applyInPandas(_segment, MATCHUPS)
-    return tracks_of(found, edges, [*SEGMENT, "players", "t_start", "t_end"])
+    return tracks_of(found, edges, [*SEGMENT, "players", "t_start", "t_end"]) if tracks else found.drop("edge_ids")

@@ -30,16 +30,30 @@ def sampled(df: DataFrame, t: Tables, keys: list[str], track: str, first: str, l
     return df.join(path, keys, "left")
 
 
-def separation(samples: Column, t: Column) -> Column:
-    """Distance of an edge's ends at the sample nearest to ``t``, the earlier of two."""
-    return F.array_min(F.transform(samples, lambda s: F.struct(F.abs(s.t - t).alias("gap"), s.t.alias("t"), dist(s.xa, s.ya, s.xb, s.yb).alias("d")))).d
+def separations(df: DataFrame, edges: DataFrame, **times: Column) -> DataFrame:
+    """``df`` (edge, may be null) with the distance of its edge's ends at the sample nearest to each of ``times``, the earlier of two; equal rows become one.
+
+    The neighbours come from two sorts of times and samples together, so that a
+    long edge's samples aren't copied into, and searched for, every row.
+    """
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), at.alias("t")) for name, at in times.items()))
+    asked = df.select(*SEGMENT, "edge", F.struct(*df.columns).alias("_row"), F.explode(asked).alias("_q")).select(*SEGMENT, "edge", "_row", "_q.name", "_q.t", F.lit(1).alias("_s"))
+    samples = edges.select(*SEGMENT, "edge", F.explode("samples").alias("s"))
+    mark = F.struct("s.t", dist(F.col("s.xa"), F.col("s.ya"), F.col("s.xb"), F.col("s.yb")).alias("d"))
+    both = asked.unionByName(samples.select(*SEGMENT, "edge", "s.t", F.lit(0).alias("_s"), mark.alias("_v")), allowMissingColumns=True)
+    w = Window.partitionBy(*SEGMENT, "edge")
+    latest = lambda *order: F.last("_v", True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_b", latest("t", "_s")).withColumn("_a", latest(F.desc("t"), "_s")).where("_s = 1")
+    gap = lambda v: F.when(v.isNotNull(), F.struct(F.abs(v.t - F.col("t")).alias("gap"), v.t.alias("t"), v.d.alias("d")))
+    near = F.least(gap(F.col("_b")), gap(F.col("_a"))).d
+    return both.groupBy("_row").agg(*(F.max(F.when(F.col("name") == name, near)).alias(name) for name in times)).select("_row.*", *times)
 
 
 def _sign(df: DataFrame, team: str, prefix: str) -> Column:
     return F.coalesce(F.when(F.col(team) == "home", F.col(f"{prefix}_att_home")).otherwise(F.col(f"{prefix}_att_away")), F.lit(1))
 
 
-def give_and_go(t: Tables, spells: DataFrame) -> DataFrame:
+def give_and_go(t: Tables, spells: DataFrame, paths: bool = True) -> DataFrame:
     """A, B, A again, the same team, A well forward between."""
     s = spell_pairs(spells, 3).where("team1 = team2 and team2 = team3 and track_id1 <> track_id2 and track_id1 = track_id3")
     s = s.where("t_start2 - t_end1 <= 2.5 and t_start3 - t_start2 <= 4.0")
@@ -48,9 +62,10 @@ def give_and_go(t: Tables, spells: DataFrame) -> DataFrame:
     span = F.col("t_start3") - F.col("t_end1")
     s = s.where(F.col("forward") >= 6.0).where((span > 0) & (dist(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")) <= span * MAX_SPEED))
     s = at_frame(s, t, "i_start2", "track_id2", "w")
-    s = sampled(s, t, [*SEGMENT, "spell"], "track_id1", "i_end1", "i_start3", "a_path")
+    if paths:
+        s = sampled(s, t, [*SEGMENT, "spell"], "track_id1", "i_end1", "i_start3", "a_path")
     return s.select(
-        *SEGMENT, F.lit("give_and_go").alias("type"), F.array("track_id1", "track_id2").alias("players"), "a_path", POINT("w_x", "w_y").alias("wall"),
+        *SEGMENT, F.lit("give_and_go").alias("type"), F.array("track_id1", "track_id2").alias("players"), *(["a_path"] if paths else []), POINT("w_x", "w_y").alias("wall"),
         F.least(F.lit(0.9), 0.55 + F.col("forward") / 40.0).alias("confidence"), F.col("t_end1").alias("t_start"), F.col("t_start3").alias("t_end"),
     )
 
@@ -74,20 +89,21 @@ def _find_overlaps(path, sign, dt, first):
             yield int(path["i"][k]), int(path["i"][z]), "overlap_run", float(speeds.mean())
 
 
-def overlap_runs(t: Tables, spells: DataFrame, edges: DataFrame) -> DataFrame:
+def overlap_runs(t: Tables, spells: DataFrame, edges: DataFrame, paths: bool = True) -> DataFrame:
     """A teammate sprints past the carrier on the outside and leaves the marker behind; the first such window of a spell and runner."""
     w = path_windows(mate_paths(t, spells, _speeds(t)), _find_overlaps).withColumn("at", F.struct(F.col("at_x").alias("x"), F.col("at_y").alias("y")))
-    marks = edges.where("kind = 'marking'").select(*SEGMENT, F.col("b").alias("track_id"), F.col("t_start").alias("from"), F.col("t_end").alias("to"), "strength", "samples")
+    marks = edges.where("kind = 'marking'").select(*SEGMENT, F.col("b").alias("track_id"), F.col("t_start").alias("from"), F.col("t_end").alias("to"), "strength", "edge")
     same = [w[c] == marks[c] for c in (*SEGMENT, "track_id")]
-    over = w.join(marks.alias("m"), [*same, marks["from"] <= w.t1, marks["to"] >= w.t0], "left").select(w["*"], "from", "strength", "samples")
+    over = w.join(marks.alias("m"), [*same, marks["from"] <= w.t1, marks["to"] >= w.t0], "left").select(w["*"], "from", "strength", "edge")
     keys = [*SEGMENT, "spell", "carrier", "track_id", "i", "j", "t0", "t1", "at"]
-    best = over.groupBy(*keys).agg(F.max_by("samples", F.struct("strength", -F.col("from"))).alias("samples"))
-    best = best.withColumn("growth", separation(F.col("samples"), F.col("t1")) - separation(F.col("samples"), F.col("t0"))).where("growth is null or growth > 2.0")
+    best = over.groupBy(*keys).agg(F.max_by("edge", F.struct("strength", -F.col("from"))).alias("edge"))
+    best = separations(best, edges, d1=F.col("t1"), d0=F.col("t0")).withColumn("growth", F.col("d1") - F.col("d0")).where("growth is null or growth > 2.0")
     first = best.withColumn("r", F.row_number().over(Window.partitionBy(*SEGMENT, "spell", "track_id").orderBy("i"))).where("r = 1")
-    first = _with_path(first, t)
+    if paths:
+        first = _with_path(first, t)
     conf = F.when(F.col("growth").isNull(), 0.5).otherwise(F.least(F.lit(0.85), 0.55 + F.col("growth") / 10.0))
     return first.select(
-        *SEGMENT, F.lit("overlap_run").alias("type"), F.array("track_id", "carrier").alias("players"), "run_path", F.col("at").alias("carrier"), conf.alias("confidence"),
+        *SEGMENT, F.lit("overlap_run").alias("type"), F.array("track_id", "carrier").alias("players"), *(["run_path"] if paths else []), F.col("at").alias("carrier"), conf.alias("confidence"),
         F.col("t0").alias("t_start"), F.col("t1").alias("t_end"),
     )
 
@@ -113,11 +129,11 @@ def third_man_runs(t: Tables, spells: DataFrame, edges: DataFrame) -> DataFrame:
     fast = per.agg(F.count("*").alias("n"), F.max("v").alias("top"), F.count_if(F.col("sign") * F.col("vx") > 4.0).alias("fast"))
     fast = fast.where((F.col("n") >= 2) & (F.col("top") <= MAX_SPEED) & (F.col("fast") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2))))
     c = fast.select(*keys, "track_id").join(s.select(*keys, "track_id1", "track_id2", "i0", "i1", F.col("f_t").alias("t0"), F.col("g_t").alias("t1")), keys)
-    marks = edges.where("kind = 'marking'").select(*SEGMENT, F.col("b").alias("track_id"), F.col("t_start").alias("from"), F.col("t_end").alias("to"), "samples")
+    marks = edges.where("kind = 'marking'").select(*SEGMENT, F.col("b").alias("track_id"), F.col("t_start").alias("from"), F.col("t_end").alias("to"), "edge")
     over = c.join(marks, [*SEGMENT, "track_id"]).where("from <= t1 and to >= t0 - 1.0")
-    growth = separation(F.col("samples"), F.least("t1", "to")) - separation(F.col("samples"), F.col("t0"))
+    over = separations(over, edges, d1=F.least("t1", "to"), d0=F.col("t0"))
     group = [*keys, "track_id", "track_id1", "track_id2", "i0", "i1", "t0", "t1"]
-    best = over.groupBy(*group).agg(F.max(growth).alias("growth"), F.max(F.col("to") <= F.col("t1")).alias("ended"))
+    best = over.groupBy(*group).agg(F.max(F.col("d1") - F.col("d0")).alias("growth"), F.max(F.col("to") <= F.col("t1")).alias("ended"))
     best = best.where("(ended and growth > 1.5) or growth > 3.0")
     best = _with_path(best.withColumn("i", F.col("i0")).withColumn("j", F.col("i1")), t).where(F.size("run_path") >= 2)
     place = t.positions.select(*SEGMENT, "frame_idx", F.col("track_id").alias("who"), POINT("x", "y").alias("at"))
@@ -129,7 +145,7 @@ def third_man_runs(t: Tables, spells: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def pressing_traps(t: Tables, spells: DataFrame, edges: DataFrame) -> DataFrame:
+def pressing_traps(t: Tables, spells: DataFrame, edges: DataFrame, paths: bool = True) -> DataFrame:
     """Three or more press edges born together on a carrier whose near teammates are all marked; the first of a spell."""
     press = edges.where("kind = 'press'").select(*SEGMENT, F.col("b").alias("carrier"), "a", F.col("t_start").alias("born"))
     born = press.select(*SEGMENT, "carrier", F.col("born").alias("t_trap")).distinct()
@@ -152,9 +168,10 @@ def pressing_traps(t: Tables, spells: DataFrame, edges: DataFrame) -> DataFrame:
     free = close.join(marks, [*held, marks["from"] <= close.t_now, marks["to"] >= close.t_now], "left_anti")
     trapped = at.join(free.select(*SEGMENT, "carrier", "t_trap").distinct(), [*SEGMENT, "carrier", "t_trap"], "left_anti")
     first = trapped.withColumn("r", F.row_number().over(Window.partitionBy(*SEGMENT, "spell").orderBy("t_trap"))).where("r = 1")
-    first = sampled(first.withColumn("who", F.col("carrier")), t, [*SEGMENT, "spell"], "who", "i_trap", "i_end", "carrier_path")
+    if paths:
+        first = sampled(first.withColumn("who", F.col("carrier")), t, [*SEGMENT, "spell"], "who", "i_trap", "i_end", "carrier_path")
     return first.select(
-        *SEGMENT, F.lit("pressing_trap").alias("type"), F.concat(F.array("carrier"), "pressers").alias("players"), "carrier_path", "pressers",
+        *SEGMENT, F.lit("pressing_trap").alias("type"), F.concat(F.array("carrier"), "pressers").alias("players"), *(["carrier_path"] if paths else []), "pressers",
         F.least(F.lit(0.8), 0.5 + 0.1 * (F.col("n") - 3)).alias("confidence"), F.col("t_trap").alias("t_start"), "t_end",
     )
 

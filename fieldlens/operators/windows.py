@@ -74,9 +74,9 @@ def offside_smooth(t: Tables, window_s: float = 0.5) -> DataFrame:
     raw = grid.join(second_rearmost(t).select(*FRAME, "team", "x"), [*FRAME, "team"], "left").join(frame_step(t.frames), SEGMENT)
     # the number of frames depends on the segment's rate, so the average is a difference of running sums
     w = by_segment("team").orderBy("frame_idx")
-    run = raw.withColumn("n", F.greatest(F.round(F.lit(window_s * 1000) / F.col("dt_ms")).cast("int"), F.lit(1))).withColumn("i", F.row_number().over(w))
-    run = run.withColumn("last", F.collect_list(F.struct("i", "x")).over(w.rowsBetween(-63, 0)))
-    recent = F.filter("last", lambda p: (p.i > F.col("i") - F.col("n")) & p.x.isNotNull())
+    run = raw.withColumn("n", F.greatest(F.round(F.lit(window_s * 1000) / F.col("dt_ms")).cast("int"), F.lit(1)))
+    run = run.withColumn("last", F.collect_list(F.struct("x")).over(w.rowsBetween(-63, 0)))
+    recent = F.filter(F.slice("last", F.greatest(F.size("last") - F.col("n") + 1, F.lit(1)), F.col("n")), lambda p: p.x.isNotNull())
     mean = F.try_divide(F.aggregate(recent, F.lit(0.0), lambda s, p: s + p.x), F.size(recent))
     return run.select(*FRAME, "t", "t_ms", "team", F.col("x").alias("raw_x"), mean.alias("x"))
 

@@ -25,8 +25,15 @@ class Scene:
     whole lineage, which would be planned again for each of their uses.
     """
 
-    def __init__(self, t: Tables):
-        self.tables = Tables(stored(t.frames, "frames"), stored(t.positions, "positions"))
+    def __init__(self, t: Tables, geometry: bool = True):
+        # positions are dealt into as many files as there are tasks to read them, which a table numbered in one task isn't
+        spark = t.positions.sparkSession
+        files = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        with ThreadPoolExecutor(2) as pool:
+            parts = pool.submit(stored, t.frames, "frames"), pool.submit(stored, t.positions.repartition(files, *FRAME), "positions")
+            self.tables = Tables(*(p.result() for p in parts))
+        #: Whether detectors look for what geometry alone needs: tracks of edges and paths of players.
+        self.geometry = geometry
 
     @cached_property
     def spells(self) -> DataFrame:
@@ -57,8 +64,10 @@ class Scene:
                 done.result()
 
 
-def as_detections(df: DataFrame) -> DataFrame:
-    """Typed rows of a detector in the common form; its further columns become the geometry, as JSON."""
+def as_detections(df: DataFrame, geometry: bool = True) -> DataFrame:
+    """Typed rows of a detector in the common form; its further columns become the geometry, as JSON, or are left out."""
+    if not geometry:
+        return df.select(*(c for c in COMMON if c != "geometry"))
     if "geometry" in df.columns:
         return df.select(*COMMON)
     own = [c for c in df.columns if c not in COMMON and c not in ("anchor", "team", "n")]
@@ -86,10 +95,10 @@ DETECTORS: dict[str, Detector] = {
     "offside_line": lambda s: detectors.offside_lines(s.tables),
     "triangle": lambda s: detectors.triangles(s.tables, s.carriers),
     "back_pass": lambda s: detectors.back_passes(s.tables, s.spells),
-    "matchup": lambda s: matchups.matchups(s.tables, s.edges, s.spells),
+    "matchup": lambda s: matchups.matchups(s.tables, s.edges, s.spells, tracks=s.geometry),
     "isolation": lambda s: detectors.isolations(s.tables, s.carriers),
-    "press": lambda s: detectors.presses(s.tables, s.edges),
-    "run": lambda s: detectors.runs(s.tables, s.spells),
+    "press": lambda s: detectors.presses(s.tables, s.edges, tracks=s.geometry),
+    "run": lambda s: detectors.runs(s.tables, s.spells, paths=s.geometry),
     "play": lambda s: detect_plays(s),
     "rotation": lambda s: roles.rotation_detections(s.rotations),
     "edge": lambda s: edges.edge_detections(s.edges),
@@ -106,22 +115,27 @@ CHEAP = ["formation", "block", "offside_line", "back_pass", "isolation"]
 def detect_plays(s: Scene, with_rotations: bool = False) -> DataFrame:
     """Plays, rate limited by type and players; rotations too, if asked for, under the same limit."""
     parts = [
-        plays.give_and_go(s.tables, s.spells), plays.overlap_runs(s.tables, s.spells, s.edges),
-        plays.third_man_runs(s.tables, s.spells, s.edges), plays.pressing_traps(s.tables, s.spells, s.edges),
+        plays.give_and_go(s.tables, s.spells, paths=s.geometry), plays.overlap_runs(s.tables, s.spells, s.edges, paths=s.geometry),
+        plays.third_man_runs(s.tables, s.spells, s.edges), plays.pressing_traps(s.tables, s.spells, s.edges, paths=s.geometry),
     ]
-    parts = [as_detections(p) for p in parts] + ([roles.rotation_detections(s.rotations)] if with_rotations else [])
+    parts = [as_detections(p, s.geometry) for p in parts + ([roles.rotation_detections(s.rotations)] if with_rotations else [])]
     return plays.rate_limited(reduce(DataFrame.union, parts))
 
 
-def run_all(t: Tables, detectors: list[Detector] | list[str] | None = None) -> DataFrame:
+def run_all(t: Tables, detectors: list[Detector] | list[str] | None = None, geometry: bool = True) -> DataFrame:
     """Detections of every segment, with ``det_ord``, the detector's place.
 
     ``detectors`` are names of the above, or functions of a Scene that give
     detections or typed rows.  Sort by t_start, then det_ord, for one timeline.
+    Without ``geometry`` the same detections come without that column, and what
+    it alone needs isn't joined: a long edge's samples in each of its matchups
+    grow with the square of a segment.
     """
-    scene = Scene(t)
+    scene = Scene(t, geometry)
     used = set().union(*(USES.get(d, set()) for d in (detectors or DETECTORS) if isinstance(d, str)))
     scene.prepare(used | ({"carriers"} if "edges" in used else set()) | ({"spells"} if used & {"carriers", "edges"} else set()))
-    chosen = [DETECTORS[d] if isinstance(d, str) else d for d in (detectors or DETECTORS)]
-    parts = [as_detections(d(scene)).withColumn("det_ord", F.lit(i)) for i, d in enumerate(chosen)]
+    plan = lambda d, i: as_detections(d(scene), geometry).withColumn("det_ord", F.lit(i))
+    with ThreadPoolExecutor(8) as pool:  # plans of many steps take seconds each; functions may want more of the scene, and take their turns
+        named = {i: pool.submit(plan, DETECTORS[d], i) for i, d in enumerate(detectors or DETECTORS) if isinstance(d, str)}
+        parts = [named[i].result() if i in named else plan(d, i) for i, d in enumerate(detectors or DETECTORS)]
     return reduce(DataFrame.union, parts)

@@ -89,3 +89,38 @@ def test_schedule_leaves_out_tracks(spark):
 
     plan = QUERIES["schedule_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set(sample" not in plan and "to_json" not in plan
+
+
+def test_separations_against_plain_search(spark):
+    """The ends of a long edge, at the nearest sample of each time, without its samples in each row."""
+    from fieldlens.operators.plays import separations
+
+    samples = [(k * 0.25, float(k), 0.0, float(k % 7), 0.0) for k in range(2000)]
+    edges = spark.createDataFrame([("m1", 0, 1, samples), ("m1", 0, 2, samples[:1])], "match_id string, segment_id int, edge int, samples array<struct<t:double,xa:double,ya:double,xb:double,yb:double>>")
+    asked = [("m1", 0, e, i, i * 0.3125 - 5, i * 0.125) for i in range(1700) for e in ((1, 2, None) if i < 9 else (1,))]
+    df = spark.createDataFrame(asked, "match_id string, segment_id int, edge int, i int, t0 double, t1 double")
+    out = separations(df, edges, d0=F.col("t0"), d1=F.col("t1"))
+    found = {(r.i, r.edge): (r.d0, r.d1) for r in out.collect()}
+
+    def nearest(edge, t):
+        own = {1: samples, 2: samples[:1], None: []}[edge]
+        return min(((abs(s[0] - t), s[0], abs(s[1] - s[3])) for s in own), default=(None,))[-1]
+
+    assert found == {(i, e): (nearest(e, t0), nearest(e, t1)) for _, _, e, i, t0, t1 in asked}
+
+
+def test_detections_without_geometry(spark):
+    """The same detections, and neither tracks of edges nor paths in what is read for them."""
+    from fieldlens.plans.pipeline import COMMON, run_all
+    from fieldlens.sources.adapter import tables
+
+    t = tables(spark, "/root/testdata/sf0.01", True)
+    names = ["matchup", "press", "run", "play", "edge", "back_pass"]
+    bare = [c for c in COMMON if c != "geometry"] + ["det_ord"]
+    plain = run_all(t, names, geometry=False)
+    assert plain.columns == bare
+    rows = lambda df: sorted(map(repr, df.select(bare).collect()))
+    found = rows(plain)
+    assert found == rows(run_all(t, names)) and len({r.type for r in plain.select("type").distinct().collect()}) > 4
+    plan = run_all(t, ["matchup", "press"], geometry=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(samples" not in plan and "edge_ids" in plan
