@@ -23,14 +23,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
-from itertools import count, repeat
+from itertools import repeat
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, lean, small_batches, stored
+from ._common import lean, small_batches, stored
 
 #: A word with at least 1 / HOT_WORDS of all tokens is hot; there are no more such words than that.
 HOT_WORDS = 65_536
@@ -40,52 +39,74 @@ HOT_LENGTH = 64
 BLOCK_TOKENS = 1_200_000
 #: Tokens for each segment of the counts, about, and bytes of a token, by which the number of segments is set.
 SEGMENT_TOKENS, TOKEN_BYTES = 2_000_000, 6
+#: Keys that are probed at once: their hashes stay in a core's cache.
+AT_ONCE = 1 << 15
 #: Base of the levels, bits set for each (n-gram, level), and weight of the words' probabilities.
 BASE, PROBES, WEIGHT = 1.5, 5, 4.0
 
 
-def vocabulary_() -> defaultdict:
-    """Numbers words as they come."""
-    return defaultdict(count().__next__)
-
-
 def crc(doc_id) -> int:
     """CRC-32 of the id as text; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
 def _blocks(batches, held_out_mod: int, held_out_rest: int, block_tokens: int):
-    """(vocabulary, ids, ends, held out, document ids, first row) of bounded blocks of documents; ``ends`` are the ends in ``ids``."""
+    """(vocabulary, ids, ends, held out, document ids, first row) of bounded blocks of documents; ``ends`` are the ends in ``ids``.
+
+    Arrow cuts the words and numbers them as they come; the vocabulary lists them in that order.
+    """
     import numpy as np
+    import pyarrow as pa
 
     task = TaskContext.get()
     row = (task.partitionId() if task else 0) << 40
-
-    def fresh():
-        return vocabulary_(), [], [], []
-
-    vocabulary, ids, held, doc_ids = fresh()
-    n = 0
+    words, sizes, doc_ids, n = [], [], [], 0
 
     def block():
-        ends = np.cumsum([len(x) for x in ids]) if ids else np.zeros(0, np.int64)
-        return vocabulary, np.concatenate(ids) if ids else np.zeros(0, np.int64), ends, np.array(held, bool), doc_ids, row
+        coded = pa.chunked_array(words, pa.large_string()).dictionary_encode()
+        vocabulary = coded.chunk(0).dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist() if coded.num_chunks else []
+        ids = np.concatenate([np.zeros(0, np.int64), *(c.indices.to_numpy() for c in coded.chunks)])
+        held = np.array([crc(doc_id) % held_out_mod == held_out_rest for doc_id in doc_ids], bool)
+        return vocabulary, ids, np.cumsum(np.concatenate(sizes)), held, doc_ids, row
 
     for b in batches:
-        for text, doc_id in zip(binary_list(b.column(0)), b.column(1).to_pylist(), strict=True):
-            words = text.lower().split()
-            ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
-            held.append(crc(doc_id) % held_out_mod == held_out_rest)
-            doc_ids.append(doc_id)
-            n += len(words) + 1
+        cut, ends = _words(b.column(0))
+        of_batch, first = b.column(1).to_pylist(), 0
+        while first < len(of_batch):
+            # up to the document that fills the block
+            start = ends[first - 1] if first else 0
+            took = ends[first:] - start + np.arange(1, len(ends) - first + 1)
+            stop = min(first + int(np.searchsorted(took, block_tokens - n)) + 1, len(ends))
+            words.append(cut.slice(start, ends[stop - 1] - start))
+            sizes.append(np.diff(ends[first:stop], prepend=start))
+            doc_ids += of_batch[first:stop]
+            n += int(took[stop - first - 1])
+            first = stop
             if n >= block_tokens:
                 yield block()
                 row += len(doc_ids)
-                (vocabulary, ids, held, doc_ids), n = fresh(), 0
+                words, sizes, doc_ids, n = [], [], [], 0
     if doc_ids:
         yield block()
 
 
+def _words(texts):
+    """The lower-case words of an Arrow column of texts, one after another, and each text's end among them; a null text has none."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        texts = texts.view(pa.string() if pa.types.is_binary(texts.type) else pa.large_string())
+    # a copy of its own begins at byte 0, which ascii_lower takes for granted
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = cut.flatten(), cut.offsets.to_numpy()[1:]
+    some = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends give empty words
+    upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), upto[ends - cut.offsets[0].as_py()].astype(np.int64)
+
+
 def _doc_of(ends, n):
     import numpy as np
 
@@ -155,31 +176,45 @@ class BloomFilter:
         self.offsets, self.sizes = np.asarray(offsets, np.uint64), np.asarray(sizes, np.uint64)
         self.buffer = np.frombuffer(buffer, np.uint8)
 
-    def levels(self, keys):
-        """The level of each key, 0 if it is absent."""
+    def levels(self, keys, most=None):
+        """The level of each key, 0 if it is absent; with ``most``, the lesser of that and the key's level there, above which isn't probed."""
         import numpy as np
 
-        seg, key40 = split_key(keys, self.segment_bits)
         found = np.zeros(len(keys), np.int64)
+        for i in range(0, len(keys), AT_ONCE):
+            part = slice(i, i + AT_ONCE)
+            self._probe(keys[part], None if most is None else most[part], found[part])
+        return found
+
+    def _probe(self, keys, most, found) -> None:
+        import numpy as np
+
+        seg, key40 = split_key(keys, self.segment_bits)
         alive = np.flatnonzero(self.sizes[seg])
+        if most is not None:
+            alive = alive[most[alive] > 0]
         seg, (h1, h2) = seg[alive], probe_hashes(key40[alive])
         for level in range(1, self.top + 1):
+            if most is not None and level > 1:
+                more = np.flatnonzero(most[alive] >= level)
+                if len(more) < len(alive):
+                    alive, seg, h1, h2 = alive.take(more), seg.take(more), h1.take(more), h2.take(more)
             for probe in range(PROBES):
                 p = bit_position(h1, h2, level, probe, self.sizes[seg])
                 bits = self.buffer[self.offsets[seg] + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8)
-                set_ = (bits & 1).view(bool)
-                alive, seg, h1, h2 = alive[set_], seg[set_], h1[set_], h2[set_]
+                set_ = np.flatnonzero(bits & 1)
+                if len(set_) < len(alive):
+                    alive, seg, h1, h2 = alive.take(set_), seg.take(set_), h1.take(set_), h2.take(set_)
             if not len(alive):
                 break
             found[alive] = level
-        return found
 
-    def counts(self, keys):
-        """The counts that the levels stand for."""
+    def counts(self, levels):
+        """The counts that levels stand for."""
         import numpy as np
 
         means = np.array([0.0, *(level_mean(q) for q in range(1, self.top + 1))])
-        return means[self.levels(keys)]
+        return means[levels]
 
 
 def probe_hashes(key40):
@@ -261,8 +296,7 @@ def _counts(mod: int, rest: int, segment_bits: int, block: int):
             seg, _ = split_key(h, segment_bits)
             some = np.flatnonzero(counts)
             some = some[np.argsort(seg[some], kind="stable")]
-            every = list(vocabulary)
-            words, counts = [every[i] for i in some], counts[some].astype("<u4")
+            words, counts = [vocabulary[i] for i in some], counts[some].astype("<u4")
             sizes = np.fromiter(map(len, words), "<u4", len(words))
             bounds = np.searchsorted(seg[some], parts)
             rows += [(s, b"".join(words[i:j]), counts[i:j].tobytes(), sizes[i:j].tobytes()) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
@@ -439,13 +473,16 @@ def _by_broadcast(model: BloomFilter, vocabulary, ids, ends, total: int, distinc
 
     h = _word_hashes(vocabulary)
     before, word, stops = _with_ends(h[ids], ends)
-    single = np.empty(len(word))
+    single = np.empty(len(word), np.int64)
     end_at = stops - 1
     mask = np.ones(len(word), bool)
     mask[end_at] = False
-    single[mask] = model.counts(_unigram_keys(h))[ids]
-    single[end_at] = model.counts(_unigram_keys(np.array([END], np.uint64)))[0]
-    return _text_scores(single, model.counts(_bigram_keys(before, word)), stops, total, distinct)
+    single[mask] = model.levels(_unigram_keys(h))[ids]
+    end = model.levels(_unigram_keys(np.array([END], np.uint64)))[0]
+    single[end_at] = end
+    # a pair's count is taken as no higher than those of its words
+    pair = model.levels(_bigram_keys(before, word), np.minimum(single, np.r_[end, single[:-1]]) if len(single) else single)
+    return _text_scores(model.counts(single), model.counts(pair), stops, total, distinct)
 
 
 SCORED = "word binary, rows array<long>, tfs array<int>, doc_id long, held int, n_tokens long, hot_known long, hot_base double, score double"
@@ -491,7 +528,7 @@ def _score(mod: int, rest: int, hot, bloom, total: int, distinct: int, block: in
             pairs, times = np.unique(ids[some] * n + docs[some], return_counts=True)
             word, doc = pairs // n, pairs % n
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-            told = pa.array(vocabulary.keys(), pa.binary()).take(pa.array(word[first], pa.int64()))
+            told = pa.array(vocabulary, pa.binary()).take(pa.array(word[first], pa.int64()))
             offsets = pa.array(np.r_[first, len(word)], pa.int32())
             columns = [told, *(pa.ListArray.from_arrays(offsets, pa.array(v, kind.value_type)) for v, kind in zip((row + doc, times), lists))]
             full = pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(first), kind) for kind in own)], names=names)

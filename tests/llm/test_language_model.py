@@ -123,3 +123,42 @@ def test_filter_never_reads_too_low(spark):
     assert (found >= true).all() and (found > true).mean() < 0.06
     other = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
     assert (bloom.levels(other) > 0).mean() < 0.06
+
+
+def test_words_by_arrow():
+    """Words and ends as by plain splitting, of nulls, blank ends and columns that are slices, text or binary."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldlens.llm.language_model import _words
+
+    texts = ["Ab\tcd", None, " \n", "", "x\x0b\x0cY\r\nz ", "É ÀB c D", " a  a A", "tail"]
+    for kind in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary()):
+        column = pa.array(texts).cast(kind)
+        shifted = pa.RecordBatch.from_arrays([column], names=["t"]).slice(4).column(0)
+        for part, own in ((column, texts), (column.slice(3), texts[3:]), (shifted, texts[4:]), (column.slice(0, 0), [])):
+            words, ends = _words(part)
+            plain = [(x or "").encode().lower().split() for x in own]
+            assert words.cast(pa.large_binary()).to_pylist() == [w for ws in plain for w in ws]
+            assert ends.tolist() == np.cumsum([len(ws) for ws in plain]).tolist()
+
+
+def test_levels_up_to_a_bound():
+    """Probing up to a bound gives the lesser of the bound and the level, across parts that are probed at once."""
+    import numpy as np
+
+    from fieldlens.llm.language_model import AT_ONCE, PROBES, BloomFilter, bit_position, probe_hashes, split_key
+
+    keys = np.random.default_rng(5).integers(0, 1 << 63, AT_ONCE + 999, dtype=np.uint64)
+    level = np.arange(len(keys)) % 9
+    _, key40 = split_key(keys, 0)
+    h1, h2 = probe_hashes(key40)
+    size = int(level.sum() * PROBES * 2)
+    bits = np.zeros(size, np.uint8)
+    for q in range(1, 9):
+        for probe in range(PROBES):
+            bits[bit_position(h1[level >= q], h2[level >= q], q, probe, np.uint64(size))] = 1
+    model = BloomFilter(0, [0], [size], np.packbits(bits, bitorder="little").tobytes(), 8)
+    every, most = model.levels(keys), np.arange(len(keys)) % 5
+    assert (every >= level).all() and (every == level).mean() > 0.9
+    assert (model.levels(keys, most) == np.minimum(every, most)).all()
