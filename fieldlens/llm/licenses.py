@@ -196,6 +196,9 @@ class LicenceModel:
         weighed = weighed.withColumn("label", F.col("label").cast("double")).withColumn("terms", self.terms(F.col("w")))
         self.model = learner.fit(_features(weighed))
         self.model.setPredictionCol("").setRawPredictionCol("")  # probabilities alone
+        weights, bias = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        #: The most that a hashed term, and that the intercepts, put any family ahead of the unknown class.
+        self.ahead, self.start = (weights[1:] - weights[0]).max(axis=0), float((bias[1:] - bias[0]).max())
         self.fitted_on = df, text_col, id_col
         self.told = stored(self._told(df, text_col, id_col), "licence-told")
         ordinary = self.told.where("real and (confirmed is null or confirmed < 0.5)")
@@ -205,15 +208,34 @@ class LicenceModel:
     def _told(self, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
         """A row a window, and one for a text without: doc_id, row, real, likely, family, and above the least threshold, 0.5, share and confirmed.
 
-        A window below that ranks as ordinary whether a template confirms it or not.
+        A window below that ranks as ordinary whether a template confirms it or not;
+        one that a bound shows to be below is 0 likely, and isn't hashed to a vector.
         """
         docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-        cut = docs.select("doc_id", "row", F.explode_outer(windows(F.col("text"), with_pairs=True)).alias("found"))
+        cut = docs.select("doc_id", "row", F.explode_outer(F.transform(windows(F.col("text"), with_pairs=True), self.kept)).alias("found"))
         told = self.classified(cut.select("doc_id", "row", F.col("found").isNotNull().alias("real"), F.coalesce("found", F.array().cast("array<bigint>")).alias("terms")))
+        told = told.withColumn("likely", F.when(F.size("terms") > 0, F.col("likely")).otherwise(0.0))
         near = F.col("real") & (F.col("likely") >= 0.5)
         share, confirmed = F.when(near, self.share(F.col("terms"), F.col("family"))), F.when(near, self.confirmed(F.col("terms")))
         return told.select("doc_id", "row", "real", "likely", "family", share.alias("share"), confirmed.alias("confirmed"))
 
+    def kept(self, terms: Column) -> Column:
+        """``terms``, or none if no family can be likelier than the unknown class, hence half likely.
+
+        A family's lead is the sum of its terms' leads, by the vector's length, and
+        its intercept's; the bound takes the best family for each of them.  Terms
+        are hashed as ``HashingTF`` does.
+        """
+        hashed = F.array_distinct(F.transform(terms, lambda a: F.pmod(F.hash(a), F.lit(HASHED))))
+        ahead = F.lit(self.ahead)
+
+        def bound(x):
+            return F.aggregate(x, F.lit(0.0), lambda s, i: s + F.get(ahead, i)) / F.sqrt(F.size(x)) + self.start
+
+        # hashed once; the margin is for sums in another order
+        low = F.element_at(F.transform(F.array(hashed), bound), 1) < -1e-6
+        return F.when(low, F.array().cast("array<bigint>")).otherwise(terms)
+
     def classified(self, df: DataFrame) -> DataFrame:
         """``df`` (terms) with family (number of the likeliest that isn't unknown) and likely (its probability)."""
         p = vector_to_array(F.col("probability"))

@@ -234,3 +234,19 @@ def test_pipeline_leaves_nothing_behind(spark):
     before = set(os.listdir(where)) if os.path.isdir(where) else set()
     assert corpus_pipeline.run(spark, SF.replace("0.01", "0.001")).count() > 0
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(where)) - before} <= {"stage-" + n.replace(" ", "-").lower() for n, _ in corpus_pipeline.STAGES}
+
+
+def test_bound_leaves_out_ordinary_windows(spark):
+    """Windows that the bound leaves out are less than half likely, and they are nearly all; those at half or more stay."""
+    from pyspark.sql import functions as F
+
+    from fieldlens.llm.licenses import LicenceModel, windows
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = LicenceModel(docs)
+    every = docs.select(F.explode(windows(F.coalesce("text", F.lit("")), with_pairs=True)).alias("terms"))
+    rows = model.classified(every.withColumn("stays", F.size(model.kept(F.col("terms"))) > 0)).select("stays", "likely").collect()
+    assert all(r.stays for r in rows if r.likely >= 0.5) and any(r.likely >= 0.5 for r in rows)
+    assert sum(not r.stays for r in rows) > 0.9 * len(rows)
+    told = model.told.where("real").agg(F.count("*"), F.sum((F.col("likely") >= 0.5).cast("int"))).first()
+    assert tuple(told) == (len(rows), sum(r.likely >= 0.5 for r in rows))
